@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import url_filters
+from barloom.llm import media, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text stored as lossless WebP and read back."""
+    return media.read_media(media.store_media(table(spark, sf_dir, "documents")), payload=False)
+
+
 #: Production rules: host, path, verdict.
 URL_RULES = [
     ("net", "/", "block"),
@@ -53,6 +58,7 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM ra
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_lossless_webp": op5_lossless_webp,
         "op7_url_filters": op7_url_filters,
     }
 
