@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import media, url_filters
+from barloom.llm import media, packing, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,18 @@ def op5_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.store_media(table(spark, sf_dir, "documents")), payload=False)
 
 
+def tokenizer_path() -> str:
+    """The byte-level BPE's file: a parameter of the operator, installed with its library."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024, end_id=2)
+
+
 #: Production rules: host, path, verdict.
 URL_RULES = [
     ("net", "/", "block"),
@@ -59,6 +71,7 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM ra
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_lossless_webp": op5_lossless_webp,
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op7_url_filters": op7_url_filters,
     }
 
