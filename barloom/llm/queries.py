@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import media, packing, url_filters
+from barloom.llm import grid_join, media, packing, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with cosine 0.95 or more."""
+    return grid_join.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op5_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text stored as lossless WebP and read back."""
     return media.read_media(media.store_media(table(spark, sf_dir, "documents")), payload=False)
@@ -70,6 +75,7 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM ra
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_grid_order_join": op4_grid_order_join,
         "op5_lossless_webp": op5_lossless_webp,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_url_filters": op7_url_filters,
