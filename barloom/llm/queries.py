@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import grid_join, media, packing, url_filters
+from barloom.llm import grid_join, media, minhash, packing, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,12 +73,18 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM ra
 """
 
 
+def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by 4-word shingles and Jaccard similarity 0.8."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=0.8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_grid_order_join": op4_grid_order_join,
         "op5_lossless_webp": op5_lossless_webp,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_url_filters": op7_url_filters,
+        "op8_hyperminhash": op8_hyperminhash,
     }
 
 
