@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import grid_join, media, minhash, packing, url_filters
+from barloom.llm import grid_join, media, minhash, packing, substrings, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,11 @@ def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=0.8)
 
 
+def op10_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 20-word windows that start earlier in the corpus."""
+    return substrings.deduplicate(table(spark, sf_dir, "documents"), window=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_grid_order_join": op4_grid_order_join,
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_url_filters": op7_url_filters,
         "op8_hyperminhash": op8_hyperminhash,
+        "op10_fingerprint_index": op10_fingerprint_index,
     }
 
 
