@@ -28,13 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import wordhash
+from barloom.llm.bloom import bits_for, build_blooms, maybe_in
 from barloom.llm.common import prepare_checkpoints, settled
 
 GRAM = 10
 FAN_IN = 4
-#: A filter has at least 2**16 bits and at most these, 16 MB.
-MOST_BITS = 1 << 27
-SLICE = 1 << 16
 #: Stands for a null doc_id: after all others.
 LAST = (1 << 63) - 1
 
@@ -52,45 +50,6 @@ def fingerprints(words: wordhash.Words, window: int) -> tuple[np.ndarray, np.nda
     return begin, place, whole[place]
 
 
-def _probes(keys: np.ndarray, bits: int) -> np.ndarray:
-    mixed = wordhash.mix(keys.view(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    mask = np.uint64(bits - 1)
-    return np.stack([mixed & mask, (mixed >> np.uint64(21)) & mask, (mixed >> np.uint64(37)) & mask]).astype(np.int64)
-
-
-def maybe_in(keys: np.ndarray, bloom: np.ndarray) -> np.ndarray:
-    at = _probes(keys, len(bloom) * 8)
-    return ((bloom[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
-
-
-def build_blooms(keys: DataFrame, bits: int) -> list[np.ndarray]:
-    """Two filters from the (which, key) rows; tasks send slices of bits, which are merged slice by slice."""
-    size = bits // 8
-
-    def partial(batches):
-        blooms = np.zeros((2, size), np.uint8)
-        for batch in batches:
-            which, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for k in (0, 1):
-                at = _probes(key[which == k], bits).ravel()
-                np.bitwise_or.at(blooms[k], at >> 3, (1 << (at & 7)).astype(np.uint8))
-        parts = blooms.reshape(-1, min(size, SLICE))
-        some = np.flatnonzero(parts.any(1))
-        yield pa.record_batch([pa.array(some), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["slice", "bits"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        total = np.zeros(min(size, SLICE), np.uint8)
-        for piece in table["bits"]:
-            total |= np.frombuffer(piece.as_py(), np.uint8)
-        return pa.table({"slice": table["slice"][:1], "bits": pa.array([total.tobytes()], pa.binary())})
-
-    rows = keys.mapInArrow(partial, "slice long, bits binary").groupBy("slice").applyInArrow(merge, "slice long, bits binary").collect()
-    blooms = np.zeros((2 * size // min(size, SLICE), min(size, SLICE)), np.uint8)
-    for at, piece in rows:
-        blooms[at] = np.frombuffer(piece, np.uint8)
-    return list(blooms.reshape(2, size))
-
-
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes], wordhash.Words]]:
     """(doc keys, texts, words) of (doc, text) batches, in groups of bounded size."""
     for batch in batches:
@@ -119,7 +78,7 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         path = f"{self.folder}/run-{self.written}"
         self.written += 1
-        rows.repartitionByRange("g").sortWithinPartitions("g", "doc").write.parquet(path)
+        rows.repartition("g").sortWithinPartitions("g", "doc").write.parquet(path)
         return path
 
     def _read(self, *paths: str) -> DataFrame:
@@ -163,8 +122,7 @@ class FingerprintIndex:
         if old:
             met = self._read(*self.runs).hint("merge").join(counts.select("g"), "g")
             keys = keys.union(met.select(F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("g").alias("key")), F.struct(F.lit(1).alias("which"), F.col("doc").alias("key")))).alias("x")).select("x.*"))
-        bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (4 * new.count()).bit_length()))
-        blooms = self.spark.sparkContext.broadcast(build_blooms(keys, bits))
+        blooms = self.spark.sparkContext.broadcast(build_blooms(keys, bits_for(new.count() // 4), 2))
         self.runs.append(run)
 
         def hot_windows(words: wordhash.Words) -> np.ndarray:
@@ -235,7 +193,7 @@ class FingerprintIndex:
         return found, lambda words: hot_windows(words)
 
 
-def kept_words(text: bytes, starts: list[int], window: int) -> tuple[int, int, bytes]:
+def kept_words(text: bytes, starts: list[int] | np.ndarray, window: int) -> tuple[int, int, bytes]:
     """(words, words removed, the kept ones joined by a blank)."""
     words = text.split()
     edge = np.zeros(len(words) + 1, np.int64)
@@ -308,14 +266,17 @@ def deduplicate(
 
     def finish(batches):
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200)):
             made = []
-            for row in batch.to_pylist():
-                if row["packed"] is None:
-                    made.append((row["doc"], row["n_words"], 0, row["kept_sha256"], row.get("kept_text")))
+            column = {name: batch.column(name) for name in batch.schema.names}
+            for i in range(batch.num_rows):
+                doc, n_words, whole, packed = (column[c][i].as_py() for c in ("doc", "n_words", "kept_sha256", "packed"))
+                if packed is None:
+                    made.append((doc, n_words, 0, whole, column["kept_text"][i].as_py() if keep_text else None))
                 else:
-                    n_words, removed, kept = kept_words(unpack.decompress(row["packed"]), row["starts"] or [], window)
-                    made.append((row["doc"], n_words, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if keep_text else None))
+                    starts = column["starts"][i].values
+                    n_words, removed, kept = kept_words(unpack.decompress(packed), [] if starts is None else starts.to_numpy(), window)
+                    made.append((doc, n_words, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if keep_text else None))
             columns = list(zip(*made, strict=True)) if made else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Text bytes hashed side by side; a longer text is a group of its own.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _WINDOW_BASE = 0xD1342543DE82EF95
 
