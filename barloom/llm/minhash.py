@@ -1,14 +1,15 @@
 """Near-duplicate texts by HyperMinHash.
 
-A text's set of word shingles gives REGISTERS registers: the hashes fall into as many buckets, and of the least hash
-in each a register keeps the number of leading zeros and the next MANTISSA bits (Yu and Weber, 2017). Bands of
-BAND registers nominate candidates, the registers of both estimate their Jaccard similarity less the share of
-registers that agree by chance, and those that may reach the threshold are compared on their full sets.
+A text's set of word shingles gives REGISTERS registers: PERMUTATIONS times over, the hashes are mixed anew and fall
+into BUCKETS buckets, and of the least hash in each a register keeps the number of leading zeros and the next
+MANTISSA bits (Yu and Weber, 2017). Bands of BAND registers nominate candidates, the registers of both estimate their Jaccard
+similarity less the share of registers that agree by chance, and those that may reach the threshold are compared
+on their full sets. Few buckets in many permutations, since short texts would leave most of many buckets empty.
 
-Equal sets are one class and need no comparing. In a band's bucket every class first meets the bucket's smallest
+Equal sets are one class and need no comparing. In a band's bucket every class first meets the bucket's hub
 only, which settles a group of near copies in as many comparisons as it has classes; buckets that then still hold
 several components have all pairs between components estimated, in blocks, so no link is lost: a pair at similarity
-0.8 shares no bucket with a probability of (1 - 0.8**3)**42 = 8e-14.
+0.8 shares no bucket with a probability of (1 - 0.8**5)**48 = 5e-9.
 """
 
 from __future__ import annotations
@@ -21,12 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import wordhash
+from barloom.llm.bloom import bits_for, build_blooms, maybe_in
 from barloom.llm.common import connected_components, settled
 
-REGISTERS = 128
-INDEX_BITS = 7
+PERMUTATIONS = 16
+INDEX_BITS = 4
+BUCKETS = 1 << INDEX_BITS
+REGISTERS = PERMUTATIONS * BUCKETS
 MANTISSA = 10
-BAND = 3
+BAND = 5
 #: A pair is dropped on its estimate only if one that reaches the threshold gives so low a one with this chance.
 MISS = 1e-12
 #: Classes of a bucket compared side by side.
@@ -49,17 +53,27 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return sets
 
 
+#: Odd multipliers, one for each permutation.
+_ODD = wordhash.mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
 def registers_of(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, REGISTERS) uint16: 1 + (leading zeros << MANTISSA | mantissa) of the least hash in a bucket; 0: empty."""
-    bounds = (np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - INDEX_BITS)).astype(np.uint64)
     least = np.zeros((len(sets), REGISTERS), np.uint64)
     there = np.zeros((len(sets), REGISTERS), bool)
     for i, s in enumerate(sets):
         if len(s):
-            at = np.searchsorted(s, bounds)
-            behind = np.append(at[1:], len(s))
-            there[i] = at < behind
-            least[i] = s[np.minimum(at, len(s) - 1)]
+            x = s[None, :] * _ODD[:, None]
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0x9FB21C651E98DF25)
+            x.sort(axis=1)
+            bucket = x >> np.uint64(64 - INDEX_BITS)
+            first = np.ones(x.shape, bool)
+            first[:, 1:] = bucket[:, 1:] != bucket[:, :-1]
+            row, column = np.nonzero(first)
+            at = row * BUCKETS + bucket[row, column].astype(np.int64)
+            there[i, at] = True
+            least[i, at] = x[row, column]
     rest = least << np.uint64(INDEX_BITS)
     # The exponent of a double is the place of the first bit; halves are taken so that rounding cannot carry.
     high = (rest >> np.uint64(32)).astype(np.float64)
@@ -72,18 +86,21 @@ def registers_of(sets: list[np.ndarray]) -> np.ndarray:
 
 def band_keys(registers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) for each band of each row that has a register in it."""
-    n_bands = REGISTERS // BAND
-    r = registers[:, : n_bands * BAND].reshape(len(registers), n_bands, BAND).astype(np.uint64)
-    packed = r[..., 0] | r[..., 1] << np.uint64(16) | r[..., 2] << np.uint64(32)
-    keys = wordhash.mix(packed + np.arange(n_bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    row, band = np.nonzero(packed)
+    per = BUCKETS // BAND
+    n_bands = PERMUTATIONS * per
+    r = registers.reshape(len(registers), PERMUTATIONS, BUCKETS)[:, :, : per * BAND]
+    r = r.reshape(len(registers), n_bands, BAND).astype(np.uint64)
+    keys = np.broadcast_to(np.arange(1, n_bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), r.shape[:2])
+    for k in range(BAND):
+        keys = wordhash.mix(keys + r[..., k])
+    row, band = np.nonzero(r.any(-1))
     return row, keys[row, band].view(np.int64)
 
 
 def chance(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Chance that registers of two unrelated sets of these sizes agree: one exponent and one mantissa."""
     zeros = np.arange(0, 40)
-    at_least = lambda n: 1 - (1 - 2.0 ** -zeros) ** (np.asarray(n, float)[..., None] / REGISTERS)
+    at_least = lambda n: 1 - (1 - 2.0 ** -zeros) ** (np.asarray(n, float)[..., None] / BUCKETS)
     exactly = lambda n: (lambda p: p - np.append(p[..., 1:], np.zeros((*p.shape[:-1], 1)), -1))(at_least(n))
     return (exactly(n_a) * exactly(n_b)).sum(-1) / (1 << MANTISSA)
 
@@ -133,18 +150,42 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """(rep, set): the full sets of the wanted documents."""
+def _sets(docs: DataFrame, pairs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
+    """(rep, set): the full sets of all documents that the pairs (a, b) name, and of few others.
+
+    The names go out as a Bloom filter of bounded size, so the texts are only scanned, not shuffled.
+    """
+    names = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    keys = names.select(F.lit(0).alias("which"), F.col("rep").alias("key"))
+    bloom = docs.sparkSession.sparkContext.broadcast(build_blooms(keys, bits_for(names.count()))[0])
 
     def run(batches):
         for batch in batches:
-            rows = ((i.as_py(), wordhash.encoded(t.as_py())) for i, t in zip(*batch.columns, strict=True))
+            ids = batch.column(0)
+            some = maybe_in(ids.fill_null(0).to_numpy(), bloom.value) & ids.is_valid().to_numpy(zero_copy_only=False)
+            part = batch.filter(pa.array(some))
+            rows = ((i.as_py(), wordhash.encoded(t.as_py())) for i, t in zip(*part.columns, strict=True))
             for group in wordhash.grouped(rows):
                 sets = shingle_sets([t for _, t in group], words)
                 yield pa.record_batch([pa.array([i for i, _ in group], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "set"])
 
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-    return texts.join(wanted, "rep", "left_semi").select("rep", "text").mapInArrow(run, "rep long, set binary")
+    return settled(texts.mapInArrow(run, "rep long, set binary"))
+
+
+def _hub_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b), a < b: in each bucket, its hub with every other class.
+
+    The hub is the class that meets most others over all its buckets (then the smallest), as the text that a group's
+    copies were made from does: they may be near it and not near each other.
+    """
+    meetings = shared.groupBy("rep").agg(F.sum("m").alias("met"))
+    ranked = shared.select("key", "rep").join(meetings, "rep")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("less"))).alias("top"))
+    hubs = hubs.select("key", (-F.col("top.less")).alias("hub"))
+    return (
+        shared.join(hubs, "key").where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+    )
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -231,15 +272,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
     known = classes.where("rep IS NOT NULL")
     # Sets of up to three shingles reach 0.8 only with equal ones, which are one class already.
     bands = _bands(known.where(f"n >= {-(-percent // (100 - percent)) if percent < 100 else 1 << 62}"))
-    buckets = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1")
-    shared = settled(bands.join(buckets.select("key", "hub"), "key").select("key", "rep", "hub"))
-    pairs = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    sets = settled(_sets(docs, shared.select("rep").distinct(), words, doc_id, text))
-    links = settled(_verified(_estimated(pairs, known, percent / 100), sets, percent))
+    buckets = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    shared = settled(bands.join(buckets, "key").select("key", "rep", "m"))
+    pairs = _hub_pairs(shared)
+    likely = settled(_estimated(pairs, known, percent / 100))
+    links = settled(_verified(likely, _sets(docs, likely, words, doc_id, text), percent))
     labels = settled(connected_components(links))
     more = settled(_across(shared.select("key", "rep"), labels, known, percent / 100))
     if not more.isEmpty():
-        added = settled(_verified(more, sets, percent))
+        added = settled(_verified(more, _sets(docs, more, words, doc_id, text), percent))
         if not added.isEmpty():
             labels = connected_components(links.union(added))
     by_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
