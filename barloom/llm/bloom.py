@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barloom.llm import wordhash
+from barloom.llm.common import dropping_shuffles
 
 #: A filter has at least 2**16 bits and at most these, 16 MB.
 MOST_BITS = 1 << 27
@@ -53,7 +54,9 @@ def build_blooms(keys: DataFrame, bits: int, filters: int = 1) -> list[np.ndarra
             total |= np.frombuffer(piece.as_py(), np.uint8)
         return pa.table({"slice": table["slice"][:1], "bits": pa.array([total.tobytes()], pa.binary())})
 
-    rows = keys.mapInArrow(partial, "slice long, bits binary").groupBy("slice").applyInArrow(merge, "slice long, bits binary").collect()
+    with dropping_shuffles(keys.sparkSession):
+        parts = keys.select("*").mapInArrow(partial, "slice long, bits binary")
+        rows = parts.groupBy("slice").applyInArrow(merge, "slice long, bits binary").collect()
     blooms = np.zeros((filters * size // min(size, SLICE), min(size, SLICE)), np.uint8)
     for at, piece in rows:
         blooms[at] = np.frombuffer(piece, np.uint8)

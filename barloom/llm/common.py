@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,26 @@ def prepare_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-checkpoints-"))
 
 
+#: Shuffle files go once the query that wrote them has ended; settled rows never need them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder: computed once, safe from lost executors."""
     prepare_checkpoints(df.sparkSession)
-    return df.checkpoint()
+    with dropping_shuffles(df.sparkSession):
+        return df.select("*").checkpoint()
+
+
+@contextmanager
+def dropping_shuffles(spark: SparkSession):
+    """Queries made in this block drop their shuffle files when they end."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def train_rows(doc_id: str = "doc_id") -> Column:

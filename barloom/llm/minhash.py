@@ -8,7 +8,7 @@ on their full sets. Few buckets in many permutations, since short texts would le
 
 Equal sets are one class and need no comparing. In a band's bucket every class first meets the bucket's hub
 only, which settles a group of near copies in as many comparisons as it has classes; buckets that then still hold
-several components have all pairs between components estimated, in blocks, so no link is lost: a pair at similarity
+several components have all pairs between components counted, in blocks, so no link is lost: a pair at similarity
 0.8 shares no bucket with a probability of (1 - 0.8**5)**48 = 5e-9.
 """
 
@@ -34,7 +34,7 @@ BAND = 5
 #: A pair is dropped on its estimate only if one that reaches the threshold gives so low a one with this chance.
 MISS = 1e-12
 #: Classes of a bucket compared side by side.
-BLOCK = 256
+BLOCK = 512
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -150,14 +150,15 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """(rep, set): the full sets of all documents that the pairs (a, b) name, and of few others.
+def _sets(docs: DataFrame, named: DataFrame, words: int, doc_id: str, text: str, kind=np.uint64) -> DataFrame:
+    """(rep, set): the full sets of all documents named in any column, and of few others; as `kind`, whole or halved hashes.
 
     The names go out as a Bloom filter of bounded size, so the texts are only scanned, not shuffled.
     """
-    names = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    names = named.select(F.explode(F.array(*named.columns)).alias("rep")).distinct()
     keys = names.select(F.lit(0).alias("which"), F.col("rep").alias("key"))
     bloom = docs.sparkSession.sparkContext.broadcast(build_blooms(keys, bits_for(names.count()))[0])
+    cut = (lambda s: s) if kind is np.uint64 else (lambda s: np.unique((s >> np.uint64(32)).astype(kind)))
 
     def run(batches):
         for batch in batches:
@@ -167,7 +168,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, words: int, doc_id: str, text: str)
             rows = ((i.as_py(), wordhash.encoded(t.as_py())) for i, t in zip(*part.columns, strict=True))
             for group in wordhash.grouped(rows):
                 sets = shingle_sets([t for _, t in group], words)
-                yield pa.record_batch([pa.array([i for i, _ in group], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "set"])
+                yield pa.record_batch([pa.array([i for i, _ in group], pa.int64()), pa.array([cut(s).tobytes() for s in sets], pa.binary())], names=["rep", "set"])
 
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
     return settled(texts.mapInArrow(run, "rep long, set binary"))
@@ -220,38 +221,70 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _across(shared: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs in one bucket but not yet in one component that may reach the threshold.
+def _across(docs: DataFrame, shared: DataFrame, labels: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """(a, b): pairs in one bucket but not yet in one component that reach the threshold, by sets of 32-bit hashes.
 
     Buckets of one component, or of two classes (their pair was compared), are done. The others are cut into blocks
-    of about BLOCK classes, and every two blocks of a bucket meet in a group of their own.
+    of about BLOCK classes, and every two blocks of a bucket meet in a group of their own, which counts all
+    intersections as a product of matrices and gives only the pairs that reach the threshold.
     """
     named = shared.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     open_keys = (
         named.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("m > 2 AND lo <> hi")
     ).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = named.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "rep", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    rows = settled(named.join(open_keys, "key"))
+    sets = _sets(docs, rows.select("rep"), words, doc_id, text, np.uint32)
+    dealt = (
+        rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", "rep", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .join(sets, "rep")
     )
-    dealt = dealt.join(classes.select("rep", "n", "sig"), "rep")
 
     def meet(table: pa.Table) -> pa.Table:
-        rep, comp, n, own = (table[c].to_numpy() for c in ("rep", "comp", "n", "own"))
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        reg = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = []
-        for x in left.tolist():
-            y = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) if i == j else True)]
-            if len(y):
-                y = y[may_reach(reg[x], reg[y], n[x], n[y], threshold)]
-                found += [(min(rep[x], r), max(rep[x], r)) for r in rep[y]]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        own, i, j = table["own"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+        rep, comp = table["rep"].to_numpy(), table["comp"].to_numpy()
+        found = [np.zeros(0, np.int64)] * 2
+        if len(np.unique(comp)) > 1:
+            sets = [np.frombuffer(s, np.uint32) for s in table["set"].to_pylist()]
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            inter = _intersections(sets, left, right)
+            n = np.array([len(s) for s in sets])
+            # Two hashes may have met in 32 bits within a set: the slack keeps the test on the safe side.
+            near = 100 * (inter + 2) >= percent * (n[left][:, None] + n[right][None, :] - inter)
+            near &= comp[left][:, None] != comp[right][None, :]
+            if i == j:
+                near = np.triu(near, 1)
+            x, y = np.nonzero(near)
+            found = [np.minimum(rep[left[x]], rep[right[y]]), np.maximum(rep[left[x]], rep[right[y]])]
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
     return dealt.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
+def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, some columns of the hashes at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count > 1
+    owner, column = owner[often[column]], (np.cumsum(often) - 1)[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    place = np.full((2, len(sets)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    total = np.zeros((len(left), len(right)), np.float32)
+    cuts = np.searchsorted(column, np.arange(0, int(often.sum()) + 4096, 4096))
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        sides = []
+        for side, size in ((0, len(left)), (1, len(right))):
+            dense = np.zeros((size, 4096), np.float32)
+            row = place[side, owner[lo:hi]]
+            dense[row[row >= 0], column[lo:hi][row >= 0] - 4096 * k] = 1
+            sides.append(dense)
+        total += sides[0] @ sides[1].T
+    return total.astype(np.int64)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of `docs`.
 
@@ -278,7 +311,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
     likely = settled(_estimated(pairs, known, percent / 100))
     links = settled(_verified(likely, _sets(docs, likely, words, doc_id, text), percent))
     labels = settled(connected_components(links))
-    more = settled(_across(shared.select("key", "rep"), labels, known, percent / 100))
+    more = settled(_across(docs, shared.select("key", "rep"), labels, words, percent, doc_id, text))
     if not more.isEmpty():
         added = settled(_verified(more, _sets(docs, more, words, doc_id, text), percent))
         if not added.isEmpty():

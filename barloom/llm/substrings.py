@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import wordhash
 from barloom.llm.bloom import bits_for, build_blooms, maybe_in
-from barloom.llm.common import prepare_checkpoints, settled
+from barloom.llm.common import dropping_shuffles, prepare_checkpoints, settled
 
 GRAM = 10
 FAN_IN = 4
@@ -78,7 +78,8 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         path = f"{self.folder}/run-{self.written}"
         self.written += 1
-        rows.repartition("g").sortWithinPartitions("g", "doc").write.parquet(path)
+        with dropping_shuffles(self.spark):
+            rows.repartition("g").sortWithinPartitions("g", "doc").write.parquet(path)
         return path
 
     def _read(self, *paths: str) -> DataFrame:
