@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import held_out
-from barloom.llm.sampling import labelled_sample
+from barloom.llm.sampling import fitted, labelled_sample
 from barloom.llm.wordhash import encoded, grouped
 
 WINDOW = 256
@@ -177,4 +177,4 @@ def identify(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str =
 
 def learn(docs: DataFrame, lang: str = "lang", sample: int = SAMPLE) -> Network:
     """A network fitted on a bounded sample of the rows with a language that may be learned from."""
-    return train(labelled_sample(docs, F.col(lang), sample))
+    return fitted(labelled_sample(docs, F.col(lang), sample), train)

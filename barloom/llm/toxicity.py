@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import wordhash
 from barloom.llm.common import held_out, train_rows
+from barloom.llm.sampling import drawn, fitted
 
 WINDOW, STRIDE = 64, 48
 BUCKETS = 1 << 16
@@ -72,10 +73,10 @@ def vocabulary(words: wordhash.Words) -> Vocabulary:
         start = start[whole[start] == whole[start + k - 1]] if len(start) else start
         owner.append(whole[start])
         h = wordhash.mix(wordhash._window_sums(wordhash._BYTE[data], start, start + k, wordhash._BASE) + np.uint64(k))
-        piece.append((h & np.uint64(BUCKETS - 1)).astype(np.int64))
+        piece.append((h & np.uint64(BUCKETS - 1)).astype(np.uint16))
     owner, piece = np.concatenate(owner), np.concatenate(piece)
     order = np.argsort(owner, kind="stable")
-    return Vocabulary(word_of, (hashes & np.uint64(BUCKETS - 1)).astype(np.int64), piece[order], np.searchsorted(owner[order], np.arange(len(at))))
+    return Vocabulary(word_of, (hashes & np.uint64(BUCKETS - 1)).astype(np.uint16), piece[order], np.searchsorted(owner[order], np.arange(len(at))))
 
 
 def cut_windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,10 +246,10 @@ def train(sample: list[tuple[str, int]], seed: int = 3) -> Network:
     base = float(np.clip(label.mean(), 0.02, 0.98))
     net.word_odds, net.piece_odds = (_odds(*counts[k], base) for k in ("word", "piece"))
     prepared = []
-    for text, y in zip(texts, label, strict=True):
-        if text is None:
+    for i, y in enumerate(label):
+        if texts[i] is None:
             continue
-        first, v = text
+        (first, v), texts[i] = texts[i], None
         word = _odds(counts["word"][0, v.word] - y, counts["word"][1, v.word] - 1, base)
         piece = _odds(counts["piece"][0, v.piece] - y, counts["piece"][1, v.piece] - 1, base)
         piece = np.maximum.reduceat(piece, v.first)
@@ -333,14 +334,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL").where(train_rows("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    whole = 1 << 30
-    share = F.lit(0)
-    for y, n in counts.items():
-        share = F.when(F.col("y") == y, min(whole, sample * whole // max(1, n))).otherwise(share)
-    drawn = known.where(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(whole)) < share)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).collect()
-    return train([(r["text"], int(r["y"] == 1)) for r in sorted(rows, key=lambda r: r["doc_id"]) if r["text"]])
+    known = drawn(known.withColumnRenamed("y", "label"), sample, ["doc_id"], 23)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text <> ''")
+    return fitted(texts.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).withColumn("label", (F.col("label") == 1).cast("int")), train)
 
 
 def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
