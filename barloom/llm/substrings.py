@@ -224,7 +224,7 @@ def deduplicate(
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
     n, low, high = rows.agg(F.count("*"), F.min("doc"), F.max("doc")).first()
     n_batches = max(min_batches, -(-n // batch_docs))
-    cuts = sorted(set(rows.approxQuantile("doc", [i / n_batches for i in range(1, n_batches)], 0.01))) if n else []
+    cuts = sorted(set(rows.approxQuantile("doc", [i / n_batches for i in range(1, n_batches)], 0.01))) if n and n_batches > 1 else []
     bounds = [None, *[int(c) for c in cuts if low < c <= high], None]
     index = FingerprintIndex(spark, window)
     schema = "doc long, n_words long, kept_sha256 string, packed binary" + (", kept_text string" if keep_text else "")
