@@ -15,6 +15,7 @@ from barloom.functions.timebar import TimeBar, month_slices
 from barloom.operators import coverage, quality, reading
 from barloom.plans import fixtures
 from barloom.plans.fixtures import bars_sql
+from barloom.sources.catalog import events_of_runs, files_of_datasets
 from barloom.streaming import live
 
 HOUR, DAY, WEEK = 3_600_000, 86_400_000, 604_800_000
@@ -443,6 +444,26 @@ def row_bounds(spark, sf_dir):
     return hours(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("row_count"), F.min(MS("timestamp")).alias("first"), F.max(MS("timestamp")).alias("last"))
 
 
+@query("SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
+def join_files_datasets(spark, sf_dir):
+    """Orders as files, customers as datasets: the inner join of a listing."""
+    tables = {
+        "files": spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("dataset_id")),
+        "datasets": spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), "c_mktsegment"),
+    }
+    return files_of_datasets(tables).select("o_orderkey", "c_mktsegment")
+
+
+@query("""SELECT event_id, o_orderdate::DATE::VARCHAR AS run_date FROM events LEFT JOIN orders ON o_orderkey = user_id * 37""")
+def join_events_runs(spark, sf_dir):
+    """Events with the run they name, those of no run too."""
+    tables = {
+        "quality_events": fixtures.events(spark, sf_dir).select("event_id", (F.col("user_id") * 37).alias("run_id")),
+        "ingestion_runs": spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").cast("string").alias("run_date")),
+    }
+    return events_of_runs(tables).select("event_id", "run_date")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived bars, checked, restricted to what coverage proves of a week."""
     return scan_restricted(spark, sf_dir)
