@@ -6,6 +6,8 @@ Everything is a sweep over sorted endpoints: no interval meets another in a rang
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,13 @@ from barloom.functions.timebar import TimeBar, month_of, month_slices, year_of
 STATUSES = ("available", "unavailable", "missing")
 
 
+def join_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join on the keys in which null equals null: a spot dataset has no settle."""
+    right = b.withColumnsRenamed({k: f"right_{k}" for k in keys})
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"right_{k}")) for k in keys])
+    return a.join(right, on, how).drop(*[f"right_{k}" for k in keys])
+
+
 def coalesce(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Touching neighbours of one status become one; the input doesn't overlap."""
     w = Window.partitionBy(*keys).orderBy("start")
@@ -44,7 +53,7 @@ def covered_and_gaps(segments: DataFrame, requests: DataFrame, keys: list[str])
     """The requests (keys, start, end) cut into available, unavailable and missing intervals. Requests of a dataset don't overlap."""
     asked = requests.select(*keys, "start", "end")
     clipped = (
-        segments.join(asked.withColumnsRenamed({"start": "from", "end": "to"}), keys)
+        join_keys(segments, asked.withColumnsRenamed({"start": "from", "end": "to"}), keys)
         .select(*keys, F.greatest("start", "from").alias("start"), F.least("end", "to").alias("end"), "status")
         .where("start < end")
     )
@@ -56,7 +65,7 @@ def bar_segments(bars: DataFrame, ranges: DataFrame, timeframe: str, keys: list[
     bar = TimeBar.parse(timeframe)
     wanted = ranges.select(*keys, F.explode(bar.starts_col(F.col("start"), F.col("end"))).alias("start"))
     there = bars.select(*keys, F.unix_millis("timestamp").alias("start")).distinct().withColumn("there", F.lit(True))
-    found = wanted.join(there, [*keys, "start"], "left")
+    found = join_keys(wanted, there, [*keys, "start"], "left")
     status = F.when(F.col("there"), "available").otherwise("unavailable")
     return coalesce(found.select(*keys, "start", bar.next_col(F.col("start")).alias("end"), status.alias("status")), keys)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.timebar import TimeBar, month_index, month_slices
 from barloom.model import CoverageError
-from barloom.operators.coverage import covered_and_gaps
+from barloom.operators.coverage import covered_and_gaps, join_keys
 
 GRACE_MS = 5000
 
@@ -65,13 +65,13 @@ def upsert(old: DataFrame, new: DataFrame, identity: list[str]) -> DataFrame:
     return both.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "src")
 
 
-def compare_files(indexed: DataFrame, found: DataFrame) -> DataFrame:
-    """(path, issue): the catalog's files against those in storage, both (path, symbol, sha256, row_count, first, last)."""
+def compare_files(indexed: DataFrame, found: DataFrame, identity: tuple[str, ...] = ("symbol",), lineage: tuple[str, ...] = ()) -> DataFrame:
+    """(path, issue): the catalog's files against those in storage, both (path, identity, sha256, row_count, first, last)."""
     a, b = indexed.alias("i"), found.alias("f")
     both = a.join(b, F.col("i.path") == F.col("f.path"), "full_outer")
     checks = [("missing file", F.col("f.path").isNull()), ("orphan", F.col("i.path").isNull())]
     there = F.col("f.path").isNotNull() & F.col("i.path").isNotNull()
-    for issue, columns in (("identity", ["symbol"]), ("SHA", ["sha256"]), ("row count", ["row_count"]), ("bounds", ["first", "last"])):
+    for issue, columns in (("identity", identity), ("SHA", ["sha256"]), ("row count", ["row_count"]), ("bounds", ["first", "last"]), *([("lineage", lineage)] if lineage else [])):
         differs = reduce(lambda x, y: x | y, [~F.col(f"i.{c}").eqNullSafe(F.col(f"f.{c}")) for c in columns])
         checks.append((issue, there & differs))
     issues = F.filter(F.array(*[F.when(test, F.lit(issue)) for issue, test in checks]), lambda x: x.isNotNull())
@@ -97,7 +97,7 @@ def inferred_settle(definitions: DataFrame, keys: list[str]) -> DataFrame:
 def window_faults(windows: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, start, fault): observed windows that don't tile their request (start, end) exactly."""
     w = Window.partitionBy(*keys).orderBy("start", "end")
-    step = windows.join(requests.withColumnsRenamed({"start": "from", "end": "to"}), keys).withColumn("p", F.lag("end").over(w)).withColumn("n", F.lead("start").over(w))
+    step = join_keys(windows, requests.withColumnsRenamed({"start": "from", "end": "to"}), keys).withColumn("p", F.lag("end").over(w)).withColumn("n", F.lead("start").over(w))
     fault = (
         F.when(F.col("start") >= F.col("end"), "empty")
         .when(F.col("start") != F.coalesce("p", "from"), "not contiguous")

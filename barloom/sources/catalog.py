@@ -75,6 +75,33 @@ class Catalog:
         self.db.execute("insert or ignore into datasets (exchange, symbol, market, settle, timeframe) values (?, ?, ?, ?, ?)", key)
         return self.db.execute("select id from datasets where (exchange, symbol, market, settle, timeframe) = (?, ?, ?, ?, ?)", key).fetchone()[0]
 
+    def find(self, d: Dataset) -> int | None:
+        key = (d.exchange, d.symbol, d.market, d.settle or "", d.timeframe)
+        row = self.db.execute("select id from datasets where (exchange, symbol, market, settle, timeframe) = (?, ?, ?, ?, ?)", key).fetchone()
+        return row and row[0]
+
+    def settles(self, exchange: str, symbol: str, market: str, timeframe: str) -> list[str]:
+        """Settlements under which the catalog knows a market."""
+        rows = self.db.execute("select distinct settle from datasets where (exchange, symbol, market, timeframe) = (?, ?, ?, ?) and settle <> '' order by settle", (exchange, symbol, market, timeframe))
+        return [r[0] for r in rows]
+
+    def segments(self, dataset_id: int) -> list[tuple[int, int, str]]:
+        return self.db.execute("select start, end, status from coverage where dataset_id = ? order by start", (dataset_id,)).fetchall()
+
+    def provider_of(self, dataset_id: int) -> str | None:
+        row = self.db.execute("select provider from datasets where id = ?", (dataset_id,)).fetchone()
+        return row and row[0]
+
+    def run_status(self, run_id: str) -> str | None:
+        """What a reader sees of a run: the proof whether an uncertain commit took place."""
+        row = self.db.execute("select status from ingestion_runs where id = ?", (run_id,)).fetchone()
+        return row and row[0]
+
+    def clear(self) -> None:
+        """Every dataset with all that hangs on it."""
+        for name in ("quality_events", "files", "coverage", "ingestion_runs", "datasets"):
+            self.db.execute(f"delete from {name}")
+
     def bind_provider(self, dataset_id: int, provider: str) -> None:
         """Lineage is bound once."""
         now = self.db.execute("select provider from datasets where id = ?", (dataset_id,)).fetchone()

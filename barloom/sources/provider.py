@@ -8,17 +8,19 @@ evidence is taken on the driver before the job and handed in, since tasks may ru
 from __future__ import annotations
 
 import importlib
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from importlib.metadata import entry_points
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from barloom.functions.timebar import TimeBar
-from barloom.model import BarRequest, ProviderError, UnsupportedError, to_ms
+from barloom.model import BarRequest, InvalidRequestError, ProviderError, UnsupportedError, to_ms
 from barloom.operators import quality, reading
 from barloom.schema import PROVIDER_BARS, VALUES
 
@@ -27,6 +29,45 @@ PAGE_BARS = {"coinbase": 300, "binance": 1000, "binanceusdm": 1000, "bybit": 100
 RETRIES, BACKOFF_S = 5, 0.5
 
 
+SPI = 1
+GROUP = "barloom.providers"
+
+
+@dataclass(frozen=True)
+class Provider:
+    """What a provider offers. `client`, `markets` and `live` are module:function, since tasks import them by name."""
+
+    name: str
+    version: str
+    client: str
+    markets: str | None = None
+    live: str | None = None
+    page: int | None = None
+    spi: int = SPI
+
+    def __post_init__(self) -> None:
+        if not re.fullmatch(r"[a-z][a-z0-9-]*", self.name) or not self.version:
+            raise ProviderError(f"provider {self.name!r} of version {self.version!r}")
+        if self.spi != SPI:
+            raise ProviderError(f"{self.name} speaks version {self.spi} of the protocol; this is {SPI}")
+
+
+def load(name: str) -> Callable:
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def installed(name: str | None = None) -> Provider:
+    """The one provider that installed packages offer, or the one of that name."""
+    offers = [e for e in entry_points(group=GROUP) if name in (None, e.name)]
+    if len(offers) != 1:
+        raise UnsupportedError(f"{len(offers)} installed providers fit {name!r}; one is needed")
+    found = offers[0].load()
+    if not isinstance(found, Provider) or found.name != offers[0].name:
+        raise ProviderError(f"{offers[0].value} is not the provider {offers[0].name}")
+    return found
+
+
 class TransientError(Exception):
     """The venue may answer if asked again."""
 
@@ -111,17 +152,16 @@ class BarReader(DataSourceReader):
         return page_windows(o["timeframe"], int(o["start"]), int(o["end"]), int(o["page"]))
 
     def read(self, partition: Window) -> Iterator[tuple]:
-        module, _, name = self.options["client"].partition(":")
-        fetch = getattr(importlib.import_module(module), name)
+        fetch = load(self.options["client"])
         rows = with_retries(lambda: fetch(self.options["symbol"], self.options["timeframe"], partition.start, partition.end - 1))
         for at, *values in check_rows(rows, partition):
             yield (datetime.fromtimestamp(at / 1000, UTC), *values)
 
 
-def observe(spark: SparkSession, request: BarRequest, client: str, page: int | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC)) -> tuple[DataFrame, int, DataFrame]:
+def observe(spark: SparkSession, request: BarRequest, client: str, page: int | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC), unfinished: bool = False) -> tuple[DataFrame, int, DataFrame]:
     """(canonical bars, end of what is final, warnings) of a request; raises ProviderError on fatal findings.
 
-    Unfinished bars are left out and stay missing. `seq` is the order of time within the observation.
+    Unfinished bars are left out and stay missing, but with `unfinished`. `seq` is the order of time within the observation.
     """
     d = request.dataset
     page = page or PAGE_BARS.get(d.exchange)
@@ -129,7 +169,7 @@ def observe(spark: SparkSession, request: BarRequest, client: str, page: int | N
         raise UnsupportedError(f"no page size is known for {d.exchange}")
     evidence = to_ms(now())
     start, end = to_ms(request.start), to_ms(request.end)
-    final = min(end, TimeBar.parse(d.timeframe).floor(evidence - reading.GRACE_MS))
+    final = end if unfinished else min(end, TimeBar.parse(d.timeframe).floor(evidence - reading.GRACE_MS))
     spark.dataSource.register(BarSource)
     options = {"client": client, "symbol": d.symbol, "timeframe": d.timeframe, "start": start, "end": end, "page": page}
     rows = spark.read.format("barloom").options(**{k: str(v) for k, v in options.items()}).load()
@@ -142,6 +182,18 @@ def observe(spark: SparkSession, request: BarRequest, client: str, page: int | N
     return bars, final, warnings
 
 
+def definitions(spark: SparkSession, provider: Provider, exchange: str, market: str) -> DataFrame:
+    """The venue's market definitions (schema DEFINITIONS), translated from its native ones."""
+    from barloom.sources import markets
+
+    if market not in ("spot", "perpetual"):
+        raise (UnsupportedError if market in ("future", "option") else InvalidRequestError)(f"market {market!r}")
+    if provider.markets is None:
+        raise UnsupportedError(f"{provider.name} offers no market definitions")
+    native, timeframes = load(provider.markets)(exchange, market)
+    return markets.translate(spark, native, exchange, market, timeframes)
+
+
 def flat_client(symbol: str, timeframe: str, since: int, until: int) -> list[list]:
     """A deterministic venue for tests: every bar of the calendar, rising by one, none in hours divisible by seven."""
     bar, rows, at = TimeBar.parse(timeframe), [], since
@@ -151,3 +203,13 @@ def flat_client(symbol: str, timeframe: str, since: int, until: int) -> list[lis
             rows.append([at, price, price + 1, price - 1, price, 10.0])
         at = bar.next(at)
     return rows
+
+
+def steady_client(symbol: str, timeframe: str, since: int, until: int) -> list[list]:
+    """A venue for tests without holes."""
+    bar, rows, at = TimeBar.parse(timeframe), [], since
+    while at <= until:
+        price = 100.0 + (at // 3_600_000) % 10
+        rows.append([at, price, price + 1, price - 1, price, 10.0])
+        at = bar.next(at)
+    return rows
