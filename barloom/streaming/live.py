@@ -25,10 +25,15 @@ def finality(start_ms: Column, received_ms: Column, timeframe: str) -> Column:
     return F.when(received_ms < end, "forming").when(received_ms < end + GRACE_MS, "provisional").otherwise("final")
 
 
+def checked(updates: DataFrame) -> DataFrame:
+    """Updates as they are; an invalid one raises when its row is read."""
+    ok = F.when(valid_update(), True).otherwise(F.raise_error(F.concat(F.lit("invalid update of "), F.col("symbol"))).cast("boolean"))
+    return updates.withColumn("ok", ok).where("ok").drop("ok")
+
+
 def normalized(updates: DataFrame, timeframe: str) -> DataFrame:
-    """Updates with their finality; an invalid one raises when its row is read. No revision is dropped."""
-    checked = updates.withColumn("ok", F.when(valid_update(), True).otherwise(F.raise_error(F.concat(F.lit("invalid update of "), F.col("symbol"))).cast("boolean")))
-    return checked.where("ok").drop("ok").withColumn("finality", finality(F.unix_millis("timestamp"), F.unix_millis("received"), timeframe))
+    """Checked updates with their finality. No revision is dropped."""
+    return checked(updates).withColumn("finality", finality(F.unix_millis("timestamp"), F.unix_millis("received"), timeframe))
 
 
 def backward_steps(updates: DataFrame, keys: list[str]) -> DataFrame:
