@@ -5,16 +5,22 @@ Moments leave the queries as whole milliseconds, so no session's time zone shows
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.config import MarketDataConfig
 from barloom.functions.timebar import TimeBar, month_slices
+from barloom.market_data import MarketData
+from barloom.model import BarRequest, Dataset
 from barloom.operators import coverage, quality, reading
 from barloom.plans import fixtures
 from barloom.plans.fixtures import bars_sql
+from barloom.sources import markets, provider
 from barloom.sources.catalog import events_of_runs, files_of_datasets
 from barloom.streaming import live
 
@@ -423,9 +429,11 @@ def live_finality(spark, sf_dir):
 
 
 @query(f"""WITH u AS (SELECT event_id, event_type, epoch_ms(ts) - epoch_ms(ts) % {HOUR} AS h FROM events)
-SELECT event_id, h AS ts, before FROM (SELECT *, lag(h) OVER (PARTITION BY event_type ORDER BY event_id) AS before FROM u) WHERE before > h""")
+SELECT event_id, h AS ts, before FROM (SELECT *, lag(h) OVER (PARTITION BY event_type ORDER BY event_id - 2 * (event_id % 50)) AS before FROM u) WHERE before > h""")
 def live_backwards(spark, sf_dir):
-    return live.backward_steps(_live(spark, sf_dir), KEYS).select("event_id", MS("timestamp").alias("ts"), "before")
+    """Updates that arrive fifty by fifty in reverse: those whose bar lies before the one that came before."""
+    arrived = _live(spark, sf_dir).withColumn("seq", F.col("event_id") - 2 * (F.col("event_id") % 50))
+    return live.backward_steps(arrived, KEYS).select("event_id", MS("timestamp").alias("ts"), "before")
 
 
 @query(f"""WITH {BARS}, l AS (SELECT event_type || '/USD' AS symbol, ms - ms % {HOUR} AS ts, max(event_id) AS id FROM ev WHERE ms >= {TO} GROUP BY ALL)
@@ -464,6 +472,56 @@ def join_events_runs(spark, sf_dir):
     return events_of_runs(tables).select("event_id", "run_date")
 
 
+#: What the test venue says of [start, end): an hour's price from its number, nothing in hours divisible by seven.
+_VENUE = f"""SELECT h * {HOUR} AS ts, 100.0::DOUBLE + h % 10 AS open, 101.0::DOUBLE + h % 10 AS high, 99.0::DOUBLE + h % 10 AS low,
+ 100.0::DOUBLE + h % 10 AS "close", 10.0::DOUBLE AS volume FROM (SELECT unnest(range({FROM // HOUR}, {TO // HOUR})) AS h) WHERE h % 7 <> 0"""
+_DATASET = Dataset("okx", "BTC/USDT", "spot", None, "1h")
+
+
+@query(f"SELECT 'BTC/USDT' AS symbol, * FROM ({_VENUE})")
+def src_provider_bars(spark, sf_dir):
+    """A week of a provider's bars, a partition a page; holes stay holes."""
+    request = BarRequest(_DATASET, datetime.fromtimestamp(FROM / 1000, UTC), datetime.fromtimestamp(TO / 1000, UTC))
+    bars, _, _ = provider.observe(spark, request, "barloom.sources.provider:flat_client", page=48)
+    return told(bars)
+
+
+def _store(spark) -> MarketData:
+    """A fresh store in the shared checkpoint folder."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='barloom-')}/store-{uuid.uuid4().hex}".removeprefix("file:")
+    venue = provider.Provider("flat", "1", "barloom.sources.provider:flat_client", page=48)
+    return MarketData(spark, MarketDataConfig(f"{folder}/state", f"{folder}/data"), provider=venue)
+
+
+@query(f"""SELECT ts, open, high, low, "close", volume FROM ({_VENUE}) WHERE ts >= {FROM + DAY}""")
+def sync_scan(spark, sf_dir):
+    """A week synced in two overlapping steps into month files, then read back by coverage from its second day."""
+    bars = _store(spark).bars(*(getattr(_DATASET, k) for k in ("exchange", "symbol", "market", "settle", "timeframe")))
+    at = [datetime.fromtimestamp(t / 1000, UTC) for t in (FROM, FROM + 3 * DAY, FROM + DAY, TO)]
+    bars.sync(at[0], at[1])
+    bars.sync(at[2], at[3])
+    return told(bars.scan_partial(at[2], at[3]).data).drop("symbol")
+
+
+@query(f"""WITH v AS ({_VENUE}), h AS (SELECT x * {HOUR} AS ts FROM (SELECT unnest(range({FROM // HOUR}, {TO // HOUR})) AS x))
+SELECT h.ts AS start, h.ts + {HOUR} AS "end", 'unavailable' AS status FROM h ANTI JOIN v USING (ts)""")
+def sync_gaps(spark, sf_dir):
+    """What a sync proves unavailable: the holes of the venue."""
+    bars = _store(spark).bars(*(getattr(_DATASET, k) for k in ("exchange", "symbol", "market", "settle", "timeframe")))
+    done = bars.sync(datetime.fromtimestamp(FROM / 1000, UTC), datetime.fromtimestamp(TO / 1000, UTC))
+    return spark.createDataFrame(list(done.gaps), "start long, end long, status string")
+
+
+@query("""WITH m AS (SELECT substr(n_name, 1, 8) || '/USD' AS symbol, n_regionkey AS r FROM nation), u AS (SELECT symbol, min(r) AS r FROM m GROUP BY symbol HAVING count(*) = 1)
+SELECT symbol, CASE WHEN r > 0 THEN r::VARCHAR END AS tick_size, '1d,1h' AS timeframes FROM u""")
+def definitions_translated(spark, sf_dir):
+    """Nations as a venue's native markets: two of one identity both go, a tick of 0 is none, foreign timeframes drop out."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", "n_regionkey").collect()
+    native = [{"base": r["n_name"][:8], "quote": "USD", "spot": True, "precision": {"price": r["n_regionkey"]}} for r in rows]
+    found = markets.translate(spark, native, "sim", "spot", ["1h", "60", "1d", "2w"])
+    return found.select("symbol", F.col("tick_size").cast("int").cast("string").alias("tick_size"), F.array_join("timeframes", ",").alias("timeframes"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived bars, checked, restricted to what coverage proves of a week."""
     return scan_restricted(spark, sf_dir)
