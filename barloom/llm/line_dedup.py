@@ -4,6 +4,9 @@ Lines that occur often enough are sketched: a HyperLogLog sketch of sites for ea
 A line whose estimate lies clear of the threshold is decided by it; near the threshold the distinct sites are counted
 exactly. A boilerplate line stays where it stands first and goes everywhere else.
 
+The HOT most frequent lines, a list of that length and no more, are known in every task and dealt over SALTS partitions each;
+any other line has at most one HOT-th of all rows. So no join gathers one line's rows in a task.
+
 DataFrame expressions only; the text is read twice, once for the lines and once to apply the decisions.
 """
 
@@ -18,12 +21,20 @@ LAST = (1 << 63) - 1
 #: Sketches have 2**LG_K registers; a relative error beyond MARGIN, seven deviations, doesn't happen in practice.
 LG_K = 12
 MARGIN = 7 * 1.04 / (1 << LG_K) ** 0.5
+HOT = 2000
+SALTS = 64
 
 
 def _line(x: Column) -> Column:
     return F.trim(F.translate(x, "\r\t", "  "))
 
 
+def _dealt(keys: DataFrame) -> DataFrame:
+    """Keys once for each salt that their rows carry."""
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return keys.withColumn("salt", F.explode(salts))
+
+
 def drop_boilerplate(
     docs: DataFrame, min_sites: int = 5, min_chars: int = 20, doc_id: str = "doc_id", text: str = "text", site: str = "source", counts: bool = False
 ) -> DataFrame:
@@ -39,23 +50,28 @@ def drop_boilerplate(
     lines = docs.select(order.alias("doc"), F.col(site).alias("site"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
     lines = lines.withColumn("line", _line(F.col("line"))).where(F.length("line") >= min_chars)
     lines = lines.select("doc", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(77), "line").alias("h2"))
-    often = lines.groupBy("h1", "h2").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites).select("h1", "h2")
-    rows = settled(lines.join(often, ["h1", "h2"], "left_semi"))
-    spread = rows.groupBy("h1", "h2").agg(
+    often = settled(lines.groupBy("h1", "h2").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites))
+    hot = F.broadcast(often.orderBy(F.desc("n"), "h1", "h2").limit(HOT).select("h1", "h2", F.lit(True).alias("hot")))
+    marked = lines.join(hot, ["h1", "h2"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    marked = marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "at"), F.lit(SALTS)).cast("int")).otherwise(0))
+    wanted = _dealt(often.join(hot, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("hot", F.lit(False)).alias("hot")))
+    on = ["h1", "h2", "salt"]
+    rows = settled(marked.join(wanted.select(*on), on, "left_semi"))
+    spread = rows.groupBy("h1", "h2", "hot").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min(F.struct("doc", "at")).alias("first")
     )
     spread = settled(spread)
     low, high = min_sites * (1 - MARGIN), min_sites * (1 + MARGIN)
     near = spread.where(F.col("sites").between(low, high))
     exact = (
-        rows.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct()
+        rows.join(_dealt(near).select(*on), on, "left_semi").select("h1", "h2", "site").distinct()
         .groupBy("h1", "h2").agg(F.count("site").alias("exact")).where(F.col("exact") >= min_sites)
     )
-    boilerplate = spread.where(F.col("sites") > high).select("h1", "h2", "first").union(
-        near.join(exact, ["h1", "h2"], "left_semi").select("h1", "h2", "first")
+    boilerplate = spread.where(F.col("sites") > high).select("h1", "h2", "hot", "first").union(
+        near.join(exact, ["h1", "h2"], "left_semi").select("h1", "h2", "hot", "first")
     )
     gone = (
-        rows.join(boilerplate, ["h1", "h2"])
+        rows.join(_dealt(boilerplate).drop("hot"), on)
         .where("doc <> first.doc OR at <> first.at")
         .groupBy("doc")
         .agg(F.collect_set(F.struct("at", "h1")).alias("gone"))
