@@ -158,6 +158,19 @@ class BarDataset:
             raise UnsupportedError(f"no single settlement fits {d.symbol}; name it")
         return Dataset(d.exchange, d.symbol, d.market, found[0]["settle"], d.timeframe)
 
+    def _offered(self, d: Dataset) -> dict[str, str]:
+        """What the venue's definition says of a derivative; UnsupportedError if it lists the market or timeframe not.
+
+        A provider without definitions is taken at its word.
+        """
+        if self.data.provider.markets is None:
+            return {}
+        listed = self.data.fetch_markets(d.exchange, d.market).where((F.col("symbol") == d.symbol) & F.col("settle").eqNullSafe(F.lit(d.settle).cast("string"))).collect()
+        if len(listed) != 1 or d.timeframe not in listed[0]["timeframes"]:
+            raise UnsupportedError(f"{d} is not listed")
+        facts = {k: listed[0][k] for k in store.DERIVATIVE} if d.market == "perpetual" else {}
+        return {k: str(v).lower() if isinstance(v, bool) else v for k, v in facts.items() if v is not None}
+
     def _known(self) -> Dataset:
         """As `resolved`, from the catalog."""
         d = self.dataset
@@ -188,6 +201,7 @@ class BarDataset:
     def fetch(self, start: Time, end: Time | None = None) -> DataFrame:
         """Checked bars from the provider, in order; neither catalog nor files are touched."""
         request = self._request(start, end, self.resolved(), reading.GRACE_MS)
+        self._offered(request.dataset)
         p = self.data.provider
         bars, _, _ = providers.observe(self.data.spark, request, p.client, p.page, self.data.now)
         return bars.drop("seq").orderBy("timestamp")
@@ -245,11 +259,12 @@ class BarDataset:
             try:
                 if lineage not in (None, data.provider.name):
                     raise SyncError(f"{d} comes from {lineage}, not from {data.provider.name}")
+                facts = self._offered(d)
                 missing = [g for g in self._cut(stored, s, e)[1] if g[2] == "missing"]
                 windows = coverage.fetch_windows(self._segments(missing), d.timeframe, ONE).orderBy("start").collect()
                 fetched, segments, warnings, kept = self._observe(d, windows, missing, observed)
                 if kept is not None:
-                    manifest = store.prepare(kept, data.config.data_dir, data.provider.name)
+                    manifest = store.prepare(kept, data.config.data_dir, data.provider.name, facts)
             except BaseException as failure:
                 store.discard(manifest)
                 self._fail(d, run, s, e, failure)

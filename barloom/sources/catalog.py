@@ -42,6 +42,8 @@ class Catalog:
         fresh = not self.path.exists()
         if fresh and not create:
             raise CatalogError(f"{path} is absent")
+        if fresh and (left := [t for t in ("-wal", "-shm", "-journal") if Path(f"{path}{t}").exists()]):
+            raise CatalogError(f"{path} is absent but left {left}")
         self.path.parent.mkdir(parents=True, exist_ok=True)
         self.db = sqlite3.connect(self.path, isolation_level=None)
         self.db.execute("pragma foreign_keys = on")
@@ -56,8 +58,10 @@ class Catalog:
                     self.db.execute("insert into schema_info values (?)", (VERSION,))
             found = self.db.execute("select version from schema_info").fetchall()
         except sqlite3.DatabaseError as e:
+            self.db.close()
             raise CatalogError(f"{path}: {e}") from e
         if found != [(VERSION,)]:
+            self.db.close()
             raise CatalogError(f"{path} has version {found}; this is {VERSION}")
 
     @contextmanager

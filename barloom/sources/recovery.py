@@ -89,6 +89,7 @@ def rebuild(spark: SparkSession, root: str, catalog: str | Path) -> int:
     try:
         current = Catalog(catalog, create=False)
     except CatalogError:
+        Path(catalog).parent.mkdir(parents=True, exist_ok=True)
         temp = Path(f"{catalog}.{uuid.uuid4().hex}")
         fresh = Catalog(temp)
         fill(fresh)

@@ -39,12 +39,35 @@ def sha256_of(path: str | Path) -> str:
     return digest.hexdigest()
 
 
-def footer(d: Dataset, year: int, month: int, rows: int, first: int, last: int, provider: str) -> dict[str, str]:
+#: Facts of a derivative that a footer may carry.
+DERIVATIVE = ("linear", "inverse", "contract_size")
+
+
+def merged_facts(old: dict[str, str], new: dict[str, str]) -> dict[str, str]:
+    """What is known of a derivative stays and grows; StorageError if it would change."""
+    if differ := [k for k in old if k in new and old[k] != new[k]]:
+        raise StorageError(f"{', '.join(differ)} would change")
+    return old | new
+
+
+def managed(path: str | Path, root: str) -> Path:
+    """The path, if it lies below the root and no part of it below the root is a link; else StorageError."""
+    path, below = Path(path), Path(root)
+    if ".." in path.parts or not path.is_relative_to(below):
+        raise StorageError(f"{path} lies outside {root}")
+    for part in path.relative_to(below).parts:
+        below = below / part
+        if below.is_symlink():
+            raise StorageError(f"{below} is a link")
+    return path
+
+
+def footer(d: Dataset, year: int, month: int, rows: int, first: int, last: int, provider: str, derivative: dict[str, str] | None = None) -> dict[str, str]:
     found = {
         "layout_version": LAYOUT_VERSION, "exchange": d.exchange, "symbol": d.symbol, "market": d.market, "timeframe": d.timeframe, "year": str(year), "month": str(month),
         "row_count": str(rows), "first": str(first), "last": str(last), "provider": provider,
     }
-    return found | ({"settle": d.settle} if d.settle else {})
+    return found | ({"settle": d.settle} if d.settle else {}) | (derivative or {})
 
 
 def read_month(path: str | Path, root: str) -> tuple[Dataset, dict[str, str], pa.Table]:
@@ -58,7 +81,7 @@ def read_month(path: str | Path, root: str) -> tuple[Dataset, dict[str, str], pa
     d = Dataset(*(notes.get(k) for k in KEY))
     at = table["timestamp"].cast(pa.int64())
     values = at.to_pylist()
-    told = footer(d, int(notes["year"]), int(notes["month"]), len(values), values[0] if values else 0, values[-1] if values else 0, notes.get("provider", ""))
+    told = footer(d, int(notes["year"]), int(notes["month"]), len(values), values[0] if values else 0, values[-1] if values else 0, notes.get("provider", ""), {k: notes[k] for k in DERIVATIVE if k in notes and d.market == "perpetual"})
     if told != notes:
         raise StorageError(f"{path}: the footer differs from the rows")
     if Path(path) != month_path(root, d, int(notes["year"]), int(notes["month"])):
@@ -71,7 +94,7 @@ def read_month(path: str | Path, root: str) -> tuple[Dataset, dict[str, str], pa
     return d, notes, table
 
 
-def prepare(bars: DataFrame, root: str, provider: str) -> list:
+def prepare(bars: DataFrame, root: str, provider: str, derivative: dict[str, str] | None = None) -> list:
     """Phase one: merge each dataset's month with its file and write it beside it; the manifest rows.
 
     The batch wins over stored rows, and later `seq` over earlier. One task holds one dataset's month.
@@ -80,18 +103,20 @@ def prepare(bars: DataFrame, root: str, provider: str) -> list:
     def write(table: pa.Table) -> pa.Table:
         one = {k: table[k][0].as_py() for k in KEY}
         d, year, month = Dataset(*one.values()), table["year"][0].as_py(), table["month"][0].as_py()
-        path = month_path(root, d, year, month)
+        path = managed(month_path(root, d, year, month), root)
+        facts = derivative or {}
         new = table.sort_by([("timestamp", "ascending"), ("seq", "ascending")]).select(ARROW.names).cast(ARROW)
         rows = {t: r for t, r in zip(new["timestamp"].cast(pa.int64()).to_pylist(), new.to_pylist(), strict=True)}
         if path.exists():
-            old_d, _, old = read_month(path, root)
-            if old_d != d:
-                raise StorageError(f"{path}: another dataset")
+            old_d, notes, old = read_month(path, root)
+            if old_d != d or notes["provider"] != provider:
+                raise StorageError(f"{path}: another dataset or provider")
+            facts = merged_facts({k: notes[k] for k in DERIVATIVE if k in notes}, facts)
             rows = dict(zip(old["timestamp"].cast(pa.int64()).to_pylist(), old.to_pylist(), strict=True)) | rows
         order = sorted(rows)
         merged = pa.Table.from_pylist([rows[t] for t in order], ARROW)
-        merged = merged.replace_schema_metadata(footer(d, year, month, len(order), order[0], order[-1], provider))
-        path.parent.mkdir(parents=True, exist_ok=True)
+        merged = merged.replace_schema_metadata(footer(d, year, month, len(order), order[0], order[-1], provider, facts))
+        path.parent.mkdir(parents=True, exist_ok=True)  # what a writer that died left here goes once the month is published
         temp = path.parent / f".data-{uuid.uuid4().hex}.tmp"
         try:
             with open(temp, "wb") as f:

@@ -159,3 +159,37 @@ def test_config(tmp_path, monkeypatch):
     file.write_text('other = "x"\n')
     with pytest.raises(InvalidRequestError):
         config.resolve_config()
+
+
+def test_derivatives_and_links(spark, make, monkeypatch, tmp_path):
+    def listed(contract):
+        return lambda exchange, market: ([NATIVE[0] | {"contractSize": contract}], ["1h"])
+
+    load, size = provider.load, [0.01]
+    monkeypatch.setattr(provider, "load", lambda name: listed(size[0]) if name == "venue" else load(name))
+    data = make(provider.Provider("steady", "1", "barloom.sources.provider:steady_client", markets="venue", page=100))
+    bars = data.bars("okx", "BTC/USDT", "perpetual")
+    bars.sync("2024-01-01", "2024-01-02").require_complete()
+    file = store.month_files(data.config.data_dir)[0]
+    d, notes, _ = store.read_month(file, data.config.data_dir)
+    assert d.settle == "USDT" and {k: notes[k] for k in store.DERIVATIVE} == {"linear": "true", "inverse": "false", "contract_size": "0.01"}
+    assert bars.scan("2024-01-01", "2024-01-02").count() == 24
+    size[0] = 0.02
+    with pytest.raises(Exception, match="would change"):
+        bars.sync("2024-01-02", "2024-01-03")
+    size[0] = 0.01
+    assert bars.sync("2024-01-02", "2024-01-03").is_complete and data.rebuild_catalog() == 1 and data.validate().count() == 0
+    with pytest.raises(UnsupportedError):
+        data.bars("okx", "BTC/USDT", "perpetual", timeframe="4h").sync("2024-01-01", "2024-01-02")
+    (tmp_path / "data" / "link").symlink_to(tmp_path)
+    for wrong in (tmp_path / "data" / "link" / "x", tmp_path / "elsewhere", tmp_path / "data" / ".." / "x"):
+        with pytest.raises(StorageError):
+            store.managed(wrong, str(tmp_path / "data"))
+
+
+def test_a_lost_catalog_with_leftovers_is_refused(make):
+    data = make()
+    Path(data.config.state_dir).mkdir(parents=True)
+    Path(f"{data.config.catalog}-wal").write_bytes(b"x")
+    with pytest.raises(CatalogError):
+        data.bars("okx", "BTC/USDT", "spot").sync("2024-01-01", "2024-01-02")
