@@ -105,6 +105,31 @@ def test_line_dedup(spark, odd, none):
     assert [r["text"] for r in out.where("doc_id = 1").collect()] == [None]
 
 
+@pytest.mark.parametrize("hot", [1, 3, 2000])
+def test_line_dedup_beyond_its_list_of_hot_lines(spark, monkeypatch, hot):
+    """Whatever lines the list of hot ones holds, the result is that of a plain count of sites."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rng = np.random.default_rng(hot)
+    pool = [f"a line of many documents, number {i}" for i in range(12)]
+    rows = []
+    for i in range(150):
+        # Line k stands on about k + 1 sites; line 0 is the most frequent and stands on one.
+        lines = [pool[k] for k in range(12) if i % 20 <= k and rng.random() < 0.6] + [f"the own line of document {i}"]
+        rows.append((i, "\n".join([pool[0]] * (i % 20 == 0) * 3 + lines), "en", f"s{i % 20}", 0))
+    sites, first = {}, {}
+    for i, text, _, site, _ in rows:
+        for at, line in enumerate(text.split("\n")):
+            sites.setdefault(line, set()).add(site)
+            first[line] = min(first.get(line, (i, at)), (i, at))
+    for least in (5, 9):
+        want = {
+            i: "\n".join(x for at, x in enumerate(text.split("\n")) if len(sites[x]) < least or first[x] == (i, at)) for i, text, *_ in rows
+        }
+        got = line_dedup.drop_boilerplate(spark.createDataFrame(rows, FIELDS), min_sites=least).collect()
+        assert {r["doc_id"]: r["text"] for r in got} == want and len(got) == len(rows)
+        assert want != {i: text for i, text, *_ in rows}
+
+
 # 3
 
 
