@@ -14,10 +14,11 @@ links, so a group of near copies costs rows in proportion to its size.
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import connected_components, settled
@@ -26,6 +27,9 @@ BLOCK = 4096
 LEAF = 256
 #: Principal directions of the grid and of the bounding boxes.
 LEADING = 8
+#: Vertices of the graph: a class's smallest vec_id, or one beyond all of them for a class that has none.
+VERTEX = "decimal(20,0)"
+UNNAMED = Decimal(1 << 63)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -141,7 +145,7 @@ def _roots(n: int, edges: np.ndarray) -> np.ndarray:
 
 
 def _blocks(classes: DataFrame, directions: np.ndarray, dim: int, eps: float) -> DataFrame:
-    """The classes in grid order, packed: block, cells lo and hi on the first direction, lo, hi, cls, node, n, vectors."""
+    """The classes in grid order, packed: block, cells lo and hi on the first direction, lo, hi, cls, node, named, n, vectors."""
     k, side = directions.shape[1], max(eps, 1 / 32)
 
     def cells(batches):
@@ -185,13 +189,14 @@ def _blocks(classes: DataFrame, directions: np.ndarray, dim: int, eps: float) ->
                 "lo": pa.array([p.min(0).tolist()], pa.list_(pa.float64())),
                 "hi": pa.array([p.max(0).tolist()], pa.list_(pa.float64())),
                 "cls": pa.array([whole("cls").astype(np.int64).tobytes()]),
-                "node": pa.array([table["node"].fill_null(-1).to_numpy().astype(np.int64).tobytes()]),
+                "node": pa.array([table["node"].fill_null(0).to_numpy().astype(np.int64).tobytes()]),
+                "named": pa.array([table["node"].is_valid().to_numpy().tobytes()]),
                 "n": pa.array([whole("n").astype(np.int64).tobytes()]),
                 "vectors": pa.array([vectors.astype(np.float64 if vectors.dtype == np.float64 else np.float32).tobytes()]),
             }
         )
 
-    schema = "block long, cell_lo long, cell_hi long, lo array<double>, hi array<double>, cls binary, node binary, n binary, vectors binary"
+    schema = "block long, cell_lo long, cell_hi long, lo array<double>, hi array<double>, cls binary, node binary, named binary, n binary, vectors binary"
     return settled(numbered.select("block", "seq", "cls", "node", "n", "vector").groupBy("block").applyInArrow(packed, schema))
 
 
@@ -214,13 +219,13 @@ def _block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
 
 
 def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(cls, node, links, root): for each class and block pair that links it, copies linked and a node of its component."""
+    """(cls, node, links, root_cls, root): for each class and block pair that links it, copies linked and a class of its component; null nodes stay null."""
     eps = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9) + 1e-9
     directions = _principal(classes, dim)
     blocks = _blocks(classes, directions, dim, eps)
     pairs = settled(_block_pairs(blocks, eps))
     sides = pairs.select("a", "b", F.col("a").alias("block")).union(pairs.where("a <> b").select("a", "b", F.col("b").alias("block")))
-    dealt = sides.join(blocks.select("block", "cls", "node", "n", "vectors"), "block")
+    dealt = sides.join(blocks.select("block", "cls", "node", "named", "n", "vectors"), "block")
 
     def join(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
@@ -229,17 +234,23 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
             n = np.frombuffer(row["n"], np.int64)
             raw = row["vectors"]
             v = unit(np.frombuffer(raw, np.float32 if len(raw) == 4 * dim * len(n) else np.float64).reshape(-1, dim))
-            read.append((np.frombuffer(row["cls"], np.int64), np.frombuffer(row["node"], np.int64), (v @ directions, v, n)))
+            names = np.frombuffer(row["cls"], np.int64), np.frombuffer(row["node"], np.int64), np.frombuffer(row["named"], bool)
+            read.append((names, (v @ directions, v, n)))
         first, second = read[0], read[1] if len(read) > 1 else None
-        links_a, links_b, edges = join_intervals(first[2], second and second[2], threshold, eps)
-        cls, node, links = first[0], first[1], links_a
+        links_a, links_b, edges = join_intervals(first[1], second and second[1], threshold, eps)
+        (cls, node, named), links = first[0], links_a
         if second:
-            cls, node, links = (np.concatenate(x) for x in ((cls, second[0]), (node, second[1]), (links_a, links_b)))
-        root = node[_roots(len(cls), edges)]
-        some = links > 0
-        return pa.table({"cls": cls[some], "node": node[some], "links": links[some], "root": root[some]})
+            cls, node, named, links = (np.concatenate(x) for x in (*zip(first[0], second[0], strict=True), (links_a, links_b)))
+        some = np.flatnonzero(links > 0)
+        root = _roots(len(cls), edges)[some]
+        ids = lambda at: pa.array(node[at], mask=~named[at])
+        return pa.table({"cls": cls[some], "node": ids(some), "links": links[some], "root_cls": cls[root], "root": ids(root)})
 
-    return settled(dealt.groupBy("a", "b").applyInArrow(join, "cls long, node long, links long, root long"))
+    return settled(dealt.groupBy("a", "b").applyInArrow(join, "cls long, node long, links long, root_cls long, root long"))
+
+
+def _vertex(node: str, cls: str) -> Column:
+    return F.coalesce(F.col(node).cast(VERTEX), (F.col(cls).cast("decimal(19,0)") + F.lit(UNNAMED)).cast(VERTEX))
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -280,12 +291,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
     if linked is None:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     counts = linked.groupBy("cls").agg(F.sum("links").alias("links"))
-    components = connected_components(linked.where("node <> -1 AND root <> -1"), "node", "root")
+    # A vec_id in several classes makes them one node.
+    named = keyed.where("vector IS NOT NULL AND vec_id IS NOT NULL").groupBy("vec_id")
+    many = named.agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo <> hi").select("vec_id")
+    same = keyed.join(many, "vec_id").join(classes.select("h1", "h2", "node"), ["h1", "h2"])
+    edges = linked.select(_vertex("node", "cls").alias("a"), _vertex("root", "root_cls").alias("b"))
+    edges = edges.union(same.select(F.col("vec_id").cast(VERTEX), F.col("node").cast(VERTEX)))
+    components = connected_components(edges).withColumnRenamed("node", "vertex")
+    least = F.when(F.col("component") < F.lit(UNNAMED), F.col("component").cast("long"))
     by_class = (
-        classes.select("h1", "h2", "cls", "node", "n")
+        classes.select("h1", "h2", "cls", "node", "n", _vertex("node", "cls").alias("vertex"))
         .join(counts, "cls", "left")
-        .join(components, "node", "left")
-        .select("h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+        .join(components, "vertex", "left")
+        .select("h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce(least, "node").alias("component_id"))
     )
     component = F.coalesce("component_id", "vec_id")
     return keyed.join(by_class, ["h1", "h2"], "left").select(

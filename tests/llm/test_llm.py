@@ -197,6 +197,28 @@ def test_grid_join(spark):
     assert grid_join.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_grid_join_links_through_null_ids(spark):
+    """Rows with a null id take part like any other, -1 is an id like any other, and rows that share an id are one node."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(50, 6))
+    v = np.concatenate([base] + [base + rng.normal(0, 0.12, base.shape) for _ in range(5)] + [base[:9]])
+    ids = [None if rng.random() < 0.5 else int(i) - 1 for i in rng.permutation(len(v))]
+    ids[3] = ids[60] = ids[117] = 10_000  # unlike vectors, one id
+    rows = [(i, [float(x) for x in r]) for i, r in zip(ids, v, strict=True)]
+    got = grid_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95).collect()
+    near = grid_join.unit(v) @ grid_join.unit(v).T >= 0.95
+    same = [(a, b) for a in range(len(v)) for b in range(a) if ids[a] is not None and ids[a] == ids[b]]
+    plain = components(range(len(v)), [*zip(*np.nonzero(near), strict=True), *same])
+    least = collections.defaultdict(list)
+    for at, root in plain.items():
+        least[root] += [ids[at]] if ids[at] is not None else []
+    want = collections.Counter()
+    for at, root in plain.items():
+        low = min(least[root], default=None)
+        want[ids[at], int(near[at].sum()) - 1, low, ids[at] is None or ids[at] == low] += 1
+    assert -1 in ids and collections.Counter(map(tuple, got)) == want
+
+
 def test_grid_join_skips_only_distant_blocks():
     rng = np.random.default_rng(5)
     v = grid_join.unit(np.repeat(rng.normal(size=(60, 5)), 20, 0) + rng.normal(0, 0.02, (1200, 5)))
