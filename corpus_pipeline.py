@@ -25,8 +25,8 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many sites share, but where they stand first; n_chars follows the text."""
-    kept = line_dedup.drop_boilerplate(docs)
+    """Documents without the lines, however short, that many sites share, but where they stand first; n_chars follows the text."""
+    kept = line_dedup.drop_boilerplate(docs, min_chars=1)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -498,3 +498,25 @@ def test_pipeline_stages(spark, documents):
     assert drawn.columns == docs.columns and drawn.exceptAll(docs).count() == 0
     clean = stages["toxicity"](spark, docs, SF)
     assert clean.columns == docs.columns and clean.exceptAll(docs).count() == 0 and clean.count() > 0.7 * docs.count()
+
+
+def plain_lines(rows, least=5):
+    """Texts of rows (doc_id, text, source) without the non-empty lines on `least` sites, but for the first place of each."""
+    cut = lambda x: x.replace("\r", " ").replace("\t", " ").strip(" ")
+    sites, first = {}, {}
+    for i, text, site in rows:
+        for at, line in enumerate(text.split("\n")):
+            sites.setdefault(cut(line), set()).add(site)
+            first[cut(line)] = min(first.get(cut(line), (i, at)), (i, at))
+    stays = lambda i, at, x: not x or len(sites[x] - {None}) < least or first[x] == (i, at)
+    return {i: "\n".join(x for at, x in enumerate(text.split("\n")) if stays(i, at, cut(x))) for i, text, _ in rows}
+
+
+def test_pipeline_drops_short_boilerplate(spark):
+    import corpus_pipeline as pipeline
+
+    rows = [(i, f"Les.\n\nown line number {i}\n x\nthis boilerplate stands on many sites", "en", f"s{i % 6}", 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, FIELDS).withColumn("n_chars", F.length("text").cast("long"))
+    got = pipeline.drop_boilerplate(spark, docs, SF).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == plain_lines([(i, t, s) for i, t, _, s, _ in rows])
+    assert all(r["text"] == f"\nown line number {r['doc_id']}" and r["n_chars"] == len(r["text"]) for r in got if r["doc_id"])
