@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import line_dedup, minhash, mixing, packing, toxicity
-from barloom.llm.common import prepare_checkpoints
+from barloom.llm.common import prepare_checkpoints, settled
 from barloom.llm.queries import MIX_LEVELS, MIX_WEIGHTS, table, tokenizer_path, with_domain
 
 
@@ -31,10 +31,18 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: shingles of five words, similarity 0.8."""
-    judged = minhash.near_duplicates(docs, words=5, threshold=0.8)
-    gone = judged.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """One row of each group of near-duplicates, one with the smallest doc_id: shingles of five words, similarity 0.8.
+
+    Rows are compared by numbers of their own, so that those with a null doc_id, or one they share, are told apart.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    rows = settled(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()))
+    judged = minhash.near_duplicates(rows, words=5, threshold=0.8, doc_id="row", text=text)
+    judged = judged.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).join(rows.select("row", doc), "row")
+    first = judged.groupBy("group").agg(F.min(F.struct(F.col(doc).isNull().alias("unnamed"), doc, "row")).alias("first"))
+    stays = rows.join(first.select(F.col("first.row").alias("row")), "row", "left_semi")
+    return stays.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def draw(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -520,3 +520,23 @@ def test_pipeline_drops_short_boilerplate(spark):
     got = pipeline.drop_boilerplate(spark, docs, SF).collect()
     assert {r["doc_id"]: r["text"] for r in got} == plain_lines([(i, t, s) for i, t, _, s, _ in rows])
     assert all(r["text"] == f"\nown line number {r['doc_id']}" and r["n_chars"] == len(r["text"]) for r in got if r["doc_id"])
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark, documents):
+    """Repeated rows, null ids and shared ids included."""
+    import corpus_pipeline as pipeline
+
+    rows = [(r["doc_id"], r["text"]) for r in documents.limit(60).collect()]
+    words = " ".join(f"w{k}" for k in range(80))
+    rows += rows[:5] + [(None, words)] * 4 + [(None, f"{words} {k}") for k in range(3)] + [(None, rows[7][1]), (7000, f"other {words} x"), (rows[9][0], "a b c d e f g")]
+    rows += [(None, None)] * 2
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], FIELDS)
+    got = pipeline.drop_near_duplicates(spark, docs, SF)
+    plain = plain_near(enumerate(t for _, t in rows), 5, 80)[1]
+    best = {}
+    for at, group in plain.items():
+        i = rows[at][0]
+        best[group] = min(best.get(group, (True, 0)), (i is None, i or 0))
+    want = collections.Counter(None if unnamed else i for unnamed, i in best.values())
+    assert collections.Counter(r["doc_id"] for r in got.collect()) == want and want[7000] == 1 and want[None] == 2
+    assert got.columns == docs.columns and got.exceptAll(docs).count() == 0
