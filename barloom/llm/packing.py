@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +28,6 @@ from barloom.llm.common import settled
 
 #: Rests packed by one task, about; the number of partitions grows with the input.
 PARTITION_ROWS = 10_000
-#: Exchanges at most; each must save a sequence to be followed by another.
-ROUNDS = 4
 
 
 def tokenize(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,7 +157,7 @@ def place(rests: DataFrame, capacity: int) -> DataFrame:
                 {
                     "row": group["row"].to_numpy(),
                     "rest": lengths.astype(np.int32),
-                    "sequence_id": (round_no << 56 | part << 20) + bins,
+                    "sequence_id": (round_no << 44 | part << 20) + bins,
                     "offset": offset,
                     "given": given[bins],
                 }
@@ -170,7 +169,7 @@ def place(rests: DataFrame, capacity: int) -> DataFrame:
     kept: list[DataFrame] = []
     pool, n_pool, n_kept, before = rests, n_rows, 0, None
     held = None  # the last packing of the pool, which stands if an exchange brings nothing
-    for round_no in range(ROUNDS):
+    for round_no in itertools.count():
         parts = -(-n_pool // PARTITION_ROWS) or 1
         part = F.pmod(F.xxhash64("row", F.lit(round_no)), F.lit(parts))
         now = settled(pool.withColumn("part", part).groupBy("part").applyInPandas(packed(round_no), schema))

@@ -377,6 +377,22 @@ def test_packing(odd, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packing_exchanges_until_nothing_is_saved(spark, monkeypatch):
+    packings = []
+    monkeypatch.setattr(packing, "PARTITION_ROWS", 40)
+    monkeypatch.setattr(packing, "settled", lambda df: packings.append(df.cache()) or packings[-1])
+    rng = np.random.default_rng(12)
+    lengths = rng.integers(150, 700, 1500)
+    rests = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "row long, rest int")
+    placed = packing.place(rests, 1024).collect()
+    counts = [[df.where(w).select("sequence_id").distinct().count() for w in ("given", "NOT given")] for df in packings]
+    assert sorted(r["row"] for r in placed) == list(range(1500))
+    bound = packing.lower_bound(np.bincount(lengths, minlength=1025), 1024)
+    n = len({r["sequence_id"] for r in placed})
+    saved = [a[0] - sum(b) for a, b in zip(counts, counts[1:], strict=False)]
+    assert len(packings) > 4 and all(x > 0 for x in saved[:-1]) and (saved[-1] <= 0 or n == bound)
+
+
 # 7
 
 
