@@ -30,6 +30,8 @@ EMBEDDING = 8
 SAMPLE = 1500
 BATCH = 64
 EPOCHS = 5
+#: Random windows of a sampled text that the network learns from, at most.
+TEXT_WINDOWS = 6
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -97,7 +99,7 @@ def train(sample: list[tuple[str, str]], seed: int = 5) -> Network:
     for_text = np.argsort(owner[order], kind="stable")
     first = np.searchsorted(owner[order][for_text], owner[order][for_text])
     rank[order[for_text]] = np.arange(len(owner)) - first
-    some = np.flatnonzero(rank < 6)
+    some = np.flatnonzero(rank < TEXT_WINDOWS)
     windows, target = windows[some], target[some]
     params = [net.embed, *net.kernels, net.bias, net.out, net.out_bias]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0

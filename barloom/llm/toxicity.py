@@ -26,6 +26,10 @@ EMBEDDING, HIDDEN, ATTENTION = 8, 8, 8
 PIECES = (3, 4, 5)
 #: Labelled texts of each label fitted on, at most about.
 SAMPLE = 1500
+#: Windows of a sampled text that the network learns from: those with the highest log-odds, and random ones of a clean text.
+TOXIC_WINDOWS = 6
+CLEAN_WINDOWS = 2
+CLEAN_RANDOM = 1
 #: Passes over them, and the fewest steps for a small sample.
 EPOCHS, BATCH, RATE = 4, 64, 0.01
 LEAST_STEPS = 160
@@ -256,9 +260,9 @@ def train(sample: list[tuple[str, int]], seed: int = 3) -> Network:
         begin, end, _ = cut_windows(first)
         sign = word + piece
         peak = np.array([sign[v.word_of[b:e]].max() for b, e in zip(begin, end, strict=True)])
-        some = np.argsort(-peak, kind="stable")[: 6 if y else 2]
-        if not y and len(begin) > 2:
-            some = np.append(some, rng.integers(len(begin)))
+        some = np.argsort(-peak, kind="stable")[: TOXIC_WINDOWS if y else CLEAN_WINDOWS]
+        if not y and len(begin) > CLEAN_WINDOWS:
+            some = np.append(some, rng.integers(len(begin), size=CLEAN_RANDOM))
         prepared.append(_only(v, word, piece, begin[some], end[some], y))
     m = {k: np.zeros_like(p) for k, p in params.items()}
     s = {k: np.zeros_like(p) for k, p in params.items()}
