@@ -10,7 +10,6 @@ added up.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,10 +28,7 @@ EMBEDDING = 8
 #: Labelled texts of each language fitted on, at most about; and windows of a batch and passes over them.
 SAMPLE = 1500
 BATCH = 64
-EPOCHS = 5
-#: Random windows of a sampled text that the network learns from, at most.
-TEXT_WINDOWS = 6
-LETTER = re.compile(r"[^\W\d_]")
+EPOCHS = 3
 
 
 def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,7 +73,7 @@ class Network:
 
 
 def train(sample: list[tuple[str, str]], seed: int = 5) -> Network:
-    """Fit by Adam on the windows of (text, language) pairs; with no pairs, a network without labels."""
+    """Fit by Adam on all windows of (text, language) pairs; with no pairs, a network without labels."""
     labels = sorted({lab for _, lab in sample})
     rng = np.random.default_rng(seed)
     n_filters = len(WIDTHS) * FILTERS
@@ -93,14 +89,6 @@ def train(sample: list[tuple[str, str]], seed: int = 5) -> Network:
         return net
     windows, owner, _ = windows_of([encoded(t) for t, _ in sample])
     target = np.array([labels.index(lab) for _, lab in sample])[owner]
-    # Of a long text a few windows, so that none outweighs the rest.
-    order = rng.permutation(len(owner))
-    rank = np.zeros(len(owner), np.int64)
-    for_text = np.argsort(owner[order], kind="stable")
-    first = np.searchsorted(owner[order][for_text], owner[order][for_text])
-    rank[order[for_text]] = np.arange(len(owner)) - first
-    some = np.flatnonzero(rank < TEXT_WINDOWS)
-    windows, target = windows[some], target[some]
     params = [net.embed, *net.kernels, net.bias, net.out, net.out_bias]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(EPOCHS):
@@ -155,7 +143,7 @@ def identify(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str =
 
     def run(batches):
         for batch in batches:
-            rows = ((i.as_py(), encoded(t.as_py()), h.as_py(), bool(LETTER.search(t.as_py() or ""))) for i, t, h in zip(*batch.columns, strict=True))
+            rows = ((i.as_py(), encoded(t.as_py()), h.as_py(), any(map(str.isalpha, t.as_py() or ""))) for i, t, h in zip(*batch.columns, strict=True))
             for group in grouped(rows):
                 asked = [k for k, r in enumerate(group) if r[3] and net.labels]
                 names, scores = ["und"] * len(group), [0.0] * len(group)

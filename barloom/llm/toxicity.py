@@ -1,15 +1,15 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 Words are runs of letters and digits, lower-cased. A word's input joins a word part (an embedding of its hash) and a
-character part (the mean embedding of the hashes of its 3- to 5-byte pieces, ends marked), and for each of the two the
-log-odds of toxicity that the labelled texts give (for the pieces, the largest). Overlapping windows of WINDOW
-words run through a gated recurrent network in both directions; attention weighs the states, and a logistic layer
-scores the window. A text scores as its highest window does; every word of every text lies in a window.
+character part (the mean embedding of the hashes of its 3- to 5-byte pieces, ends marked); both are learned with the
+network and nothing else is told about a word. Overlapping windows of WINDOW words run through a gated recurrent network
+in both directions; attention weighs the states, and a logistic layer scores the window. A text scores as its highest
+window does; every word of every text lies in a window.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +22,20 @@ from barloom.llm.sampling import drawn, fitted
 
 WINDOW, STRIDE = 64, 48
 BUCKETS = 1 << 16
-EMBEDDING, HIDDEN, ATTENTION = 8, 8, 8
+EMBEDDING, HIDDEN, ATTENTION = 16, 8, 8
 PIECES = (3, 4, 5)
 #: Labelled texts of each label fitted on, at most about.
 SAMPLE = 1500
-#: Windows of a sampled text that the network learns from: those with the highest log-odds, and random ones of a clean text.
-TOXIC_WINDOWS = 6
-CLEAN_WINDOWS = 2
-CLEAN_RANDOM = 1
-#: Passes over them, and the fewest steps for a small sample.
-EPOCHS, BATCH, RATE = 4, 64, 0.01
-LEAST_STEPS = 160
-#: The embeddings learn slower and shrink, so that few texts aren't learned by heart.
-TABLE_RATE, SHRINK = 0.001, 0.002
-#: Share of the texts that show their embeddings in a step; the others must be told by the log-odds alone.
-SHOWN = 0.5
+#: Passes over the sampled texts, and the fewest steps for a small sample.
+EPOCHS, BATCH, RATE = 4, 32, 0.01
+LEAST_STEPS = 300
+#: After this many steps the rate is half of RATE.
+SLOWER = 100
+#: Words and pieces in fewer sampled texts than this have no embedding of their own, so that few texts aren't learned by heart.
+MIN_TEXTS = 3
+#: The embeddings shrink by this at every step; and the share of words that a step hides.
+SHRINK, HIDE = 0.001, 0.1
 THRESHOLD = 0.7
-#: Strength of the prior in the log-odds, in texts.
-PRIOR = 4.0
-_INPUTS = EMBEDDING + 2
 _BLANKED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -58,6 +53,18 @@ class Vocabulary:
     piece: np.ndarray  # buckets of the pieces, distinct word by distinct word
     first: np.ndarray  # where each distinct word's pieces begin
 
+    def only(self, some: np.ndarray) -> Vocabulary:
+        """The distinct words `some`, without a text."""
+        n = np.diff(np.append(self.first, len(self.piece)))[some]
+        first = np.cumsum(n) - n
+        return Vocabulary(self.word_of[:0], self.word[some], self.piece[np.repeat(self.first[some] - first, n) + np.arange(n.sum())], first)
+
+    def steps(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct words, index into them (steps, windows), mask) of the windows."""
+        at = begin[None, :] + np.arange(int((end - begin).max(initial=1)))[:, None]
+        used, index = np.unique(self.word_of[np.minimum(at, len(self.word_of) - 1)], return_inverse=True)
+        return used, index.reshape(at.shape), (at < end[None, :]).astype(np.float32)
+
 
 def vocabulary(words: wordhash.Words) -> Vocabulary:
     hashes, at, word_of = np.unique(words.hashes, return_index=True, return_inverse=True)
@@ -99,25 +106,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    word_odds: np.ndarray  # (BUCKETS,)
-    piece_odds: np.ndarray
+    word_row: np.ndarray  # row of "words" for each bucket, 0 for rare ones
+    piece_row: np.ndarray
     params: dict[str, np.ndarray]
 
-    def inputs(self, v: Vocabulary, word_odds=None, piece_odds=None) -> np.ndarray:
-        """(distinct words, inputs)."""
-        p = self.params
-        w = self.word_odds[v.word] if word_odds is None else word_odds
-        c = np.maximum.reduceat((self.piece_odds if piece_odds is None else piece_odds)[v.piece], v.first)
+    def inputs(self, v: Vocabulary) -> np.ndarray:
+        """(distinct words, 2 * EMBEDDING): the word's embedding, then the mean of its pieces'."""
         n = np.diff(np.append(v.first, len(v.piece)))
-        chars = np.add.reduceat(p["chars"][v.piece], v.first, 0) / n[:, None]
-        return np.concatenate([p["words"][v.word] + chars, w[:, None], c[:, None]], 1).astype(np.float32)
+        chars = np.add.reduceat(self.params["chars"][self.piece_row[v.piece]], v.first, 0) / n[:, None]
+        return np.concatenate([self.params["words"][self.word_row[v.word]], chars], 1).astype(self.params["words"].dtype)
 
     def _run(self, xw: np.ndarray, mask: np.ndarray, way: str, keep: list | None) -> np.ndarray:
         """States (steps, windows, HIDDEN) from inputs already multiplied (steps, windows, 3 * HIDDEN)."""
         u, uc = self.params[f"u{way}"], self.params[f"uc{way}"]
         steps, n = mask.shape
-        h = np.zeros((n, HIDDEN), np.float32)
-        out = np.empty((steps, n, HIDDEN), np.float32)
+        h = np.zeros((n, HIDDEN), xw.dtype)
+        out = np.empty((steps, n, HIDDEN), xw.dtype)
         for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
             gates = _sigmoid(xw[t, :, : 2 * HIDDEN] + h @ u)
             z, r = gates[:, :HIDDEN] * mask[t][:, None], gates[:, HIDDEN:]
@@ -128,13 +132,9 @@ class Network:
             out[t] = h
         return out
 
-    def forward(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray, word_of: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """The logit of each window; x are the inputs of the distinct words."""
+    def forward(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """The logit of each window; x are the inputs of distinct words, index (steps, windows) says which, mask which are there."""
         p = self.params
-        steps = int((end - begin).max(initial=1))
-        at = begin[None, :] + np.arange(steps)[:, None]
-        mask = (at < end[None, :]).astype(np.float32)
-        index = word_of[np.minimum(at, len(word_of) - 1)]
         states, tapes = [], {}
         for way in "fb":
             xw = (x @ p[f"w{way}"] + p[f"b{way}"])[index]
@@ -151,16 +151,22 @@ class Network:
             keep.update(h=h, energy=energy, a=a, context=context, tapes=tapes, index=index, mask=mask, x=x)
         return context @ p["out"] + p["out_b"][0]
 
+    def logits(self, v: Vocabulary, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The logit of each of many windows, some at a time."""
+        x, found = self.inputs(v), []
+        for k in range(0, len(begin), 256):
+            lo, hi = begin[k : k + 256], end[k : k + 256]
+            at = lo[None, :] + np.arange(int((hi - lo).max()))[:, None]
+            found.append(self.forward(x, v.word_of[np.minimum(at, len(v.word_of) - 1)], (at < hi[None, :]).astype(np.float32)))
+        return np.concatenate(found)
+
     def score_texts(self, texts: list[bytes]) -> np.ndarray:
         """The highest window's probability of each text, 0 for one without words."""
         words = wordhash.split_words(texts)
         scores = np.zeros(len(texts))
         if len(words.hashes):
-            v = vocabulary(words)
-            x = self.inputs(v)
             begin, end, text = cut_windows(words.first)
-            logits = np.concatenate([self.forward(x, begin[k : k + 256], end[k : k + 256], v.word_of) for k in range(0, len(begin), 256)])
-            np.maximum.at(scores, text, _sigmoid(logits.astype(np.float64)))
+            np.maximum.at(scores, text, _sigmoid(self.logits(vocabulary(words), begin, end).astype(np.float64)))
         return scores
 
     def gradients(self, keep: dict, d_logit: np.ndarray) -> tuple[dict, np.ndarray]:
@@ -181,8 +187,8 @@ class Network:
         for k, way in enumerate("fb"):
             u, uc = p[f"u{way}"], p[f"uc{way}"]
             d_u, d_uc = np.zeros_like(u), np.zeros_like(uc)
-            d_xw = np.zeros((*index.shape, 3 * HIDDEN), np.float32)
-            later = np.zeros((index.shape[1], HIDDEN), np.float32)
+            d_xw = np.zeros((*index.shape, 3 * HIDDEN), x.dtype)
+            later = np.zeros((index.shape[1], HIDDEN), x.dtype)
             for t, before, z, r, c in reversed(keep["tapes"][way]):
                 d = later + d_h[t, :, k * HIDDEN : (k + 1) * HIDDEN]
                 d_c = d * z * (1 - c**2)
@@ -195,152 +201,147 @@ class Network:
                 later = d * (1 - z) + d_rh * r + gates @ u.T
                 d_xw[t] = np.concatenate([gates, d_c], 1)
             g[f"u{way}"], g[f"uc{way}"] = d_u, d_uc
-            flat = np.zeros((len(x), 3 * HIDDEN), np.float32)
+            flat = np.zeros((len(x), 3 * HIDDEN), x.dtype)
             np.add.at(flat, index.ravel(), d_xw.reshape(-1, 3 * HIDDEN))
             g[f"b{way}"], g[f"w{way}"] = flat.sum(0), x.T @ flat
             d_x += flat @ p[f"w{way}"].T
         return g, d_x
 
 
-def _odds(toxic: np.ndarray, total: np.ndarray, base: float) -> np.ndarray:
-    rate = (toxic + PRIOR * base) / (total + PRIOR)
-    return (np.log(rate / (1 - rate)) - np.log(base / (1 - base))).astype(np.float32)
+def _gathered(texts: list[bytes]) -> tuple[Vocabulary, np.ndarray]:
+    """One vocabulary of all the texts, and where each one's words begin; hashed a group at a time, in bounded memory."""
+    word_of, hashes, word, piece, n_pieces, sizes, rows = [], [], [], [], [], [], 0
+    for group in wordhash.grouped(enumerate(texts)):
+        words = wordhash.split_words([t for _, t in group])
+        sizes.append(np.diff(words.first))
+        if len(words.hashes):
+            v = vocabulary(words)
+            word_of.append(v.word_of + rows)
+            hashes.append(np.unique(words.hashes))
+            word.append(v.word)
+            piece.append(v.piece)
+            n_pieces.append(np.diff(np.append(v.first, len(v.piece))))
+            rows += len(v.word)
+    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+    if not rows:
+        return Vocabulary(*(np.zeros(0, np.int64) for _ in range(4))), first
+    _, at, same = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    n = np.concatenate(n_pieces)
+    whole = Vocabulary(same[np.concatenate(word_of)], np.concatenate(word), np.concatenate(piece), np.cumsum(n) - n)
+    return replace(whole.only(at), word_of=whole.word_of), first
 
 
 def train(sample: list[tuple[str, int]], seed: int = 3) -> Network:
     """Fit by Adam on (text, 0 or 1) pairs. Without both labels, a network that scores every window near 0.
 
-    Only texts are labelled, not windows: a toxic text teaches by the window that scores highest just then, a clean one
-    by its most suspicious windows. A text's own label is left out of the log-odds it is shown, or the words that only
-    it has would give the label away.
+    Only texts are labelled, not windows. In the first pass every window of a toxic text teaches, together as much as one of
+    a clean text; before each later pass all windows of all texts are scored, and a toxic text teaches by its highest window,
+    a clean one by its highest and by a random one. The network sees nothing of the labels but through its gradients.
     """
     rng = np.random.default_rng(seed)
-    normal = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
-    params = {
-        "words": rng.normal(0, 0.05, (BUCKETS, EMBEDDING)).astype(np.float32),
-        "chars": rng.normal(0, 0.05, (BUCKETS, EMBEDDING)).astype(np.float32),
-        **{f"w{w}": normal(_INPUTS, 3 * HIDDEN) for w in "fb"},
-        **{f"b{w}": np.zeros(3 * HIDDEN, np.float32) for w in "fb"},
-        **{f"u{w}": normal(HIDDEN, 2 * HIDDEN) for w in "fb"},
-        **{f"uc{w}": normal(HIDDEN, HIDDEN) for w in "fb"},
-        "att": normal(2 * HIDDEN, ATTENTION),
-        "att_b": np.zeros(ATTENTION, np.float32),
-        "att_v": normal(ATTENTION),
-        "out": normal(2 * HIDDEN),
-        "out_b": np.array([-2.0], np.float32),
-    }
     label = np.array([y for _, y in sample], np.int64)
-    net = Network(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), params)
-    if not (label == 1).any() or not (label == 0).any():
-        params["out_b"][:] = -8
+    v, first = _gathered([plain(t) for t, _ in sample])
+    begin, end, text = cut_windows(first)
+    owner = np.repeat(np.arange(len(sample)), np.diff(first))
+    net = _fresh(v, owner, rng)
+    if not len(text) or not (label == 1).any() or not (label == 0).any():
+        net.params["out_b"][:] = -8
         return net
-    counts = {k: np.zeros((2, BUCKETS)) for k in ("word", "piece")}  # texts with the bucket: toxic, all
-    texts = []
-    for t, y in sample:
-        words = wordhash.split_words([plain(t)])
-        if len(words.hashes) == 0:
-            texts.append(None)
-            continue
-        v = vocabulary(words)
-        own = {"word": np.unique(v.word), "piece": np.unique(v.piece)}
-        for k, buckets in own.items():
-            counts[k][1, buckets] += 1
-            counts[k][0, buckets] += y
-        texts.append((words.first, v))
-    base = float(np.clip(label.mean(), 0.02, 0.98))
-    net.word_odds, net.piece_odds = (_odds(*counts[k], base) for k in ("word", "piece"))
-    prepared = []
-    for i, y in enumerate(label):
-        if texts[i] is None:
-            continue
-        (first, v), texts[i] = texts[i], None
-        word = _odds(counts["word"][0, v.word] - y, counts["word"][1, v.word] - 1, base)
-        piece = _odds(counts["piece"][0, v.piece] - y, counts["piece"][1, v.piece] - 1, base)
-        piece = np.maximum.reduceat(piece, v.first)
-        begin, end, _ = cut_windows(first)
-        sign = word + piece
-        peak = np.array([sign[v.word_of[b:e]].max() for b, e in zip(begin, end, strict=True)])
-        some = np.argsort(-peak, kind="stable")[: TOXIC_WINDOWS if y else CLEAN_WINDOWS]
-        if not y and len(begin) > CLEAN_WINDOWS:
-            some = np.append(some, rng.integers(len(begin), size=CLEAN_RANDOM))
-        prepared.append(_only(v, word, piece, begin[some], end[some], y))
+    params = net.params
     m = {k: np.zeros_like(p) for k, p in params.items()}
     s = {k: np.zeros_like(p) for k, p in params.items()}
     step = 0
-    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, len(prepared))))):
-        order = rng.permutation(len(prepared))
-        for at in range(0, len(order), BATCH):
-            part = [prepared[i] for i in order[at : at + BATCH]]
-            shown = rng.random(len(part)) < SHOWN
-            x, begin, end, word_of, owner = _joined(net, part, shown)
-            target = np.array([q[5] for q in part])
-            logits = net.forward(x, begin, end, word_of)
-            top = np.full(len(part), -np.inf)
-            np.maximum.at(top, owner, logits)
-            teach = (target[owner] == 0) | (logits >= top[owner])
-            begin, end, y = begin[teach], end[teach], target[owner][teach]
+    n_windows = np.bincount(text, minlength=len(sample))
+    toxic = label[text] == 1
+    turn = -1
+    while turn + 1 < EPOCHS or step < LEAST_STEPS:
+        turn += 1
+        weight = np.zeros(len(text))
+        order = rng.permutation(len(text))
+        weight[order[np.unique(text[order], return_index=True)[1]]] = 1  # a random window of each text
+        if turn == 0:
+            weight[toxic] = 1 / n_windows[text[toxic]]
+        else:
+            logits = net.logits(v, begin, end)
+            order = np.lexsort((logits, text))
+            highest = order[np.append(text[order][1:] != text[order][:-1], True)]
+            weight[toxic] = 0
+            weight[highest] += 1
+        some = rng.permutation(np.flatnonzero(weight))
+        for at in range(0, len(some), BATCH):
+            part = some[at : at + BATCH]
+            used, index, mask = v.steps(begin[part], end[part])
+            own = v.only(used)
+            x = net.inputs(own)
+            hidden = rng.random(len(used)) < HIDE
+            x[hidden] = 0
             keep: dict = {}
-            logits = net.forward(x, begin, end, word_of, keep)
-            grads, d_x = net.gradients(keep, ((_sigmoid(logits) - y) / len(part)).astype(np.float32))
-            d_words, d_chars = np.zeros_like(params["words"]), np.zeros_like(params["chars"])
-            row = 0
-            for (v, *_), seen in zip(part, shown, strict=True):
-                d = seen * d_x[row : row + len(v.word), :EMBEDDING]
-                row += len(v.word)
-                np.add.at(d_words, v.word, d)
-                n = np.diff(np.append(v.first, len(v.piece)))
-                np.add.at(d_chars, v.piece, np.repeat(d / n[:, None], n, 0))
-            d_tables = {"words": d_words, "chars": d_chars}
-            grads |= d_tables
-            for k in d_tables:
-                params[k] *= 1 - SHRINK
+            logits = net.forward(x, index, mask, keep)
+            grads, d_x = net.gradients(keep, ((_sigmoid(logits) - label[text[part]]) * weight[part] / BATCH).astype(np.float32))
+            d_x[hidden] = 0
+            n = np.diff(np.append(own.first, len(own.piece)))
+            grads["words"], grads["chars"] = np.zeros_like(params["words"]), np.zeros_like(params["chars"])
+            np.add.at(grads["words"], net.word_row[own.word], d_x[:, :EMBEDDING])
+            np.add.at(grads["chars"], net.piece_row[own.piece], np.repeat(d_x[:, EMBEDDING:] / n[:, None], n, 0))
             step += 1
+            rate = RATE / (1 + step / SLOWER)
             for k, p in params.items():
                 m[k] += 0.1 * (grads[k] - m[k])
                 s[k] += 0.001 * (grads[k] ** 2 - s[k])
-                rate = TABLE_RATE if k in d_tables else RATE
-                p -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                p -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(p.dtype)
+            for k in ("words", "chars"):
+                params[k] *= 1 - SHRINK
+                params[k][0] = 0  # the row of the rare ones
     return net
 
 
-def _only(v: Vocabulary, word: np.ndarray, piece: np.ndarray, begin: np.ndarray, end: np.ndarray, y: int) -> tuple:
-    """The windows' words alone, one window after the other, with their own vocabulary."""
-    at = np.concatenate([np.arange(b, e) for b, e in zip(begin, end, strict=True)])
-    used, word_of = np.unique(v.word_of[at], return_inverse=True)
-    n = np.diff(np.append(v.first, len(v.piece)))[used]
-    first = np.cumsum(n) - n
-    pieces = v.piece[np.repeat(v.first[used] - first, n) + np.arange(n.sum())]
-    stop = np.cumsum(end - begin)
-    return Vocabulary(word_of, v.word[used], pieces, first), word[used], piece[used], stop - (end - begin), stop, y
+def _fresh(v: Vocabulary, owner: np.ndarray, rng: np.random.Generator) -> Network:
+    """A network before training; a bucket in fewer than MIN_TEXTS of the texts shares the row of the rare ones, zero."""
 
+    def rows(bucket_of: np.ndarray, at: np.ndarray) -> np.ndarray:
+        seen = np.unique(owner[at] << 16 | bucket_of)
+        known = np.flatnonzero(np.bincount(seen & (BUCKETS - 1), minlength=BUCKETS) >= MIN_TEXTS)
+        row = np.zeros(BUCKETS, np.int32)
+        row[known] = np.arange(1, len(known) + 1)
+        return row
 
-def _joined(net: Network, part: list[tuple], shown: np.ndarray) -> tuple:
-    """The texts of a batch side by side: inputs, windows, distinct words of the words, text of each window."""
-    xs, begins, ends, words, owners, rows, at = [], [], [], [], [], 0, 0
-    for i, (v, word, piece, begin, end, _) in enumerate(part):
-        n = np.diff(np.append(v.first, len(v.piece)))
-        chars = np.add.reduceat(net.params["chars"][v.piece], v.first, 0) / n[:, None]
-        xs.append(np.concatenate([(net.params["words"][v.word] + chars) * shown[i], word[:, None], piece[:, None]], 1))
-        begins.append(begin + at)
-        ends.append(end + at)
-        words.append(v.word_of + rows)
-        owners.append(np.full(len(begin), i))
-        rows += len(v.word)
-        at += len(v.word_of)
-    return np.concatenate(xs).astype(np.float32), *(np.concatenate(c) for c in (begins, ends, words, owners))
+    pairs = np.unique(owner << 32 | v.word_of)  # each distinct word of each text once
+    owner, of = pairs >> 32, pairs & ((1 << 32) - 1)
+    n = np.diff(np.append(v.first, len(v.piece)))
+    inside = np.repeat(np.cumsum(n[of]) - n[of] - v.first[of], n[of])
+    piece = v.piece[np.arange(len(inside)) - inside]
+    word_row = rows(v.word[of].astype(np.int64), np.arange(len(of)))
+    piece_row = rows(piece.astype(np.int64), np.repeat(np.arange(len(of)), n[of]))
+    normal = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
+    table = lambda row: np.concatenate([np.zeros((1, EMBEDDING)), rng.normal(0, 0.05, (int(row.max()), EMBEDDING))]).astype(np.float32)
+    params = {
+        "words": table(word_row),
+        "chars": table(piece_row),
+        **{f"w{w}": normal(2 * EMBEDDING, 3 * HIDDEN) for w in "fb"},
+        **{f"b{w}": np.zeros(3 * HIDDEN, np.float32) for w in "fb"},
+        **{f"u{w}": normal(HIDDEN, 2 * HIDDEN) for w in "fb"},
+        **{f"uc{w}": normal(HIDDEN, HIDDEN) for w in "fb"},
+        "att": normal(2 * HIDDEN, ATTENTION),
+        "att_b": np.zeros(ATTENTION, np.float32),
+        "att_v": normal(ATTENTION),
+        "out": normal(2 * HIDDEN),
+        "out_b": np.array([-2.0], np.float32),
+    }
+    return Network(word_row, piece_row, params)
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> Network:
     """A network fitted on a bounded sample of the labelled rows that may be learned from.
 
     About `sample` documents of each label are drawn by a hash of doc_id; these few ids, so bounded, are broadcast to
-    fetch the texts. Of several labels of a document the largest counts; null ones don't.
+    fetch the texts. Of several labels of a document the largest counts, null ones don't; of several texts the smallest.
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL").where(train_rows("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     known = drawn(known.withColumnRenamed("y", "label"), sample, ["doc_id"], 23)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text <> ''")
-    return fitted(texts.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).withColumn("label", (F.col("label") == 1).cast("int")), train)
+    found = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "place", "label").agg(F.min("text").alias("text"))
+    return fitted(found.withColumn("label", (F.col("label") == 1).cast("int")), train)
 
 
 def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -155,26 +155,70 @@ def test_toxicity_learns_and_scores_every_window(spark, odd, none):
     assert set(np.concatenate([np.arange(b, e) for b, e in zip(begin, end, strict=True)])) == set(range(405)) and text[0] == 1
 
 
-def test_gradients_are_those_of_the_loss():
-    net = toxicity.train([("alpha beta gamma", 1), ("delta beta", 0), ("alpha delta", 1), ("gamma", 0)])
-    words = wordhash.split_words([b"alpha beta gamma delta", b"beta"])
+def windows_and_network():
+    net = toxicity.train([("alpha beta gamma", 1), ("delta beta", 0), ("alpha delta", 1), ("gamma alpha beta", 0), ("delta gamma alpha", 1), ("beta", 0)])
+    assert net.word_row.max() == 4 and net.piece_row.max() > 4
+    words = wordhash.split_words([b"alpha beta gamma delta", b"beta " * 70, b"delta"])
     v = toxicity.vocabulary(words)
     begin, end, _ = toxicity.cut_windows(words.first)
-    x = net.inputs(v).astype(np.float64)
     net.params = {k: p.astype(np.float64) for k, p in net.params.items()}
+    return net, v, begin, end
+
+
+def test_forward_is_the_plain_recurrence():
+    """Word by word and window by window, in loops."""
+    net, v, begin, end = windows_and_network()
+    p, n = net.params, toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    rows = []
+    for k in range(len(v.word)):
+        pieces = v.piece[v.first[k] : (list(v.first) + [len(v.piece)])[k + 1]]
+        rows.append(np.concatenate([p["words"][net.word_row[v.word[k]]], np.mean([p["chars"][net.piece_row[x]] for x in pieces], 0)]))
+    want = []
+    for lo, hi in zip(begin, end, strict=True):
+        states = []
+        for way, order in (("f", range(lo, hi)), ("b", range(hi - 1, lo - 1, -1))):
+            h, own = np.zeros(n), {}
+            for at in order:
+                x = rows[v.word_of[at]] @ p[f"w{way}"] + p[f"b{way}"]
+                z, r = sigmoid(x[:n] + h @ p[f"u{way}"][:, :n]), sigmoid(x[n : 2 * n] + h @ p[f"u{way}"][:, n:])
+                h = (1 - z) * h + z * np.tanh(x[2 * n :] + (r * h) @ p[f"uc{way}"])
+                own[at] = h
+            states.append(own)
+        both = [np.concatenate([s[at] for s in states]) for at in range(lo, hi)]
+        a = np.exp([np.tanh(h @ p["att"] + p["att_b"]) @ p["att_v"] for h in both])
+        want.append(sum(w * h for w, h in zip(a / a.sum(), both, strict=True)) @ p["out"] + p["out_b"][0])
+    assert len(want) == 4 and np.allclose(net.logits(v, begin, end), want, atol=1e-9)
+
+
+def test_gradients_are_those_of_the_loss():
+    net, v, begin, end = windows_and_network()
+    used, index, mask = v.steps(begin, end)
+    x = net.inputs(v.only(used))
     keep = {}
-    net.forward(x, begin, end, v.word_of, keep)
-    grads, _ = net.gradients(keep, np.ones(2))
+    net.forward(x, index, mask, keep)
+    grads, _ = net.gradients(keep, np.ones(len(begin)))
     for k in ("wf", "ub", "ucf", "att", "out"):
         p, at = net.params[k], (0,) * net.params[k].ndim
         old, e, sums = p[at], 1e-3, []
         for d in (e, -e):
             p[at] = old + d
-            sums.append(float(net.forward(x, begin, end, v.word_of).sum()))
+            sums.append(float(net.forward(x, index, mask).sum()))
         p[at] = old
         assert math.isclose(grads[k][at], (sums[0] - sums[1]) / (2 * e), rel_tol=0.02, abs_tol=1e-4), k
 
 
+def test_toxicity_learns_the_same_from_any_order(spark):
+    """Of a document with several texts the smallest is learned from, of several labels the largest."""
+    rows = [(i, f"some words and {'zorgnax' if i % 2 else 'others'} of text {k}", "en", "s", 0) for i in range(40) for k in range(3)]
+    labels = [(i, y) for i in range(40) for y in (0, i % 2, None)]
+    nets = []
+    for turn in (1, -1):
+        docs = spark.createDataFrame(rows[::turn], FIELDS).repartition(3 + turn)
+        nets.append(toxicity.learn(docs, spark.createDataFrame(labels[::turn], "doc_id long, toxic int")).params)
+    assert all((nets[0][k] == nets[1][k]).all() for k in nets[0])
+
+
 # 4
 
 
@@ -453,6 +497,25 @@ def test_estimate_is_close_and_never_drops_a_pair():
 # 9
 
 
+def test_byte_cnn_is_the_plain_convolution():
+    net = langid.train([("the one text of it", "en"), ("der eine Text davon", "de"), ("ein anderer Text", "de")])
+    windows, _, _ = langid.windows_of(["ein Text of schön".encode(), b"x" * 700])
+    for row, got in zip(windows, net.log_probabilities(windows), strict=True):
+        hidden = []
+        for k, kernel in enumerate(net.kernels):
+            for f in range(langid.FILTERS):
+                sums = [sum(float(net.embed[row[at + j]] @ kernel[j][:, f]) for j in range(len(kernel))) for at in range(langid.WINDOW - len(kernel) + 1)]
+                hidden.append(max(0.0, max(sums) + float(net.bias[k * langid.FILTERS + f])))
+        scores = np.array(hidden) @ net.out + net.out_bias
+        assert np.allclose(got, scores - np.log(np.exp(scores).sum()), atol=1e-4)
+
+
+def test_language_of_texts_without_letters(spark, documents):
+    texts = ["² ½ ①", "123 _ !", "", None, "\u00aa", "ein Text"]
+    got = langid.identify(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), langid.learn(documents, sample=50)).collect()
+    assert [r["lang_pred"] == "und" for r in sorted(got)] == [True, True, True, True, False, False]
+
+
 def test_byte_cnn(spark, documents, odd, none):
     net = langid.learn(documents, sample=200)
     rows = langid.identify(documents, net).join(documents.select("doc_id", "lang"), "doc_id").collect()
