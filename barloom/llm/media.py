@@ -64,7 +64,6 @@ def features(image: np.ndarray) -> str:
 
 
 
-
 def read_media(media: DataFrame, payload: bool = True) -> DataFrame:
     """(doc_id, n_bytes, payload, media_bytes, media_sha256, feature): the stored files decoded.
 

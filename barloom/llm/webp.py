@@ -3,11 +3,14 @@
 The decoder reads simple files (one VP8L chunk) and tiled ones (VP8X, with an ANMF frame for each
 tile). It decodes prefix codes, meta prefix codes, back-references and the colour cache, and inverts
 the predictor, cross-colour, subtract-green and palette transforms. Images are decoded side by side:
-step p of the loop makes pixel p of every image still running, so numpy works on whole rows of lanes.
+step p of the loop makes pixel p of every image still running, so numpy works on whole rows of lanes;
+inner images (modes, elements, palettes) run so too, and transforms are inverted for all images at once.
 
 The encoder stores a payload as RGB pixels, 64 to a row, in tiles of at most 64 x 64 pixels, so that no
-lane is long however long the text. It writes colour-cache hits, back-references for runs, and literals
-in fixed prefix codes whose lengths follow from WEIGHTS, the same for every text.
+lane is long however long the text. A tile is written in the shorter of two forms: predicted, with the mode of each
+block of 4 x 4 pixels and the cross-colour element of each of 32 x 32 chosen by coded size; or, if it has at most
+256 colours, as a palette and indices. Both hold back-references at any distance, colour-cache hits and literals, in
+prefix codes whose lengths follow from rules, the same for every text.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ import numpy as np
 WIDTH = 64
 TILE_ROWS = 64
 ROW_BYTES = 3 * WIDTH
+#: Rows encoded side by side.
+ENCODED_ROWS = 1400
 CACHE_BITS = 8
 CACHE_MULTIPLIER = 0x1E35A7BD
 LITERALS, LENGTHS, DISTANCES = 256, 24, 40
@@ -251,23 +256,27 @@ def read_job(read: BitReader, data: bytes, width: int, height: int, main: bool)
 def decode_now(read: BitReader, data: bytes, width: int, height: int) -> np.ndarray:
     """Decode an inner image at once and move the reader behind it."""
     job = read_job(read, data, width, height, main=False)
-    pixels, ends = decode_lanes(np.frombuffer(data + bytes(16), np.uint8), [job])
+    pixels, ends = decode_lanes(words_at(data), [job])
     read.at = int(ends[0])
     return pixels[0]
 
 
-def decode_lanes(buffer: np.ndarray, jobs: list[Job]) -> tuple[list[np.ndarray], np.ndarray]:
+def words_at(data: bytes) -> np.ndarray:
+    """The 64 bits from each byte of the streams on; sixteen spare bytes follow them."""
+    buffer = np.frombuffer(data + bytes(16), np.uint8)
+    words = np.zeros(len(buffer) - 8, np.uint64)
+    for k in range(8):
+        words |= buffer[k : k + len(words)].astype(np.uint64) << np.uint64(8 * k)
+    return words.view(np.int64)
+
+
+def decode_lanes(words: np.ndarray, jobs: list[Job]) -> tuple[list[np.ndarray], np.ndarray]:
     """Pixels (ARGB, uint32) of every job, and the bit where each ends.
 
-    `buffer` holds all streams, with 16 spare bytes at the end; a job's `at` counts its bits. Jobs that
-    share their code groups share tables.
+    `words` are those of all streams; a job's `at` counts their bits. Jobs that share their code groups share tables.
     """
     n_px = np.array([j.width * j.height for j in jobs], np.int64)
     order = np.argsort(-n_px, kind="stable")
-    words = np.zeros(len(buffer) - 8, np.uint64)
-    for k in range(8):
-        words |= buffer[k : k + len(words)].astype(np.uint64) << np.uint64(8 * k)
-    words = words.view(np.int64)
 
     # All tables in one array for each of the five codes; a lane's group says where its own begin.
     first_group: dict[int, int] = {}
@@ -395,68 +404,85 @@ def _join(c: np.ndarray) -> np.ndarray:
     return c[..., 0] << 24 | c[..., 1] << 16 | c[..., 2] << 8 | c[..., 3]
 
 
-def undo_predictor(argb: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
-    """Add the prediction to each pixel. `argb` is (height, width); modes are those of the blocks."""
-    height, width = argb.shape
-    c = _split(argb)
+def _guess(mode: int, left: np.ndarray, top: np.ndarray, corner: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The prediction of one mode for pixels (..., samples), whole numbers; `right` is the pixel above to the right."""
     mean = lambda a, b: (a + b) >> 1
-    clamp = lambda a: np.minimum(np.maximum(a, 0), 255)
-    black = np.array([255, 0, 0, 0])
-    for y in range(height):
-        if y == 0:
-            c[0, 0] = (c[0, 0] + black) & 255
-            c[0] = np.cumsum(c[0], 0) & 255
-            continue
-        c[y, 0] = (c[y, 0] + c[y - 1, 0]) & 255
-        row = modes[y >> bits]
+    if mode == 1:
+        return left
+    if mode == 2:
+        return top
+    if mode == 3:
+        return right
+    if mode == 4:
+        return corner
+    if mode == 5:
+        return mean(mean(left, right), top)
+    if mode == 6:
+        return mean(left, corner)
+    if mode == 7:
+        return mean(left, top)
+    if mode == 8:
+        return mean(corner, top)
+    if mode == 9:
+        return mean(top, right)
+    if mode == 10:
+        return mean(mean(left, corner), mean(top, right))
+    if mode == 11:
+        nearer = np.abs(top - corner).sum(-1, keepdims=True) < np.abs(left - corner).sum(-1, keepdims=True)
+        return np.where(nearer, left, top)
+    if mode == 12:
+        return np.clip(left + top - corner, 0, 255)
+    if mode == 13:
+        a = mean(left, top)
+        d = a - corner
+        return np.clip(a + np.where(d < 0, -((-d) >> 1), d >> 1), 0, 255)
+    return np.broadcast_to(np.array([255, 0, 0, 0][-left.shape[-1] :], left.dtype), left.shape)  # black
+
+
+def undo_predictors(tiles: list[np.ndarray], modes: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """Add the prediction to each pixel of each tile. Tiles are (height, width) of one width; modes are those of their blocks.
+
+    All tiles side by side. The first row and column, and blocks predicted as black, depend on nothing beyond
+    themselves and take a few steps; other blocks go pixel by pixel, all tiles with that mode there at once.
+    """
+    width, tall = tiles[0].shape[1], max(len(t) for t in tiles)
+    c = np.zeros((len(tiles), tall, width, 4), np.uint8)
+    mode = np.zeros((len(tiles), -(-tall >> bits), -(-width >> bits)), np.uint8)
+    for k, (t, m) in enumerate(zip(tiles, modes, strict=True)):
+        c[k, : len(t)] = np.ascontiguousarray(t).astype(">u4").view(np.uint8).reshape(*t.shape, 4)
+        mode[k, : len(m)] = m
+    c[:, 0, 0, 0] += 255
+    c[:, 0] = np.cumsum(c[:, 0], 1, dtype=np.uint8)
+    c[:, :, 0] = np.cumsum(c[:, :, 0], 1, dtype=np.uint8)
+    flat = (mode == 0) | (mode > 13)
+    block_y, block_x = np.arange(tall) >> bits, np.arange(width) >> bits
+    c[:, 1:, 1:, 0] += flat[:, block_y[1:]][:, :, block_x[1:]] * np.uint8(255)
+    rows = [[[(m, np.flatnonzero(mode[:, y, x] == m)) for m in np.unique(mode[:, y, x][~flat[:, y, x]]).tolist()] for x in range(mode.shape[2])] for y in range(mode.shape[1])]
+    for y in range(1, tall):
         for x in range(1, width):
-            mode = int(row[x >> bits])
-            left, top, corner = c[y, x - 1], c[y - 1, x], c[y - 1, x - 1]
-            right = c[y - 1, x + 1] if x + 1 < width else c[y, 0]
-            if mode == 1:
-                guess = left
-            elif mode == 2:
-                guess = top
-            elif mode == 3:
-                guess = right
-            elif mode == 4:
-                guess = corner
-            elif mode == 5:
-                guess = mean(mean(left, right), top)
-            elif mode == 6:
-                guess = mean(left, corner)
-            elif mode == 7:
-                guess = mean(left, top)
-            elif mode == 8:
-                guess = mean(corner, top)
-            elif mode == 9:
-                guess = mean(top, right)
-            elif mode == 10:
-                guess = mean(mean(left, corner), mean(top, right))
-            elif mode == 11:
-                guess = left if np.abs(top - corner).sum() < np.abs(left - corner).sum() else top
-            elif mode == 12:
-                guess = clamp(left + top - corner)
-            elif mode == 13:
-                a = mean(left, top)
-                d = a - corner
-                guess = clamp(a + np.where(d < 0, -((-d) >> 1), d >> 1))
-            else:
-                guess = black
-            c[y, x] = (c[y, x] + guess) & 255
-    return _join(c)
-
-
-def undo_cross_colour(argb: np.ndarray, elements: np.ndarray, bits: int) -> np.ndarray:
-    c = _split(argb)
-    height, width = argb.shape
-    e = np.repeat(np.repeat(elements, 1 << bits, 0), 1 << bits, 1)[:height, :width]
-    signed = lambda v: ((v & 0xFF).astype(np.int64) ^ 0x80) - 0x80
-    green = signed(c[..., 2])
-    red = (c[..., 1] + ((signed(e) * green) >> 5)) & 255
-    blue = (c[..., 3] + ((signed(e >> 8) * green) >> 5) + ((signed(e >> 16) * signed(red)) >> 5)) & 255
-    c[..., 1], c[..., 3] = red, blue
-    return _join(c)
+            for m, who in rows[y >> bits][x >> bits]:
+                at = lambda j, i, who=who: c[who, j, i].astype(np.int16)
+                right = at(y - 1, x + 1) if x + 1 < width else at(y, 0)
+                c[who, y, x] += _guess(m, at(y, x - 1), at(y - 1, x), at(y - 1, x - 1), right).astype(np.uint8)
+    whole = c.view(">u4")[..., 0].astype(np.uint32)
+    return [whole[k, : len(t)] for k, t in enumerate(tiles)]
+
+
+def undo_cross_colours(tiles: list[np.ndarray], elements: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """Tiles of one width, each with the elements of its blocks; all rows at once."""
+    width = tiles[0].shape[1]
+    e = np.concatenate([np.repeat(m, 1 << bits, 0)[: len(t)] for t, m in zip(tiles, elements, strict=True)])
+    rows = np.concatenate(tiles)
+    some = np.flatnonzero((e & 0xFFFFFF).any(1))  # the others stay as they are
+    if len(some):
+        c, e = _split(rows[some]), np.repeat(e[some], 1 << bits, 1)[:, :width]
+        signed = lambda v: ((v & 0xFF).astype(np.int64) ^ 0x80) - 0x80
+        green = signed(c[..., 2])
+        red = (c[..., 1] + ((signed(e) * green) >> 5)) & 255
+        blue = (c[..., 3] + ((signed(e >> 8) * green) >> 5) + ((signed(e >> 16) * signed(red)) >> 5)) & 255
+        c[..., 1], c[..., 3] = red, blue
+        rows[some] = _join(c)
+    return np.split(rows, np.cumsum([len(t) for t in tiles])[:-1])
 
 
 def undo_subtract_green(argb: np.ndarray) -> np.ndarray:
@@ -477,48 +503,106 @@ def undo_palette(argb: np.ndarray, colours: np.ndarray, width: int, bundle: int)
     return table[index]
 
 
-def _read_head(data: bytes, at_bit: int) -> tuple[Job, list, int, int, int]:
-    """Everything before the pixels of the main image: its job, its transforms, its size, the bit behind."""
-    read = BitReader(data, at_bit)
-    if read(8) != SIGNATURE:
-        raise ValueError("not a VP8L stream")
-    width, height = read(14) + 1, read(14) + 1
-    read(1)
-    if read(3):
-        raise ValueError("VP8L version")
-    transforms, inner = [], width
-    while read(1):
-        kind = read(2)
-        if kind in [t[0] for t in transforms]:
-            raise ValueError("a transform stands twice")
-        if kind in (PREDICTOR, CROSS_COLOUR):
-            bits = read(3) + 2
-            w, h = (inner + (1 << bits) - 1) >> bits, (height + (1 << bits) - 1) >> bits
-            image = decode_now(read, data, w, h).reshape(h, w)
-            transforms.append((kind, bits, (image >> 8) & 0xF if kind == PREDICTOR else image))
-        elif kind == PALETTE:
-            n = read(8) + 1
-            table = _join(np.cumsum(_split(decode_now(read, data, n, 1)), 0) & 255)
-            bundle = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
-            transforms.append((kind, bundle, table, inner))
-            inner = (inner + (1 << bundle) - 1) >> bundle
-        else:
-            transforms.append((kind,))
-    return read_job(read, data, inner, height, main=True), transforms, width, height, read.at
-
-
-def _undo(pixels: np.ndarray, transforms: list, height: int) -> np.ndarray:
-    argb = pixels.reshape(height, -1)
-    for kind, *rest in reversed(transforms):
-        if kind == PREDICTOR:
-            argb = undo_predictor(argb, rest[1], rest[0])
-        elif kind == CROSS_COLOUR:
-            argb = undo_cross_colour(argb, rest[1], rest[0])
-        elif kind == SUBTRACT_GREEN:
-            argb = undo_subtract_green(argb)
-        else:
-            argb = undo_palette(argb, rest[1], rest[2], rest[0])
-    return argb
+class Stream:
+    """A VP8L stream on its way: where its reader stands, what transforms it has, which inner image is wanted next."""
+
+    def __init__(self, data: bytes, at_bit: int):
+        read = BitReader(data, at_bit)
+        if read(8) != SIGNATURE:
+            raise ValueError("not a VP8L stream")
+        self.data, self.width, self.height = data, read(14) + 1, read(14) + 1
+        read(1)
+        if read(3):
+            raise ValueError("VP8L version")
+        self.at, self.inner, self.transforms, self.wanted = read.at, self.width, [], None
+
+    def next_job(self, image: np.ndarray | None = None) -> Job:
+        """Take the inner image that was wanted and read on: the next one to decode; the main image if `wanted` is None."""
+        if self.wanted:
+            kind, size, shape = self.wanted
+            if kind == PALETTE:
+                bundle = 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
+                self.transforms.append((kind, bundle, _join(np.cumsum(_split(image), 0) & 255), self.inner))
+                self.inner = (self.inner + (1 << bundle) - 1) >> bundle
+            else:
+                image = image.reshape(shape)
+                self.transforms.append((kind, size, (image >> 8) & 0xF if kind == PREDICTOR else image))
+            self.wanted = None
+        read = BitReader(self.data, self.at)
+        while read(1):
+            kind = read(2)
+            if kind in [t[0] for t in self.transforms]:
+                raise ValueError("a transform stands twice")
+            if kind == SUBTRACT_GREEN:
+                self.transforms.append((kind,))
+                continue
+            if kind == PALETTE:
+                size = read(8) + 1
+                shape = (1, size)
+            else:
+                size = read(3) + 2
+                shape = (self.height + (1 << size) - 1) >> size, (self.inner + (1 << size) - 1) >> size
+            self.wanted = kind, size, shape
+            return known_job(read, self.data, shape[1], shape[0], main=False)
+        return known_job(read, self.data, self.inner, self.height, main=True)
+
+
+#: Codes met before in this process: (main, the 64 bits they begin with) -> [(bits, value, groups, cache bits)]. Equal bits, equal codes.
+_KNOWN: dict[tuple[bool, int], list[tuple]] = {}
+
+
+def known_job(read: BitReader, data: bytes, width: int, height: int, main: bool) -> Job:
+    """read_job, but codes that stand as they did in an earlier stream aren't built again."""
+    lo, shift = read.at >> 3, read.at & 7
+    ahead = lambda bits: int.from_bytes(data[lo : lo + (bits + shift + 7) // 8], "little") >> shift & ((1 << bits) - 1)
+    key = main, ahead(64)
+    for bits, value, groups, cache_bits in _KNOWN.get(key, ()):
+        if ahead(bits) == value:
+            return Job(read.at + bits, width, height, groups, None, cache_bits)
+    job = read_job(read, data, width, height, main)
+    if job.group_of is None and len(_KNOWN) < 64:
+        bits = job.at - lo * 8 - shift
+        _KNOWN.setdefault(key, []).append((bits, ahead(bits), job.groups, job.cache_bits))
+    return job
+
+
+def decode_streams(data: bytes, begins: list[int]) -> list[np.ndarray]:
+    """(height, width) ARGB of the streams that begin at these bytes of `data`, all side by side."""
+    words = words_at(data)
+    found = [Stream(data, 8 * b) for b in begins]
+    jobs: list[Job] = [s.next_job() for s in found]
+    while inner := [k for k, s in enumerate(found) if s.wanted]:
+        images, ends = decode_lanes(words, [jobs[k] for k in inner])
+        for k, image, end in zip(inner, images, ends.tolist(), strict=True):
+            found[k].at = end
+            jobs[k] = found[k].next_job(image)
+    # Main images that share their codes run faster without the others.
+    alike: dict[int, list[int]] = {}
+    for k, job in enumerate(jobs):
+        alike.setdefault(id(job.groups) if job.group_of is None else 0, []).append(k)
+    tiles: list = [None] * len(found)
+    for group in alike.values():
+        for k, pixels in zip(group, decode_lanes(words, [jobs[k] for k in group])[0], strict=True):
+            tiles[k] = pixels.reshape(found[k].height, -1)
+    for step in range(4):
+        batch: dict[tuple, list[int]] = {}
+        for k, s in enumerate(found):
+            if step < len(s.transforms):
+                t = s.transforms[-1 - step]
+                batch.setdefault((t[0], t[1] if len(t) > 1 else 0, tiles[k].shape[1]), []).append(k)
+        for (kind, size, _), group in batch.items():
+            own = [found[k].transforms[-1 - step] for k in group]
+            if kind == PREDICTOR:
+                undone = undo_predictors([tiles[k] for k in group], [t[2] for t in own], size)
+            elif kind == CROSS_COLOUR:
+                undone = undo_cross_colours([tiles[k] for k in group], [t[2] for t in own], size)
+            elif kind == SUBTRACT_GREEN:
+                undone = [undo_subtract_green(tiles[k]) for k in group]
+            else:
+                undone = [undo_palette(tiles[k], t[2], t[3], t[1]) for k, t in zip(group, own, strict=True)]
+            for k, tile in zip(group, undone, strict=True):
+                tiles[k] = tile
+    return tiles
 
 
 def chunks(data: bytes) -> list[tuple[bytes, int, int]]:
@@ -553,50 +637,25 @@ def streams(data: bytes) -> tuple[int, int, list[tuple[int, int, int]]]:
     return width, height, found
 
 
-#: Heads met before in this process: (bits, value) of what follows the size -> codes. Equal bits, equal codes.
-_HEADS: dict[tuple[int, int], tuple] = {}
-
-
-def _head(data: bytes, begin: int) -> tuple[Job, list, int, int]:
-    size = int.from_bytes(data[begin : begin + 5], "little")
-    width, height = ((size >> 8) & 0x3FFF) + 1, ((size >> 22) & 0x3FFF) + 1
-    for (bits, value), (groups, cache_bits) in _HEADS.items():
-        n = (bits + 7) // 8
-        if size & 0xFF == SIGNATURE and size >> 37 == 0 and int.from_bytes(data[begin + 5 : begin + 5 + n], "little") & ((1 << bits) - 1) == value:
-            return Job((begin + 5) * 8 + bits, width, height, groups, None, cache_bits), [], width, height
-    job, transforms, width, height, behind = _read_head(data, begin * 8)
-    if not transforms and job.group_of is None and len(_HEADS) < 16:
-        bits = behind - (begin + 5) * 8
-        value = int.from_bytes(data[begin + 5 : begin + 5 + (bits + 7) // 8], "little") & ((1 << bits) - 1)
-        _HEADS[bits, value] = (job.groups, job.cache_bits)
-    return job, transforms, width, height
-
-
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
     """The pixels of each file: (height, width) arrays of ARGB."""
-    jobs, notes, bases, at = [], [], [], 0
+    begins, notes, at = [], [], 0
     for i, data in enumerate(files):
         canvas_w, canvas_h, found = streams(data)
         for x, y, begin in found:
-            job, transforms, width, height = _head(data, begin)
-            job.at += at * 8
-            jobs.append(job)
-            notes.append((i, x, y, transforms, height, width, canvas_w, canvas_h))
-        bases.append(at)
+            begins.append(at + begin)
+            notes.append((i, x, y, canvas_w, canvas_h))
         at += len(data)
-    if not jobs:
-        return []
-    buffer = np.frombuffer(b"".join(files) + bytes(16), np.uint8)
-    pixels, _ = decode_lanes(buffer, jobs)
     images: list[np.ndarray | None] = [None] * len(files)
-    for argb, (i, x, y, transforms, height, width, canvas_w, canvas_h) in zip(pixels, notes, strict=True):
-        tile = _undo(argb, transforms, height)
+    if not begins:
+        return []
+    for tile, (i, x, y, canvas_w, canvas_h) in zip(decode_streams(b"".join(files) + bytes(16), begins), notes, strict=True):
         if not canvas_h:
             images[i] = tile
             continue
         if images[i] is None:
             images[i] = np.zeros((canvas_h, canvas_w), np.uint32)
-        images[i][y : y + height, x : x + width] = tile
+        images[i][y : y + tile.shape[0], x : x + tile.shape[1]] = tile
     return images
 
 
@@ -605,7 +664,8 @@ def decode_many(files: list[bytes]) -> list[np.ndarray]:
 
 def _weights(size: int, cache: bool) -> np.ndarray:
     """How often the encoder expects each symbol, by rule: letters by rank, then classes of bytes."""
-    w = np.full(size, 3, np.int64)
+    w = np.full(size, 8, np.int64)
+    w[0] = 400  # well predicted
     w[32:127] = 12
     w[128:256] = 14
     w[10] = 60
@@ -621,24 +681,227 @@ def _weights(size: int, cache: bool) -> np.ndarray:
     return w
 
 
+#: What the encoder predicts with, and the cross-colour elements (green to red, green to blue, red to blue) it tries.
+MODES = (0, 1, 2, 11, 12)
+ELEMENTS = ((0, 0, 0), (32, 32, 0), (0, 0, 32))
+MODE_BITS, ELEMENT_BITS = 2, 5
+#: Which form a tile is written in.
+PREDICTED, INDEXED = 0, 1
+
+
+class Book:
+    """The encoder's fixed codes for one form: of green with lengths and cache, of red and blue, of distances."""
+
+    def __init__(self, green: np.ndarray, other: np.ndarray, write: BitWriter):
+        self.green, self.other = huffman_lengths(green, 15), huffman_lengths(other, 15)
+        self.far = huffman_lengths(np.array([60 if k < 6 else 25 for k in range(DISTANCES)]), 15)
+        write(1, 1)
+        write(CACHE_BITS, 4)
+        write(0, 1)  # one code group
+        for lengths in (self.green, self.other, self.other, np.eye(1, 256, 0, dtype=np.int64)[0], self.far):
+            write_code(write, lengths)
+        self.green_code, self.other_code, self.far_code = canonical(self.green), canonical(self.other), canonical(self.far)
+
+
+def _inner_codes(write: BitWriter, *lengths: np.ndarray) -> None:
+    """Head of an inner image: no cache; codes of green, red, blue, alpha."""
+    write(0, 1)
+    for own in lengths:
+        write_code(write, own)
+    write_code(write, np.eye(1, DISTANCES, 0, dtype=np.int64)[0])
+
+
+def _lengths(size: int, given: dict[int, int]) -> np.ndarray:
+    found = np.zeros(size, np.int64)
+    found[list(given)] = list(given.values())
+    return found
+
+
 @lru_cache(maxsize=1)
-def _book() -> tuple:
-    """The encoder's codes, and the head bits that describe them."""
-    green = huffman_lengths(_weights(LITERALS + LENGTHS + (1 << CACHE_BITS), True), 15)
-    other = huffman_lengths(_weights(256, False), 15)
+def _books() -> tuple:
+    """(books by form; head bits in chunks by form; codes of modes, elements, and palette samples).
+
+    Predicted: up to the modes, up to the elements, up to the pixels. Indexed: after the number of colours up to the palette, up to the pixels.
+    """
+    size = LITERALS + LENGTHS + (1 << CACHE_BITS)
+    zero = _lengths(256, {0: 1})
+    modes = _lengths(LITERALS + LENGTHS, dict(zip(MODES, (1, 3, 3, 3, 3), strict=True)))
+    sample = huffman_lengths(np.concatenate([np.maximum(1, 40 - np.minimum(np.arange(256), 256 - np.arange(256))), np.zeros(LENGTHS, np.int64)]), 15)
+    heads, books = [], []
+    write = BitWriter()
+    write(1, 1), write(PREDICTOR, 2), write(MODE_BITS - 2, 3)
+    _inner_codes(write, modes, zero, zero, zero)
+    heads.append(write)
+    write = BitWriter()
+    write(1, 1), write(CROSS_COLOUR, 2), write(ELEMENT_BITS - 2, 3)
+    two = {0: 1, 32: 1}
+    _inner_codes(write, _lengths(LITERALS + LENGTHS, two), _lengths(256, two), _lengths(256, two), zero)
+    heads.append(write)
+    write = BitWriter()
+    write(0, 1)
+    books.append(Book(_weights(size, True), _weights(256, False), write))
+    heads.append(write)
+    write = BitWriter()
+    _inner_codes(write, sample, sample[:256], sample[:256], _lengths(256, {0: 1, 255: 1}))
+    heads.append(write)
     write = BitWriter()
-    write(0, 1)  # no transform
-    write(1, 1)
-    write(CACHE_BITS, 4)
-    write(0, 1)  # one code group
-    for lengths in (green, other, other):
-        write_code(write, lengths)
-    opaque, before = np.zeros(256, np.int64), np.zeros(DISTANCES, np.int64)
-    opaque[255], before[1] = 1, 1  # alpha is 255; the only distance is the pixel before
-    write_code(write, opaque)
-    write_code(write, before)
-    head = write.value
-    return green, canonical(green), other, canonical(other), head, write.n
+    write(0, 1)
+    index = np.concatenate([1 + 400 // (2 + np.arange(LITERALS)), np.full(LENGTHS, 12), np.full(1 << CACHE_BITS, 1)])
+    books.append(Book(index, np.eye(1, 256, 0, dtype=np.int64)[0], write))
+    heads.append(write)
+    chunk = lambda w: (np.array([w.value >> k & ((1 << 48) - 1) for k in range(0, w.n, 48)], np.int64), np.array([min(48, w.n - k) for k in range(0, w.n, 48)], np.int64))
+    codes = (canonical(modes), modes), (canonical(sample), sample)
+    return books, [chunk(w) for w in heads], codes
+
+
+def _forward(rows: np.ndarray, first: np.ndarray, tall: np.ndarray, book: Book) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Predict and decorrelate tiles: (residuals, modes, tile of each, elements, tile of each); rows are (rows, WIDTH, 3) bytes."""
+    n = len(rows)
+    lengths = np.stack([book.other, book.green[:256], book.other]).astype(np.uint8)
+    cost = lambda r: lengths[0][r[..., 0]] + lengths[1][r[..., 1]] + lengths[2][r[..., 2]]
+    inside = np.arange(n) - np.repeat(first, tall)
+    left, top, corner = np.zeros_like(rows), np.zeros_like(rows), np.zeros_like(rows)
+    left[:, 1:], top[1:], corner[1:, 1:] = rows[:, :-1], rows[:-1], rows[:-1, :-1]
+
+    def of_blocks(pixel_cost: np.ndarray, bits: int) -> np.ndarray:
+        starts = np.flatnonzero(inside & ((1 << bits) - 1) == 0)
+        return np.add.reduceat(pixel_cost.reshape(n, WIDTH >> bits, 1 << bits).sum(2, dtype=np.int64), starts, 0)
+
+    def spread(block: np.ndarray, bits: int) -> np.ndarray:
+        return np.repeat(block[np.cumsum(inside & ((1 << bits) - 1) == 0) - 1], 1 << bits, 1)
+
+    wide = [x.astype(np.int16) for x in (left, top, corner)]
+    guesses = [np.zeros_like(rows) if m == 0 else _guess(m, *wide, wide[1]).astype(np.uint8) for m in MODES]
+    best = np.stack([of_blocks(cost(rows - g), MODE_BITS) for g in guesses]).argmin(0)
+    pick = spread(best, MODE_BITS)
+    guess = guesses[0]
+    for k in range(1, len(MODES)):
+        some = pick == k
+        if some.any():
+            guess[some] = guesses[k][some]
+    guess[:, 0] = top[:, 0]
+    guess[first] = left[first]
+    guess[first, 0] = 0
+    residual = rows - guess
+
+    def decorrelated(element: tuple[int, int, int]) -> np.ndarray:
+        # An element of 32 takes the other sample whole.
+        own = residual.copy()
+        if element[0]:
+            own[..., 0] -= residual[..., 1]
+        if element[1]:
+            own[..., 2] -= residual[..., 1]
+        if element[2]:
+            own[..., 2] -= residual[..., 0]
+        return own
+
+    tried = [decorrelated(e) for e in ELEMENTS]
+    element = np.stack([of_blocks(cost(x), ELEMENT_BITS) for x in tried]).argmin(0)
+    pick = spread(element, ELEMENT_BITS)
+    for k in range(1, len(ELEMENTS)):
+        some = pick == k
+        if some.any():
+            tried[0][some] = tried[k][some]
+    tile = np.repeat(np.arange(len(tall)), tall)
+    of = lambda bits: np.repeat(tile[inside & ((1 << bits) - 1) == 0], WIDTH >> bits)
+    return tried[0], best.ravel(), of(MODE_BITS), element.ravel(), of(ELEMENT_BITS)
+
+
+def _indexed(rgb: np.ndarray, tile: np.ndarray, tall: np.ndarray) -> tuple:
+    """Palettes of the tiles that have at most 256 colours, each at least twice on average.
+
+    (tiles, colours of each, palettes one after the other, per tile its packed rows' width, indices by row).
+    """
+    order = np.argsort(tile << 24 | rgb, kind="stable")
+    key = (tile << 24 | rgb)[order]
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    owner, colour = key[new] >> 24, key[new] & 0xFFFFFF
+    count = np.diff(np.append(new, len(key)))
+    n = np.bincount(owner, minlength=len(tall))
+    some = (n <= 256) & (2 * n <= WIDTH * tall)
+    # The commonest colours first, so that small indices are common.
+    ranked = np.lexsort((colour, -count, owner))
+    rank = np.empty(len(ranked), np.int64)
+    rank[ranked] = np.arange(len(ranked)) - np.repeat(np.cumsum(n) - n, n)
+    index = np.empty(len(rgb), np.int64)
+    index[order] = np.repeat(rank, count)
+    return np.flatnonzero(some), n[some], colour[ranked][some[owner[ranked]]], index
+
+
+def _tokens(r: np.ndarray, g: np.ndarray, b: np.ndarray, image: np.ndarray, form: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value, bits) of what is written for each pixel of images laid end to end: literal, cache hit, back-reference or nothing.
+
+    `image` is each pixel's image; form and width are the images'.
+    """
+    books = _books()[0]
+    n = len(g)
+    v = r << 16 | g << 8 | b
+    f = form[image].astype(np.int64)
+    table = lambda name: np.stack([getattr(x, name) for x in books])
+    green, green_code, other, other_code = (table(x) for x in ("green", "green_code", "other", "other_code"))
+    # A code of one symbol takes no bits.
+    used = (other > 0).sum(1) > 1
+    other, other_code = other * used[:, None], other_code * used[:, None]
+    values = green_code[f, g] | other_code[f, r] << green[f, g] | other_code[f, b] << (green[f, g] + other[f, r])
+    sizes = green[f, g] + other[f, r] + other[f, b]
+
+    # A pixel is in the colour cache if the last one with its hash, in its image, had its colour.
+    slot = (v * CACHE_MULTIPLIER & 0xFFFFFFFF) >> (32 - CACHE_BITS)
+    key = image << CACHE_BITS | slot
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    hit = np.zeros(n, bool)
+    hit[order[1:]] = (key[1:] == key[:-1]) & (v[order[1:]] == v[order[:-1]])
+    cached = LITERALS + LENGTHS + slot
+    hit &= green[f, cached] < sizes
+    values[hit], sizes[hit] = green_code[f[hit], cached[hit]], green[f[hit], cached[hit]]
+
+    # Three pixels in a row that stood in their image before; such places at one distance are one back-reference.
+    at = np.arange(max(0, n - 2))
+    at = at[image[at] == image[at + 2]] if n > 2 else at
+    key = image[at] << 32 | ((v[at] * 0x9E3779B1 ^ v[at + 1] * 0x85EBCA77 ^ v[at + 2] * 0xC2B2AE3D) & 0xFFFFFFFF)
+    order = np.argsort(key, kind="stable")
+    a, p = at[order[:-1]], at[order[1:]]
+    same = (key[order[1:]] == key[order[:-1]]) & (v[a] == v[p]) & (v[a + 1] == v[p + 1]) & (v[a + 2] == v[p + 2])
+    far = np.zeros(n + 1, np.int64)
+    far[p[same]] = (p - a)[same]
+    own = np.append(image, -1)
+    begin = np.flatnonzero((far > 0) & np.concatenate([[True], (far[1:] != far[:-1]) | (own[1:] != own[:-1])]))
+    if not len(begin):
+        return values, sizes
+    changed = np.flatnonzero(np.concatenate([(far[1:] != far[:-1]) | (own[1:] != own[:-1]), [True]]))
+    end = changed[np.searchsorted(changed, begin)] + 3
+    end[:-1] = np.minimum(end[:-1], begin[1:])
+    long = end - begin >= 3
+    begin, end = begin[long], end[long]
+    inside = np.zeros(n + 1, np.int64)
+    inside[begin] += 1
+    np.add.at(inside, end, -1)
+    covered = np.cumsum(inside[:-1]) > 0
+    sizes[covered] = values[covered] = 0
+    f = f[begin]
+    green_symbol, extra_bits, extra = prefix_of(end - begin)
+    green_symbol += LITERALS
+    value, size = green_code[f, green_symbol] | extra << green[f, green_symbol], green[f, green_symbol] + extra_bits
+    distance = _distance_codes()[np.log2(width[image[begin]]).astype(np.int64), far[begin]]
+    symbol, extra_bits, extra = prefix_of(distance)
+    far_length, far_code = table("far"), table("far_code")
+    value |= far_code[f, symbol] << size
+    size += far_length[f, symbol]
+    values[begin], sizes[begin] = value | extra << size, size + extra_bits
+    return values, sizes
+
+
+@lru_cache(maxsize=1)
+def _distance_codes() -> np.ndarray:
+    """[log2 of the width, distance] -> distance code: the first near place at that distance, else 120 beyond it."""
+    codes = np.tile(np.arange(WIDTH * TILE_ROWS + 1) + len(NEAR), (7, 1))
+    for log in range(7):
+        for k in range(len(NEAR) - 1, -1, -1):
+            d = NEAR[k][0] + (NEAR[k][1] << log)
+            if 1 <= d < codes.shape[1]:
+                codes[log, d] = k + 1
+    return codes
 
 
 def _pack(values: np.ndarray, sizes: np.ndarray, at: np.ndarray, n_bytes: int) -> np.ndarray:
@@ -655,71 +918,128 @@ def _pack(values: np.ndarray, sizes: np.ndarray, at: np.ndarray, n_bytes: int) -
     return out.view(np.uint8)[:n_bytes]
 
 
+def _laid(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_images: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, bits, image) of parts (value, bits, image), image by image and within one in the order of the parts."""
+    count = np.stack([np.bincount(p[2], minlength=n_images) for p in parts])
+    before = np.cumsum(count, 0) - count
+    starts = np.cumsum(count.sum(0)) - count.sum(0)
+    total = int(count.sum())
+    out = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int64)
+    for k, part in enumerate(parts):
+        own = part[2]
+        at = np.arange(len(own)) - np.repeat(np.cumsum(count[k]) - count[k], count[k]) + (starts + before[k])[own]
+        for o, x in zip(out, part, strict=True):
+            o[at] = x
+    return out
+
+
+def _repeated(head: tuple[np.ndarray, np.ndarray], images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.tile(head[0], len(images)), np.tile(head[1], len(images)), np.repeat(images, len(head[0]))
+
+
+def encode_tiles(raw: np.ndarray, tall: np.ndarray) -> list[bytes]:
+    """A VP8L stream for each tile; raw are the tiles' rows one after the other, (rows, WIDTH, 3) bytes, and tall their heights."""
+    books, heads, ((mode_code, mode_size), (sample_code, sample_size)) = _books()
+    n = len(tall)
+    first = np.cumsum(tall) - tall
+    residual, modes, mode_of, elements, element_of = _forward(raw, first, tall, books[PREDICTED])
+    tile = np.repeat(np.arange(n), tall * WIDTH)
+    c = raw.reshape(-1, 3).astype(np.int64)
+    which, colours, palette, index = _indexed(c[:, 0] << 16 | c[:, 1] << 8 | c[:, 2], tile, tall)
+
+    # Indices of few colours share a pixel; images are the predicted tiles, then the indexed ones by width.
+    bundle = np.select([colours <= 2, colours <= 4, colours <= 16], [3, 2, 1], 0)
+    green, image, images, widths = [], [], [], [np.full(n, WIDTH)]
+    for k in range(4):
+        own = which[bundle == k]
+        number = np.full(n, -1)
+        number[own] = n + sum(len(i) for i in images) + np.arange(len(own))
+        some = number[tile] >= 0
+        packed = (index[some].reshape(-1, WIDTH >> k, 1 << k) << (np.arange(1 << k) * (8 >> k))).sum(2).ravel()
+        green.append(packed)
+        image.append(number[tile[some].reshape(-1, 1 << k)[:, 0]])
+        images.append(own)
+        widths.append(np.full(len(own), WIDTH >> k))
+    images = np.concatenate(images)  # tile of each indexed image
+    blank = np.zeros(sum(len(x) for x in green), np.int64)
+    res = residual.reshape(-1, 3).astype(np.int64)
+    whole = np.concatenate([tile, *image])
+    form = np.repeat([PREDICTED, INDEXED], [n, len(images)])
+    values, sizes = _tokens(*(np.concatenate([res[:, j], *(green if j == 1 else [blank])]) for j in range(3)), whole, form, np.concatenate(widths))
+
+    # The palettes' samples: each colour less the one before, opaque.
+    place = np.argsort(images, kind="stable")
+    image_of = n + place  # image of each tile of `which`
+    owner = np.repeat(image_of, colours)
+    begins = np.cumsum(colours) - colours
+    rgb = np.stack([palette >> s & 255 for s in (16, 8, 0)], 1)
+    delta = rgb.copy()
+    delta[1:] -= rgb[:-1]
+    delta[begins] = rgb[begins]
+    delta &= 255
+    opaque = np.zeros(len(delta), np.int64)
+    opaque[begins] = 1
+    r, g, b = delta.T
+    at_g, at_r, at_b = sample_size[g], sample_size[r], sample_size[b]
+    sample = sample_code[g] | sample_code[r] << at_g | sample_code[b] << (at_g + at_r) | opaque << (at_g + at_r + at_b)
+    order = np.argsort(owner, kind="stable")
+    element = np.array([int(e[1] > 0) | int(e[2] > 0) << 1 | int(e[0] > 0) << 2 for e in ELEMENTS])  # green, red, blue
+    every, indexed = np.arange(n), np.arange(n, n + len(images))
+    written = sizes > 0
+    start = SIGNATURE | (WIDTH - 1) << 8 | (tall - 1) << 22
+    head = lambda own, tiles: (start[tiles], np.full(len(tiles), 40, np.int64), own)
+    number = np.empty(len(images), np.int64)
+    number[place] = colours - 1
+    mode = np.array(MODES)[modes]
+    parts = [
+        head(every, every),
+        _repeated(heads[0], every),
+        (mode_code[mode], mode_size[mode], mode_of),
+        _repeated(heads[1], every),
+        (element[elements], np.full(len(elements), 3), element_of),
+        _repeated(heads[2], every),
+        head(indexed, images),
+        (1 | PALETTE << 1 | number << 3, np.full(len(images), 11), indexed),
+        _repeated(heads[3], indexed),
+        (sample[order], (at_g + at_r + at_b + 1)[order], owner[order]),
+        _repeated(heads[4], indexed),
+        (values[written], sizes[written], whole[written]),
+    ]
+    value, size, own = _laid(parts, n + len(images))
+    bits = np.bincount(own, size, n + len(images)).astype(np.int64)
+    chosen = np.arange(n)
+    shorter = bits[image_of] < bits[which]
+    chosen[which[shorter]] = image_of[shorter]
+    kept = np.zeros(n + len(images), bool)
+    kept[chosen] = True
+    value, size, own = (x[kept[own]] for x in (value, size, own))
+    n_bytes = np.where(kept, (bits + 7) // 8, 0)
+    begin = np.cumsum(n_bytes) - n_bytes
+    running = np.cumsum(size) - size
+    first_token = np.searchsorted(own, np.arange(len(kept)))
+    at = running - running[np.minimum(first_token, len(running) - 1)][own] + 8 * begin[own]
+    everything = _pack(value, size, at, int(n_bytes.sum())).tobytes()
+    return [everything[lo : lo + k] for lo, k in zip(begin[chosen].tolist(), n_bytes[chosen].tolist(), strict=True)]
+
+
 def encode_many(payloads: list[bytes]) -> list[bytes]:
     """A WebP file for each payload; payload lengths are positive multiples of 192."""
     if not payloads:
         return []
-    green, green_code, other, other_code, head, head_bits = _book()
-    n_px = np.array([len(p) // 3 for p in payloads], np.int64)
-    raw = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 3).astype(np.int64)
-    rgb = raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2]
-    per = WIDTH * TILE_ROWS
-    tiles_of = -(-n_px // per)
+    n_rows = np.array([len(p) // ROW_BYTES for p in payloads], np.int64)
+    raw = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, WIDTH, 3)
+    tiles_of = -(-n_rows // TILE_ROWS)
     doc_of_tile = np.repeat(np.arange(len(payloads)), tiles_of)
     tile_no = np.arange(len(doc_of_tile)) - np.repeat(np.cumsum(tiles_of) - tiles_of, tiles_of)
-    tile_px = np.minimum(per, n_px[doc_of_tile] - tile_no * per)
-    starts = np.cumsum(tile_px) - tile_px
-    tile = np.repeat(np.arange(len(tile_px)), tile_px)
-    total = len(rgb)
-
-    # Runs of the pixel before, of three pixels or more, become back-references.
-    same = np.zeros(total, bool)
-    same[1:] = rgb[1:] == rgb[:-1]
-    same[starts] = False
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
-    begin, end = edge[::2], edge[1::2]
-    long = end - begin >= 3
-    begin, end = begin[long], end[long]
-    inside = np.zeros(total + 1, np.int64)
-    np.add.at(inside, begin, 1)
-    np.add.at(inside, end, -1)
-    inside = np.cumsum(inside[:-1]) > 0
-
-    # A pixel is in the colour cache if the last one with its hash, in its tile, had its colour.
-    slot = ((rgb | 0xFF000000) * CACHE_MULTIPLIER & 0xFFFFFFFF) >> (32 - CACHE_BITS)
-    order = np.argsort(tile << CACHE_BITS | slot, kind="stable")
-    key = (tile << CACHE_BITS | slot)[order]
-    hit = np.zeros(total, bool)
-    hit[order[1:]] = (key[1:] == key[:-1]) & (rgb[order[1:]] == rgb[order[:-1]])
-
-    r, g, b = raw[:, 0], raw[:, 1], raw[:, 2]
-    values = green_code[g] | other_code[r] << green[g] | other_code[b] << (green[g] + other[r])
-    sizes = green[g] + other[r] + other[b]
-    cached = LITERALS + LENGTHS + slot[hit]
-    values[hit], sizes[hit] = green_code[cached], green[cached]
-    sizes[inside] = 0
-    values[inside] = 0
-    prefix, extra_bits, extra = prefix_of(end - begin)
-    values[begin] = green_code[LITERALS + prefix] | extra << green[LITERALS + prefix]
-    sizes[begin] = green[LITERALS + prefix] + extra_bits
-
-    bits = np.add.reduceat(sizes, starts)
-    body = 5 + (head_bits + bits + 7) // 8  # bytes of each stream
-    stream_at = np.cumsum(body) - body
-    running = np.cumsum(sizes) - sizes
-    at = running - running[starts][tile] + (stream_at[tile] + 5) * 8 + head_bits
-    written = np.flatnonzero(sizes)
-    everything = _pack(values[written], sizes[written], at[written], int(body.sum())).tobytes()
-    whole = head_bits // 8
-    head_bytes = head.to_bytes(whole + 1, "little")
-    rows = tile_px // WIDTH
+    rows = np.minimum(TILE_ROWS, n_rows[doc_of_tile] - tile_no * TILE_ROWS)
     found: list[bytes] = []
     frames: list[bytes] = []
-    for t, doc in enumerate(doc_of_tile.tolist()):
-        lo, n = int(stream_at[t]), int(body[t])
-        size = SIGNATURE | (WIDTH - 1) << 8 | (int(rows[t]) - 1) << 22
-        joined = bytes([everything[lo + 5 + whole] | head_bytes[whole]])
-        stream = size.to_bytes(5, "little") + head_bytes[:whole] + joined + everything[lo + 6 + whole : lo + n]
+    # Some tiles at a time, since encoding takes some hundred bytes a pixel.
+    cuts = np.flatnonzero(np.diff(np.cumsum(rows) // ENCODED_ROWS, prepend=0, append=-1))
+    stop = np.concatenate([[0], np.cumsum(rows)])
+    coded = [x for a, b in zip([0, *cuts], cuts, strict=False) if a < b for x in encode_tiles(raw[stop[a] : stop[b]], rows[a:b])]
+    for t, (doc, stream) in enumerate(zip(doc_of_tile.tolist(), coded, strict=True)):
+        n = len(stream)
         chunk = b"VP8L" + struct.pack("<I", n) + stream + b"\0" * (n & 1)
         if tiles_of[doc] > 1:
             place = bytes(3) + (int(tile_no[t]) * TILE_ROWS // 2).to_bytes(3, "little")
@@ -727,7 +1047,7 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
             frames.append(b"ANMF" + struct.pack("<I", len(frame) + len(chunk)) + frame + chunk)
             if tile_no[t] + 1 < tiles_of[doc]:
                 continue
-            canvas = b"\x02" + bytes(3) + (WIDTH - 1).to_bytes(3, "little") + (int(n_px[doc]) // WIDTH - 1).to_bytes(3, "little")
+            canvas = b"\x02" + bytes(3) + (WIDTH - 1).to_bytes(3, "little") + (int(n_rows[doc]) - 1).to_bytes(3, "little")
             chunk = b"VP8X" + struct.pack("<I", 10) + canvas + b"ANIM" + struct.pack("<I", 6) + bytes(6) + b"".join(frames)
             frames = []
         found.append(b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk)

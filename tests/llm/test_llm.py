@@ -331,7 +331,7 @@ def test_predictor_modes():
         residual, want = np.zeros_like(image), samples_of(image)
         for y in range(9):
             for x in range(11):
-                got = samples_of(webp.undo_predictor(residual, modes, 2))[y, x]
+                got = samples_of(webp.undo_predictors([residual], [modes], 2)[0])[y, x]
                 residual[y, x] = webp._join((want[y, x] - got) & 255)
         write = webp.BitWriter()
         head(write, 11, 9)
@@ -377,6 +377,190 @@ def test_colour_transforms_and_palette():
         assert (webp.decode_many([bits_of(write)])[0] == table[index]).all(), colours
 
 
+class PlainDecoder:
+    """A VP8L stream decoded bit by bit and pixel by pixel, in whole numbers and lists; notes which transforms it met."""
+
+    def __init__(self, data):
+        self.bits, self.at, self.met = int.from_bytes(data, "little"), 0, []
+
+    def read(self, n):
+        self.at += n
+        return self.bits >> (self.at - n) & ((1 << n) - 1)
+
+    def code(self, size):
+        lengths = [0] * size
+        if self.read(1):
+            two, wide = self.read(1), self.read(1)
+            symbols = [self.read(8 if wide else 1)] + ([self.read(8)] if two else [])
+            for x in symbols:
+                lengths[x] = 1
+        else:
+            own = [0] * 19
+            for k in range(4 + self.read(4)):
+                own[webp.CODE_LENGTH_ORDER[k]] = self.read(3)
+            tree, left, found, last = self.tree(own), size, [], 8
+            if self.read(1):
+                left = 2 + self.read(2 + 2 * self.read(3))
+            while len(found) < size and left:
+                left -= 1
+                x = self.symbol(tree)
+                if x < 16:
+                    found.append(x)
+                    last = x or last
+                else:
+                    found += [last if x == 16 else 0] * {16: lambda: 3 + self.read(2), 17: lambda: 3 + self.read(3), 18: lambda: 11 + self.read(7)}[x]()
+            lengths = found + [0] * (size - len(found))
+        return self.tree(lengths)
+
+    def tree(self, lengths):
+        used = [x for x, n in enumerate(lengths) if n]
+        if len(used) < 2:
+            return used[0] if used else 0
+        tree, value = {}, 0
+        for n in range(1, 16):
+            value <<= 1
+            for x in used:
+                if lengths[x] == n:
+                    tree[n, value] = x
+                    value += 1
+        return tree
+
+    def symbol(self, tree):
+        if not isinstance(tree, dict):
+            return tree
+        n = value = 0
+        while (n, value) not in tree:
+            n, value = n + 1, value << 1 | self.read(1)
+        return tree[n, value]
+
+    def amount(self, prefix):
+        if prefix < 4:
+            return prefix + 1
+        extra = (prefix - 2) >> 1
+        return ((2 + (prefix & 1)) << extra) + self.read(extra) + 1
+
+    def image(self, width, height, main):
+        cache_bits = self.read(4) if self.read(1) else 0
+        cache, meta = [0] * (1 << cache_bits), None
+        if main and self.read(1):
+            raise NotImplementedError
+        sizes = [280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40]
+        green, red, blue, alpha, far = [self.code(n) for n in sizes]
+        out = []
+        while len(out) < width * height:
+            x = self.symbol(green)
+            if x < 256:
+                r, b = self.symbol(red), self.symbol(blue)
+                new = [self.symbol(alpha) << 24 | r << 16 | x << 8 | b]
+            elif x < 280:
+                n, d = self.amount(x - 256), self.amount(self.symbol(far))
+                if d > 120:
+                    d -= 120
+                else:
+                    d = max(1, webp.NEAR[d - 1][0] + webp.NEAR[d - 1][1] * width)
+                new = [out[len(out) - d + k % d] for k in range(n)]
+            else:
+                new = [cache[x - 280]]
+            for v in new:
+                out.append(v)
+                if cache_bits:
+                    cache[(v * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - cache_bits)] = v
+        assert len(out) == width * height
+        return out
+
+    def decode(self):
+        assert self.read(8) == 0x2F
+        width, height = self.read(14) + 1, self.read(14) + 1
+        self.read(4)
+        todo, inner = [], width
+        while self.read(1):
+            kind = self.read(2)
+            self.met.append(kind)
+            if kind == 3:
+                n = self.read(8) + 1
+                table = samples_of(np.array(self.image(n, 1, False), np.int64)).cumsum(0) & 255
+                per = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+                todo.append((kind, per, table.tolist(), inner))
+                inner = -(-inner // (1 << per))
+            elif kind != 2:
+                bits = self.read(3) + 2
+                across = -(-inner // (1 << bits))
+                todo.append((kind, bits, self.image(across, -(-height // (1 << bits)), False), across))
+        px = samples_of(np.array(self.image(inner, height, True), np.int64)).reshape(height, inner, 4).tolist()
+        for kind, bits, table, across in reversed(todo):
+            if kind == 3:
+                step = 8 >> bits
+                px = [[table[row[x >> bits][2] >> (x % (1 << bits)) * step & ((1 << step) - 1)] for x in range(across)] for row in px]
+                continue
+            self.modes = [m >> 8 & 15 for m in table] if kind == 0 else getattr(self, "modes", [])
+            self.elements = [m & 0xFFFFFF for m in table] if kind == 1 else getattr(self, "elements", [])
+            for y in range(height):
+                for x in range(width):
+                    own, e = px[y][x], table[(y >> bits) * across + (x >> bits)]
+                    if kind == 1:
+                        signed = lambda v: v - 256 if v > 127 else v
+                        g2r, g2b, r2b = signed(e & 255), signed(e >> 8 & 255), signed(e >> 16 & 255)
+                        own[1] = own[1] + (g2r * signed(own[2]) >> 5) & 255
+                        own[3] = own[3] + (g2b * signed(own[2]) >> 5) + (r2b * signed(own[1]) >> 5) & 255
+                        continue
+                    mode = e >> 8 & 15
+                    left, top = (px[y][x - 1] if x else None), (px[y - 1][x] if y else None)
+                    if x == 0 or y == 0:
+                        guess = left or top or [255, 0, 0, 0]
+                    else:
+                        corner = px[y - 1][x - 1]
+                        guess = {
+                            0: lambda: [255, 0, 0, 0],
+                            1: lambda: left,
+                            2: lambda: top,
+                            11: lambda: left if sum(abs(t - c) for t, c in zip(top, corner)) < sum(abs(a - c) for a, c in zip(left, corner)) else top,  # noqa: B023, B905
+                            12: lambda: [min(255, max(0, a + t - c)) for a, t, c in zip(left, top, corner)],  # noqa: B023, B905
+                        }[mode]()
+                    px[y][x] = [(a + b) & 255 for a, b in zip(own, guess, strict=True)]
+        return np.array(px)
+
+
+def test_texts_take_every_transform_and_a_plain_decoder_reads_them(spark):
+    """Over the documents of the small table some tiles need each inversion; a sample of each is read pixel by pixel."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    payloads = [media.payload_of(t)[0] for t in texts]
+    rng = np.random.default_rng(5)
+    ramp = np.arange(32)[:, None, None] * 3 + np.arange(64)[None, :, None] * np.array([2, 1, 3])
+    for kind in (np.int64(1), rng.integers(0, 3, (32, 64, 1)), np.where(rng.random((32, 1, 1)) < 0.5, 40, 0) + np.where(rng.random((1, 64, 1)) < 0.3, 90, 0)):
+        payloads.append(((ramp if np.ndim(kind) < 3 or kind.max() < 9 else 0) + kind + np.zeros((32, 64, 3), np.int64)).astype(np.uint8).tobytes())
+    payloads += [b"no! NO!! ".ljust(12) * 16 * 7, bytes(range(192)) * 2, rng.integers(0, 256, 192, dtype=np.uint8).tobytes() * 9]
+    fields = (np.arange(40)[:, None] * 5 // 7 + np.arange(64)[None, :]) // 3
+    payloads.append(((fields[..., None] * np.array([77, 131, 201]) + rng.integers(0, 2, (40, 64, 3)) * (fields[..., None] % 3 == 0)) & 255).astype(np.uint8).tobytes())
+    payloads.append(np.repeat(rng.integers(0, 256, (24, 8, 3), dtype=np.uint8), 8, 1).tobytes())
+    assert all(len(p) % 192 == 0 for p in payloads)
+    met, of_texts, read = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, (payload, file) in enumerate(zip(payloads, webp.encode_many(payloads), strict=True)):
+        for k, (_, y, begin) in enumerate(webp.streams(file)[2]):
+            fast = webp.decode_streams(file[begin:] + bytes(16), [0])[0]
+            part = payload[k * 64 * 192 : (k + 1) * 64 * 192]
+            assert webp.samples(fast) == part
+            stream = webp.Stream(file[begin:], 0)
+            job, kinds = stream.next_job(), []
+            while stream.wanted:
+                pixels, end = webp.decode_lanes(webp.words_at(file[begin:]), [job])
+                kind = stream.wanted[0]
+                if kind != webp.PALETTE:
+                    kinds += [(kind, x) for x in np.unique(pixels[0] >> 8 & 15 if kind == webp.PREDICTOR else pixels[0] & 0xFFFFFF).tolist()]
+                else:
+                    kinds.append((kind, stream.wanted[1] <= 16))
+                stream.at = int(end[0])
+                job = stream.next_job(pixels[0])
+            met.update(set(kinds))
+            of_texts.update({(kind, x > 0) for kind, x in kinds} if i < len(texts) else ())
+            if any(read[x] < 2 for x in kinds):
+                plain = PlainDecoder(file[begin:])
+                assert (plain.decode() == samples_of(fast.astype(np.int64))).all()
+                read.update(kinds)
+    assert all(of_texts[kind, True] > 0 for kind in (webp.PREDICTOR, webp.CROSS_COLOUR, webp.PALETTE)), of_texts
+    assert {(webp.PREDICTOR, m) for m in webp.MODES} | {(webp.PALETTE, True), (webp.PALETTE, False)} <= set(met), met
+    assert len([x for x in met if x[0] == webp.CROSS_COLOUR]) == len(webp.ELEMENTS)
+
+
 def test_media_digests(odd, none):
     rows = media.read_media(media.store_media(odd), payload=False).collect()
     texts = collections.Counter((i, hashlib.sha256(media.payload_of(t)[0]).hexdigest(), len((t or "").encode())) for i, t, *_ in ODD)
