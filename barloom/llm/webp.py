@@ -807,13 +807,18 @@ def _forward(rows: np.ndarray, first: np.ndarray, tall: np.ndarray, book: Book)
     return tried[0], best.ravel(), of(MODE_BITS), element.ravel(), of(ELEMENT_BITS)
 
 
+def _ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, equal ones by place, and the places. Keys have at most 40 bits, and there are at most 2**23."""
+    both = np.sort(key << 23 | np.arange(len(key)))
+    return both >> 23, both & ((1 << 23) - 1)
+
+
 def _indexed(rgb: np.ndarray, tile: np.ndarray, tall: np.ndarray) -> tuple:
     """Palettes of the tiles that have at most 256 colours, each at least twice on average.
 
     (tiles, colours of each, palettes one after the other, per tile its packed rows' width, indices by row).
     """
-    order = np.argsort(tile << 24 | rgb, kind="stable")
-    key = (tile << 24 | rgb)[order]
+    key, order = _ordered(tile << 24 | rgb)
     new = np.flatnonzero(np.diff(key, prepend=-1))
     owner, colour = key[new] >> 24, key[new] & 0xFFFFFF
     count = np.diff(np.append(new, len(key)))
@@ -847,9 +852,7 @@ def _tokens(r: np.ndarray, g: np.ndarray, b: np.ndarray, image: np.ndarray, form
 
     # A pixel is in the colour cache if the last one with its hash, in its image, had its colour.
     slot = (v * CACHE_MULTIPLIER & 0xFFFFFFFF) >> (32 - CACHE_BITS)
-    key = image << CACHE_BITS | slot
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    key, order = _ordered(image << CACHE_BITS | slot)
     hit = np.zeros(n, bool)
     hit[order[1:]] = (key[1:] == key[:-1]) & (v[order[1:]] == v[order[:-1]])
     cached = LITERALS + LENGTHS + slot
@@ -859,10 +862,10 @@ def _tokens(r: np.ndarray, g: np.ndarray, b: np.ndarray, image: np.ndarray, form
     # Three pixels in a row that stood in their image before; such places at one distance are one back-reference.
     at = np.arange(max(0, n - 2))
     at = at[image[at] == image[at + 2]] if n > 2 else at
-    key = image[at] << 32 | ((v[at] * 0x9E3779B1 ^ v[at + 1] * 0x85EBCA77 ^ v[at + 2] * 0xC2B2AE3D) & 0xFFFFFFFF)
-    order = np.argsort(key, kind="stable")
+    key = image[at] << 26 | ((v[at] * 0x9E3779B1 ^ v[at + 1] * 0x85EBCA77 ^ v[at + 2] * 0xC2B2AE3D) >> 6 & 0x3FFFFFF)
+    key, order = _ordered(key)
     a, p = at[order[:-1]], at[order[1:]]
-    same = (key[order[1:]] == key[order[:-1]]) & (v[a] == v[p]) & (v[a + 1] == v[p + 1]) & (v[a + 2] == v[p + 2])
+    same = (key[1:] == key[:-1]) & (v[a] == v[p]) & (v[a + 1] == v[p + 1]) & (v[a + 2] == v[p + 2])
     far = np.zeros(n + 1, np.int64)
     far[p[same]] = (p - a)[same]
     own = np.append(image, -1)
