@@ -101,7 +101,17 @@ def cut_windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
+
+
+def _summed(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """(n, columns): the values added up by their row."""
+    total = np.zeros((n, values.shape[1]), values.dtype)
+    if len(row):
+        order = np.argsort(row, kind="stable")
+        first = np.flatnonzero(np.diff(row[order], prepend=-1))
+        total[row[order[first]]] = np.add.reduceat(values[order], first, 0)
+    return total
 
 
 @dataclass
@@ -116,31 +126,30 @@ class Network:
         chars = np.add.reduceat(self.params["chars"][self.piece_row[v.piece]], v.first, 0) / n[:, None]
         return np.concatenate([self.params["words"][self.word_row[v.word]], chars], 1).astype(self.params["words"].dtype)
 
-    def _run(self, xw: np.ndarray, mask: np.ndarray, way: str, keep: list | None) -> np.ndarray:
-        """States (steps, windows, HIDDEN) from inputs already multiplied (steps, windows, 3 * HIDDEN)."""
-        u, uc = self.params[f"u{way}"], self.params[f"uc{way}"]
-        steps, n = mask.shape
-        h = np.zeros((n, HIDDEN), xw.dtype)
-        out = np.empty((steps, n, HIDDEN), xw.dtype)
-        for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-            gates = _sigmoid(xw[t, :, : 2 * HIDDEN] + h @ u)
-            z, r = gates[:, :HIDDEN] * mask[t][:, None], gates[:, HIDDEN:]
-            c = np.tanh(xw[t, :, 2 * HIDDEN :] + (r * h) @ uc)
+    def _run(self, xw: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
+        """States (2, steps, windows, HIDDEN) of both directions, each in its own order of steps; xw are the inputs already multiplied."""
+        u, uc = (np.stack([self.params[k + way] for way in "fb"]) for k in ("u", "uc"))
+        _, steps, n = mask.shape
+        h = np.zeros((2, n, HIDDEN), xw.dtype)
+        out = np.empty((2, steps, n, HIDDEN), xw.dtype)
+        mask = mask[..., None]
+        for t in range(steps):
+            gates = _sigmoid(xw[:, t, :, : 2 * HIDDEN] + h @ u)
+            z, r = gates[..., :HIDDEN] * mask[:, t], gates[..., HIDDEN:]
+            c = np.tanh(xw[:, t, :, 2 * HIDDEN :] + (r * h) @ uc)
             if keep is not None:
-                keep.append((t, h, z, r, c))
+                keep.append((h, z, r, c))
             h = h + z * (c - h)
-            out[t] = h
+            out[:, t] = h
         return out
 
     def forward(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """The logit of each window; x are the inputs of distinct words, index (steps, windows) says which, mask which are there."""
         p = self.params
-        states, tapes = [], {}
-        for way in "fb":
-            xw = (x @ p[f"w{way}"] + p[f"b{way}"])[index]
-            tapes[way] = None if keep is None else []
-            states.append(self._run(xw, mask, way, tapes[way]))
-        h = np.concatenate(states, 2)
+        f, b = (x @ p[f"w{way}"] + p[f"b{way}"] for way in "fb")
+        tape = None if keep is None else []
+        states = self._run(np.stack([f[index], b[index[::-1]]]), np.stack([mask, mask[::-1]]).astype(x.dtype), tape)
+        h = np.concatenate([states[0], states[1, ::-1]], 2)
         energy = np.tanh(h @ p["att"] + p["att_b"])
         score = energy @ p["att_v"]
         score = np.where(mask > 0, score, -1e9)
@@ -148,7 +157,7 @@ class Network:
         a /= a.sum(0)
         context = (a[:, :, None] * h).sum(0)
         if keep is not None:
-            keep.update(h=h, energy=energy, a=a, context=context, tapes=tapes, index=index, mask=mask, x=x)
+            keep.update(h=h, energy=energy, a=a, context=context, tape=tape, index=index, mask=mask, x=x)
         return context @ p["out"] + p["out_b"][0]
 
     def logits(self, v: Vocabulary, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -183,39 +192,52 @@ class Network:
         g["att_b"] = d_energy.sum((0, 1))
         g["att"] = np.einsum("tnh,tnk->hk", h, d_energy)
         d_h += d_energy @ p["att"].T
+        d_h = np.stack([d_h[:, :, :HIDDEN], d_h[::-1, :, HIDDEN:]])
+        mask = np.stack([keep["mask"], keep["mask"][::-1]])[..., None].astype(x.dtype)
+        u, uc = (np.stack([p[k + way] for way in "fb"]) for k in ("u", "uc"))
+        d_u, d_uc = np.zeros_like(u), np.zeros_like(uc)
+        u_t, uc_t = u.transpose(0, 2, 1), uc.transpose(0, 2, 1)
+        d_xw = np.zeros((2, *index.shape, 3 * HIDDEN), x.dtype)
+        later = np.zeros((2, index.shape[1], HIDDEN), x.dtype)
+        for t in range(len(index) - 1, -1, -1):
+            before, z, r, c = keep["tape"][t]
+            d = later + d_h[:, t]
+            d_c = d * z * (1 - c**2)
+            d_z = d * (c - before) * z * (1 - z) * mask[:, t]
+            d_rh = d_c @ uc_t
+            d_r = d_rh * before * r * (1 - r)
+            gates = np.concatenate([d_z, d_r], 2)
+            d_u += before.transpose(0, 2, 1) @ gates
+            d_uc += (r * before).transpose(0, 2, 1) @ d_c
+            later = d * (1 - z) + d_rh * r + gates @ u_t
+            d_xw[:, t] = np.concatenate([gates, d_c], 2)
         d_x = np.zeros_like(x)
         for k, way in enumerate("fb"):
-            u, uc = p[f"u{way}"], p[f"uc{way}"]
-            d_u, d_uc = np.zeros_like(u), np.zeros_like(uc)
-            d_xw = np.zeros((*index.shape, 3 * HIDDEN), x.dtype)
-            later = np.zeros((index.shape[1], HIDDEN), x.dtype)
-            for t, before, z, r, c in reversed(keep["tapes"][way]):
-                d = later + d_h[t, :, k * HIDDEN : (k + 1) * HIDDEN]
-                d_c = d * z * (1 - c**2)
-                d_z = d * (c - before) * z * (1 - z) * keep["mask"][t][:, None]
-                d_rh = d_c @ uc.T
-                d_r = d_rh * before * r * (1 - r)
-                gates = np.concatenate([d_z, d_r], 1)
-                d_u += before.T @ gates
-                d_uc += (r * before).T @ d_c
-                later = d * (1 - z) + d_rh * r + gates @ u.T
-                d_xw[t] = np.concatenate([gates, d_c], 1)
-            g[f"u{way}"], g[f"uc{way}"] = d_u, d_uc
-            flat = np.zeros((len(x), 3 * HIDDEN), x.dtype)
-            np.add.at(flat, index.ravel(), d_xw.reshape(-1, 3 * HIDDEN))
+            g[f"u{way}"], g[f"uc{way}"] = d_u[k], d_uc[k]
+            flat = _summed((index if k == 0 else index[::-1]).ravel(), d_xw[k].reshape(-1, 3 * HIDDEN), len(x))
             g[f"b{way}"], g[f"w{way}"] = flat.sum(0), x.T @ flat
             d_x += flat @ p[f"w{way}"].T
         return g, d_x
 
 
-def _gathered(texts: list[bytes]) -> tuple[Vocabulary, np.ndarray]:
-    """One vocabulary of all the texts, and where each one's words begin; hashed a group at a time, in bounded memory."""
+def _gathered(texts: list[bytes]) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
+    """One vocabulary of all the texts, where each one's words begin, and in how many texts each word and piece bucket is.
+
+    A group of texts at a time, in bounded memory.
+    """
+    seen = np.zeros((2, BUCKETS), np.int64)
     word_of, hashes, word, piece, n_pieces, sizes, rows = [], [], [], [], [], [], 0
     for group in wordhash.grouped(enumerate(texts)):
         words = wordhash.split_words([t for _, t in group])
         sizes.append(np.diff(words.first))
         if len(words.hashes):
             v = vocabulary(words)
+            owner = np.repeat(np.arange(len(group)), sizes[-1])
+            pairs = np.unique(owner << 32 | v.word_of)  # each distinct word of each text once
+            own = v.only(pairs & ((1 << 32) - 1))
+            n = np.diff(np.append(own.first, len(own.piece)))
+            for k, (text, bucket) in enumerate(((pairs >> 32, own.word), (np.repeat(pairs >> 32, n), own.piece))):
+                seen[k] += np.bincount(np.unique(text << 16 | bucket.astype(np.int64)) & (BUCKETS - 1), minlength=BUCKETS)
             word_of.append(v.word_of + rows)
             hashes.append(np.unique(words.hashes))
             word.append(v.word)
@@ -224,11 +246,11 @@ def _gathered(texts: list[bytes]) -> tuple[Vocabulary, np.ndarray]:
             rows += len(v.word)
     first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
     if not rows:
-        return Vocabulary(*(np.zeros(0, np.int64) for _ in range(4))), first
+        return Vocabulary(*(np.zeros(0, np.int64) for _ in range(4))), first, seen
     _, at, same = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
     n = np.concatenate(n_pieces)
     whole = Vocabulary(same[np.concatenate(word_of)], np.concatenate(word), np.concatenate(piece), np.cumsum(n) - n)
-    return replace(whole.only(at), word_of=whole.word_of), first
+    return replace(whole.only(at), word_of=whole.word_of), first, seen
 
 
 def train(sample: list[tuple[str, int]], seed: int = 3) -> Network:
@@ -240,10 +262,9 @@ def train(sample: list[tuple[str, int]], seed: int = 3) -> Network:
     """
     rng = np.random.default_rng(seed)
     label = np.array([y for _, y in sample], np.int64)
-    v, first = _gathered([plain(t) for t, _ in sample])
+    v, first, seen = _gathered([plain(t) for t, _ in sample])
     begin, end, text = cut_windows(first)
-    owner = np.repeat(np.arange(len(sample)), np.diff(first))
-    net = _fresh(v, owner, rng)
+    net = _fresh(seen, rng)
     if not len(text) or not (label == 1).any() or not (label == 0).any():
         net.params["out_b"][:] = -8
         return net
@@ -280,9 +301,8 @@ def train(sample: list[tuple[str, int]], seed: int = 3) -> Network:
             grads, d_x = net.gradients(keep, ((_sigmoid(logits) - label[text[part]]) * weight[part] / BATCH).astype(np.float32))
             d_x[hidden] = 0
             n = np.diff(np.append(own.first, len(own.piece)))
-            grads["words"], grads["chars"] = np.zeros_like(params["words"]), np.zeros_like(params["chars"])
-            np.add.at(grads["words"], net.word_row[own.word], d_x[:, :EMBEDDING])
-            np.add.at(grads["chars"], net.piece_row[own.piece], np.repeat(d_x[:, EMBEDDING:] / n[:, None], n, 0))
+            grads["words"] = _summed(net.word_row[own.word], d_x[:, :EMBEDDING], len(params["words"]))
+            grads["chars"] = _summed(net.piece_row[own.piece], np.repeat(d_x[:, EMBEDDING:] / n[:, None], n, 0), len(params["chars"]))
             step += 1
             rate = RATE / (1 + step / SLOWER)
             for k, p in params.items():
@@ -295,23 +315,9 @@ def train(sample: list[tuple[str, int]], seed: int = 3) -> Network:
     return net
 
 
-def _fresh(v: Vocabulary, owner: np.ndarray, rng: np.random.Generator) -> Network:
+def _fresh(seen: np.ndarray, rng: np.random.Generator) -> Network:
     """A network before training; a bucket in fewer than MIN_TEXTS of the texts shares the row of the rare ones, zero."""
-
-    def rows(bucket_of: np.ndarray, at: np.ndarray) -> np.ndarray:
-        seen = np.unique(owner[at] << 16 | bucket_of)
-        known = np.flatnonzero(np.bincount(seen & (BUCKETS - 1), minlength=BUCKETS) >= MIN_TEXTS)
-        row = np.zeros(BUCKETS, np.int32)
-        row[known] = np.arange(1, len(known) + 1)
-        return row
-
-    pairs = np.unique(owner << 32 | v.word_of)  # each distinct word of each text once
-    owner, of = pairs >> 32, pairs & ((1 << 32) - 1)
-    n = np.diff(np.append(v.first, len(v.piece)))
-    inside = np.repeat(np.cumsum(n[of]) - n[of] - v.first[of], n[of])
-    piece = v.piece[np.arange(len(inside)) - inside]
-    word_row = rows(v.word[of].astype(np.int64), np.arange(len(of)))
-    piece_row = rows(piece.astype(np.int64), np.repeat(np.arange(len(of)), n[of]))
+    word_row, piece_row = np.where(seen >= MIN_TEXTS, np.cumsum(seen >= MIN_TEXTS, 1), 0).astype(np.int32)
     normal = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
     table = lambda row: np.concatenate([np.zeros((1, EMBEDDING)), rng.normal(0, 0.05, (int(row.max()), EMBEDDING))]).astype(np.float32)
     params = {
