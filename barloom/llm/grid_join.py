@@ -2,10 +2,11 @@
 
 Cosine >= t of unit vectors is Euclidean distance <= eps = sqrt(2 - 2t). Projecting on orthonormal directions never
 lengthens a distance, so two vectors whose projections on the leading principal directions lie further than
-eps apart cannot link. The vectors are sorted by their grid cells (side eps, or 1/32 if eps is less) on those directions, the
+eps apart cannot link. The centred vectors are sorted by their grid cells (side eps / 4, at least 1/32) on those directions, the
 sequence is cut into blocks, block pairs whose bounding boxes lie further than eps apart are skipped, and every other
-pair is joined by halving both intervals again and again, skipping distant halves, down to small leaves whose
-cosines are computed in double precision.
+pair is joined by halving both intervals again and again, skipping distant halves, down to leaves. In a leaf the
+projections of all its pairs are compared first, and only pairs not further apart than eps there have their cosine
+computed, in double precision. In many dimensions boxes hide what projections show: there the leaves do the skipping.
 
 Equal vectors are one class, joined once. A block pair gives a count and a root for each class it links, not its
 links, so a group of near copies costs rows in proportion to its size.
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import connected_components, settled
 
-BLOCK = 4096
-LEAF = 256
-#: Principal directions of the grid and of the bounding boxes.
-LEADING = 8
+#: Numbers in a block: 16384 vectors of 64, fewer longer ones.
+BLOCK_VALUES = 1 << 20
+LEAF = 128
+#: Principal directions of the bounding boxes and of the filter in the leaves, and of the grid.
+LEADING, GRID = 16, 9
+#: What rounding in single precision may add to a squared distance of projections.
+SLACK = 1e-4
 #: Vertices of the graph: a class's smallest vec_id, or one beyond all of them for a class that has none.
 VERTEX = "decimal(20,0)"
 UNNAMED = Decimal(1 << 63)
@@ -39,23 +43,26 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _principal(classes: DataFrame, dim: int) -> np.ndarray:
-    """Leading principal directions, (dim, k), of all unit vectors: sums of products by task, added up by cell."""
+def _principal(classes: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, (dim, k) leading principal directions) of all unit vectors: sums and sums of products by task, added up by cell."""
 
     def partial(batches):
-        total = np.zeros((dim, dim))
+        total = np.zeros((dim + 1, dim + 1))
         for batch in batches:
             if batch.num_rows:
                 v = unit(_matrix(batch.column(0), dim))
+                v = np.concatenate([v, np.ones((len(v), 1))], 1)
                 total += v.T @ v
-        yield pa.record_batch([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], names=["cell", "value"])
+        yield pa.record_batch([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["cell", "value"])
 
     rows = classes.select("vector").mapInArrow(partial, "cell long, value double").groupBy("cell").agg(F.sum("value")).collect()
-    total = np.zeros(dim * dim)
+    total = np.zeros((dim + 1) ** 2)
     for cell, value in rows:
         total[cell] = value
-    _, directions = np.linalg.eigh(total.reshape(dim, dim))
-    return np.ascontiguousarray(directions[:, ::-1][:, : min(LEADING, dim)])
+    total = total.reshape(dim + 1, dim + 1) / max(1.0, total[-1])
+    mean = total[-1, :-1]
+    _, directions = np.linalg.eigh(total[:-1, :-1] - np.outer(mean, mean))
+    return mean, np.ascontiguousarray(directions[:, ::-1][:, : min(LEADING, dim)])
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -67,11 +74,29 @@ def _distant(lo_a, hi_a, lo_b, hi_b, eps: float) -> bool:
     return bool(gap @ gap > eps * eps)
 
 
-def join_intervals(a: tuple, b: tuple | None, threshold: float, eps: float):
+def _near(a: tuple, b: tuple, i: int, j: int, k: int, m: int, threshold: float, eps: float) -> tuple[np.ndarray, int]:
+    """(which pairs of a leaf link, pairs whose cosine was computed): the projections tell most pairs apart."""
+    p, q = a[3][i:j], b[3][k:m]
+    apart = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * (p @ q.T)
+    rows, columns = np.nonzero(apart <= eps * eps + SLACK)
+    if 4 * len(rows) > (j - i) * (m - k):
+        return a[1][i:j] @ b[1][k:m].T >= threshold, (j - i) * (m - k)
+    near = np.zeros((j - i, m - k), bool)
+    if len(rows):
+        near[rows, columns] = np.einsum("nd,nd->n", a[1][i:j][rows], b[1][k:m][columns]) >= threshold
+    return near, len(rows)
+
+
+def side_of(projections: np.ndarray, vectors: np.ndarray, weights: np.ndarray) -> tuple:
+    """A side of join_intervals, in grid order."""
+    return projections, vectors, weights, projections.astype(np.float32)
+
+
+def join_intervals(a: tuple, b: tuple | None, threshold: float, eps: float, tally: dict | None = None):
     """Weighted link counts of both sides, and star edges between their positions (b's follow a's).
 
-    A side is (projections, unit vectors, weights), in grid order. `b` None joins `a` with itself. Recursive: an
-    interval pair is dropped if the bounding boxes of its projections are distant, else the longer interval is halved.
+    `b` None joins `a` with itself. Recursive: an interval pair is dropped if the bounding boxes of its projections are
+    distant, else the longer interval is halved. `tally` counts point pairs: all, skipped by boxes, skipped by points.
     """
     same = b is None
     b = a if same else b
@@ -79,6 +104,7 @@ def join_intervals(a: tuple, b: tuple | None, threshold: float, eps: float):
     links = [np.zeros(n_a, np.int64), np.zeros(len(b[0]), np.int64)]
     edges: list[np.ndarray] = []
     boxes: list[dict] = [{}, {}]
+    boxed = pointed = every = 0
 
     def box(side: int, lo: int, hi: int):
         key = (lo, hi)
@@ -90,10 +116,14 @@ def join_intervals(a: tuple, b: tuple | None, threshold: float, eps: float):
     todo = [(0, n_a, 0, len(b[0]))]
     while todo:
         i, j, k, m = todo.pop()
-        if i == j or k == m or (same and m <= i) or _distant(*box(0, i, j), *box(1, k, m), eps):
+        if i == j or k == m or (same and m <= i):
             continue
-        if j - i <= LEAF and m - k <= LEAF:
-            near = a[1][i:j] @ b[1][k:m].T >= threshold
+        if _distant(*box(0, i, j), *box(1, k, m), eps):
+            boxed += (j - i) * (m - k)
+        elif j - i <= LEAF and m - k <= LEAF:
+            every += (j - i) * (m - k)
+            near, computed = _near(a, b, i, j, k, m, threshold, eps)
+            pointed += (j - i) * (m - k) - computed
             if same and i == k:
                 near = np.triu(near, 1)
             if not near.any():
@@ -108,6 +138,9 @@ def join_intervals(a: tuple, b: tuple | None, threshold: float, eps: float):
         else:
             half = k + max(LEAF, (m - k) // 2 // LEAF * LEAF)
             todo += [(i, j, k, half), (i, j, half, m)]
+    if tally is not None:
+        for name, n in (("pairs", every + boxed), ("boxes", boxed), ("points", pointed)):
+            tally[name] = tally.get(name, 0) + n
     if same:
         links = [links[0] + links[1], None]
     return links[0], links[1], (np.concatenate(edges) if edges else np.zeros((0, 2), np.int64))
@@ -144,17 +177,17 @@ def _roots(n: int, edges: np.ndarray) -> np.ndarray:
     return root
 
 
-def _blocks(classes: DataFrame, directions: np.ndarray, dim: int, eps: float) -> DataFrame:
+def _blocks(classes: DataFrame, mean: np.ndarray, directions: np.ndarray, dim: int, eps: float) -> DataFrame:
     """The classes in grid order, packed: block, cells lo and hi on the first direction, lo, hi, cls, node, named, n, vectors."""
-    k, side = directions.shape[1], max(eps, 1 / 32)
+    k, side = min(GRID, directions.shape[1]), max(eps / 4, 1 / 32)
 
     def cells(batches):
         for batch in batches:
             if batch.num_rows:
-                p = unit(_matrix(batch.column(3), dim)) @ directions
+                p = (unit(_matrix(batch.column(3), dim)) - mean) @ directions
                 cell = np.floor(p / side).astype(np.int64)
                 packed = np.zeros(len(p), np.int64)
-                for d in range(k):  # |p| <= 1, so seven bits hold a cell
+                for d in range(k):  # |p| <= 2, so seven bits hold a cell
                     packed = packed << 7 | np.clip(cell[:, d] + 64, 0, 127)
                 yield pa.record_batch([*batch.columns, pa.array(packed)], names=["cls", "node", "n", "vector", "key"])
 
@@ -173,14 +206,14 @@ def _blocks(classes: DataFrame, directions: np.ndarray, dim: int, eps: float) ->
         begins[part] = at
         at += n
     offset = F.element_at(F.create_map(*[F.lit(x) for pair in begins.items() for x in pair]).cast("map<int,bigint>"), F.col("part"))
-    numbered = ranked.withColumn("seq", F.col("place") + offset).withColumn("block", F.expr(f"seq div {BLOCK}"))
+    numbered = ranked.withColumn("seq", F.col("place") + offset).withColumn("block", F.expr(f"seq div {max(64, BLOCK_VALUES // dim)}"))
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by("seq")
         vectors = np.asarray(pa.concat_arrays(table["vector"].chunks).flatten()).reshape(-1, dim)
-        p = unit(vectors) @ directions
+        p = (unit(vectors) - mean) @ directions
         whole = lambda name: table[name].to_numpy()
-        first = np.floor(p[:, 0] / side)
+        first = np.floor(p[:, 0] / eps)
         return pa.table(
             {
                 "block": pa.array([whole("block")[0]]),
@@ -221,8 +254,8 @@ def _block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
 def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(cls, node, links, root_cls, root): for each class and block pair that links it, copies linked and a class of its component; null nodes stay null."""
     eps = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9) + 1e-9
-    directions = _principal(classes, dim)
-    blocks = _blocks(classes, directions, dim, eps)
+    mean, directions = _principal(classes, dim)
+    blocks = _blocks(classes, mean, directions, dim, eps)
     pairs = settled(_block_pairs(blocks, eps))
     sides = pairs.select("a", "b", F.col("a").alias("block")).union(pairs.where("a <> b").select("a", "b", F.col("b").alias("block")))
     dealt = sides.join(blocks.select("block", "cls", "node", "named", "n", "vectors"), "block")
@@ -235,7 +268,7 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
             raw = row["vectors"]
             v = unit(np.frombuffer(raw, np.float32 if len(raw) == 4 * dim * len(n) else np.float64).reshape(-1, dim))
             names = np.frombuffer(row["cls"], np.int64), np.frombuffer(row["node"], np.int64), np.frombuffer(row["named"], bool)
-            read.append((names, (v @ directions, v, n)))
+            read.append((names, side_of((v - mean) @ directions, v, n)))
         first, second = read[0], read[1] if len(read) > 1 else None
         links_a, links_b, edges = join_intervals(first[1], second and second[1], threshold, eps)
         (cls, node, named), links = first[0], links_a

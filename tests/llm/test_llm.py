@@ -268,14 +268,35 @@ def test_grid_join_skips_only_distant_blocks():
     v = grid_join.unit(np.repeat(rng.normal(size=(60, 5)), 20, 0) + rng.normal(0, 0.02, (1200, 5)))
     p = v[:, :3]
     order = np.lexsort(p.T[::-1])
-    side = (p[order], v[order], np.ones(len(v), np.int64))
-    links, _, edges = grid_join.join_intervals(side, None, 0.95, math.sqrt(0.1) + 1e-9)
+    side, tally = grid_join.side_of(p[order], v[order], np.ones(len(v), np.int64)), {}
+    links, _, edges = grid_join.join_intervals(side, None, 0.95, math.sqrt(0.1) + 1e-9, tally)
+    assert tally["boxes"] > 0 and tally["points"] > 0 and tally["boxes"] + tally["points"] > 0.7 * tally["pairs"]
     near = v[order] @ v[order].T >= 0.95
     assert (links == near.sum(1) - 1).all()
     roots = components(range(len(v)), zip(*np.nonzero(near), strict=True))
     assert [roots[i] for i in range(len(v))] == grid_join._roots(len(v), edges).tolist()
 
 
+def test_grid_join_of_many_blocks_is_brute_force(spark, monkeypatch):
+    """Planted links within and between blocks, in 64 dimensions, and the share of pairs that the projections spare."""
+    monkeypatch.setattr(grid_join, "BLOCK_VALUES", 64 * 64)
+    rng = np.random.default_rng(17)
+    base = rng.normal(size=(700, 64))
+    v = np.concatenate([base] + [base[:200] + rng.normal(0, s, (200, 64)) for s in (0.1, 0.2, 0.3)] + [base[:30]])
+    rows = [(int(i), [float(x) for x in r]) for i, r in zip(rng.permutation(len(v)), v, strict=True)]
+    got = grid_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 0.95).collect()
+    w = grid_join.unit(np.array([r for _, r in rows], np.float32))
+    near, ids = w @ w.T >= 0.95, [i for i, _ in rows]
+    plain = components(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(near), strict=True)])
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (int(near[k].sum()) - 1, plain[i]) for k, i in enumerate(ids)}
+    assert near.sum() > 2 * len(v) and len({plain[i] for i in ids}) < 800
+    centred = w - w.mean(0)
+    p = centred @ np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, : grid_join.LEADING]
+    order, tally = np.lexsort(np.floor(p[:, : grid_join.GRID] / 0.08).T[::-1]), {}
+    grid_join.join_intervals(grid_join.side_of(p[order], w[order], np.ones(len(w), np.int64)), None, 0.95, math.sqrt(0.1) + 1e-9, tally)
+    assert tally["boxes"] + tally["points"] > 0.9 * tally["pairs"]
+
+
 # 5
 
 
