@@ -2,22 +2,27 @@
 
 A window is `window` consecutive words. Of the hashes of the GRAM-word sequences in it the leftmost least one is its
 fingerprint (winnowing: Schleimer et al., 2003), so equal windows have equal fingerprints, and about one word in six
-begins one. The index holds (fingerprint, document) in immutable runs sorted by fingerprint. Documents come in
-batches by ascending doc_id; for each batch
+begins one. The index holds, in immutable runs sorted by fingerprint, each fingerprint with the hashes of the whole windows
+it was taken from. Documents come in batches; for each batch
 
 1. its fingerprints are written as a new sorted run;
-2. the run is merge-joined with the runs of history; fingerprints that repeat in the batch or occur in history go into
-   a Bloom filter, the documents of history that hold them into another, both of bounded size;
-3. the windows on those fingerprints, of the batch and of the named documents of history, are hashed whole, with 96 bits, and
-   sorted: this verifies each candidate, and every window of the batch that isn't the first of its kind is covered;
-4. once there are FAN_IN runs, they are compacted into one.
+2. the run is merge-joined with the runs of history: where fingerprint and whole-window hash are the same, the window stood in
+   history, which verifies it without the earlier texts; no text is read twice;
+3. fingerprints that repeat in the batch, or whose window stood in history, go into a Bloom filter of bounded size; the batch's
+   windows on those are hashed whole, with 96 bits, and sorted, and every one that isn't the first of its kind is covered;
+4. once FAN_IN runs of one tier are there, they are merged into one of the next, so a window's hash is rewritten once a tier.
 
-A Bloom filter too full only lets more windows through to step 3; results are exact at any size.
+A Bloom filter too full only lets more windows through to step 3; results are exact at any size. Equal windows of a group
+of texts, and of neighbouring rows of a run, are written once, so a passage that stands everywhere is a few rows of a run.
+
+The index stays in its folder. Its manifest names the runs and is replaced by a rename; a run that it doesn't name, left by a
+driver that was lost, is deleted at the next opening, and the batch comes again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,9 +37,11 @@ from barloom.llm.bloom import bits_for, build_blooms, maybe_in
 from barloom.llm.common import dropping_shuffles, prepare_checkpoints, settled
 
 GRAM = 10
-FAN_IN = 4
-#: Stands for a null doc_id: after all others.
+FAN_IN = 3
+RUN = "g long, n long, hashes binary"
+#: Stands for a null doc_id: after all others; and for the documents of history, before them.
 LAST = (1 << 63) - 1
+PAST = -(1 << 63)
 
 
 def fingerprints(words: wordhash.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,113 +66,208 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
             yield np.array([d for d, _ in group], np.int64), texts, wordhash.split_words(texts)
 
 
+def _check(g: np.ndarray) -> np.ndarray:
+    return (wordhash.mix(g + np.uint64(5)) >> np.uint64(33)).astype(np.int32)
+
+
 def _owners(words: wordhash.Words) -> np.ndarray:
     return np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
 
 
+def _listed(owner: np.ndarray, hashes: np.ndarray, n: int) -> pa.Array:
+    """A binary array of n rows from their hashes one after the other."""
+    offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32) * 8
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(hashes).view(np.uint8))])
+
+
+def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every hash of a binary column."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
+    return np.repeat(np.arange(len(column)), np.diff(offsets) // 8), data.view(np.int64)
+
+
+def _run_rows(g: np.ndarray, h: np.ndarray, counted: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of a run, in its order, from windows (g, h) in any order and counts n of fingerprints `counted`."""
+    order = np.lexsort((h, g))
+    g, h = g[order], h[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1])
+    g, h = g[new], h[new]
+    key, owner = np.unique(g, return_inverse=True)
+    total = np.bincount(np.searchsorted(key, counted), n, len(key)).astype(np.int64)
+    return pa.record_batch([pa.array(key), pa.array(total), _listed(owner, h, len(key))], names=["g", "n", "hashes"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of g with neighbours of one g made one, as far as they come together."""
+    for batch in batches:
+        g = batch.column(0).to_numpy()
+        same = np.zeros(len(g) + 1, bool)
+        same[1:-1] = g[1:] == g[:-1]
+        many = same[1:] | same[:-1]
+        if many.any():
+            some = batch.filter(pa.array(many))
+            row, h = _hashes(some.column(2))
+            own = some.column(0).to_numpy()
+            made = _run_rows(own[row], h, own, some.column(1).to_numpy())
+            whole = pa.Table.from_batches([batch.filter(pa.array(~many)), made.cast(batch.schema)])
+            yield from whole.sort_by("g").combine_chunks().to_batches()
+        else:
+            yield batch
+
+
 class FingerprintIndex:
-    """The runs of one corpus, in a folder of the shared checkpoint folder."""
+    """A corpus's runs, in a folder that all executors share; opened again where that folder holds an index already.
+
+    Documents added by an earlier call are earlier, whatever their ids.
+    """
 
-    def __init__(self, spark: SparkSession, window: int = 20):
+    def __init__(self, spark: SparkSession, folder: str, window: int = 20):
         if window <= GRAM:
             raise ValueError(f"a window has more than {GRAM} words")
-        prepare_checkpoints(spark)
-        self.spark, self.window = spark, window
-        self.folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/runs-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
+        self.spark, self.window, self.folder = spark, window, folder
+        self.runs: list[tuple[int, str]] = []  # (tier, name)
         self.written = 0
+        self.compacted = 0
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        if self._fs.exists(self._path("manifest.json")):
+            stream = self._fs.open(self._path("manifest.json"))
+            try:
+                known = json.loads(bytes(stream.readAllBytes()))
+            finally:
+                stream.close()
+            if known["window"] != window:
+                raise ValueError(f"this index has windows of {known['window']} words")
+            self.runs, self.written = [(t, r) for t, r in known["runs"]], known["written"]
+            for status in self._fs.listStatus(self._path("")):
+                name = status.getPath().getName()
+                if name.startswith("run-") and name not in [r for _, r in self.runs]:
+                    self._fs.delete(status.getPath(), True)
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def _commit(self) -> None:
+        """Put a manifest that names the runs as they are now in the place of the one before."""
+        options = self.spark._jvm.org.apache.hadoop.fs
+        stream = self._fs.create(self._path("manifest.next"), True)
+        try:
+            stream.write(json.dumps({"window": self.window, "runs": self.runs, "written": self.written}).encode())
+        finally:
+            stream.close()
+        over = self.spark._sc._gateway.new_array(options.Options.Rename, 1)
+        over[0] = options.Options.Rename.OVERWRITE
+        options.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration()).rename(self._path("manifest.next"), self._path("manifest.json"), over)
 
     def _write(self, rows: DataFrame) -> str:
-        path = f"{self.folder}/run-{self.written}"
+        name = f"run-{self.written}"
         self.written += 1
         with dropping_shuffles(self.spark):
-            rows.repartition("g").sortWithinPartitions("g", "doc").write.parquet(path)
-        return path
+            rows.repartition("g").sortWithinPartitions("g").mapInArrow(_merged, RUN).write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return name
 
-    def _read(self, *paths: str) -> DataFrame:
-        return self.spark.read.schema("g long, doc long, n long").parquet(*paths)
+    def _read(self, *names: str) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(*[f"{self.folder}/{n}" for n in names])
 
     def drop(self) -> None:
-        """Delete all runs."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        """Delete the index."""
+        self._fs.delete(self._path(""), True)
         self.runs = []
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        if len(self.runs) > 1:
-            self.runs = [self._write(self._read(*self.runs).groupBy("g", "doc").agg(F.sum("n").alias("n")))]
-
-    def covered(self, batch: DataFrame, history: DataFrame | None) -> tuple[DataFrame, Callable]:
+        """Merge FAN_IN runs of one tier into one of the next, as long as there are that many."""
+        tiers = [t for t, _ in self.runs]
+        for tier in sorted(set(tiers)):
+            if tiers.count(tier) >= FAN_IN:
+                old = [r for t, r in self.runs if t == tier]
+                new = self._write(self._read(*old))
+                self.runs = [(t, r) for t, r in self.runs if t != tier] + [(tier + 1, new)]
+                self.compacted += 1
+                self._commit()
+                for name in old:
+                    self._fs.delete(self._path(name), True)
+                return self.compact()
+
+    def covered(self, batch: DataFrame) -> tuple[DataFrame, Callable]:
         """(doc, start) of the batch's windows that occur earlier; and the test for texts that may hold any.
 
-        `batch` and `history` have (doc, text), doc being an order key without nulls; every doc of history lies
-        before the batch, and went through here before. The batch's run joins the index.
+        `batch` has (doc, text), doc being an order key without nulls. The batch's run joins the index.
         """
         window = self.window
 
         def prints(batches):
-            for docs, _, words in _groups(batches):
+            for _, _, words in _groups(batches):
                 _, place, g = fingerprints(words, window)
+                h = words.windows(window)[0]
                 new = np.flatnonzero(np.diff(place, prepend=-1))  # places ascend: each once
-                doc = docs[_owners(words)[place[new]]]
-                order = np.lexsort((doc, g[new]))
-                g, doc = g[new][order].view(np.int64), doc[order]
-                first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])])) if len(g) else new
-                n = np.diff(np.append(first, len(g)))
-                yield pa.record_batch([pa.array(g[first]), pa.array(doc[first]), pa.array(n.astype(np.int64))], names=["g", "doc", "n"])
-
-        run = self._write(batch.mapInArrow(prints, "g long, doc long, n long"))
+                yield _run_rows(g.view(np.int64), h.view(np.int64), g[new].view(np.int64), np.ones(len(new), np.int64))
+
+        def common(batches):
+            """(g, h) that both sides of a joined row hold."""
+            for batch in batches:
+                sides = [_hashes(batch.column(k)) for k in (1, 2)]
+                # Row and the hash's high bits in one number; the whole hashes are compared afterwards.
+                keys = [h & ~np.int64(0xFFFFF) | row for row, h in sides]
+                order = [np.argsort(k, kind="stable") for k in keys]
+                old = keys[1][order[1]]
+                lo, hi = (np.searchsorted(old, keys[0], side) for side in ("left", "right"))
+                at = np.repeat(np.arange(len(lo)), hi - lo)
+                other = order[1][np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange(len(at))]
+                at = np.unique(at[sides[0][1][at] == sides[1][1][other]])
+                yield pa.record_batch([pa.array(batch.column(0).to_numpy()[sides[0][0][at]]), pa.array(sides[0][1][at])], names=["g", "h"])
+
+        run = self._write(batch.mapInArrow(prints, RUN))
         new = self._read(run)
         counts = new.groupBy("g").agg(F.sum("n").alias("n"))
         keys = counts.where("n > 1").select(F.lit(0).alias("which"), F.col("g").alias("key"))
-        old = bool(self.runs) and history is not None
+        old = bool(self.runs)
         if old:
-            met = self._read(*self.runs).hint("merge").join(counts.select("g"), "g")
-            keys = keys.union(met.select(F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("g").alias("key")), F.struct(F.lit(1).alias("which"), F.col("doc").alias("key")))).alias("x")).select("x.*"))
-        blooms = self.spark.sparkContext.broadcast(build_blooms(keys, bits_for(new.count() // 4), 2))
-        self.runs.append(run)
-
-        def hot_windows(words: wordhash.Words) -> np.ndarray:
+            history = self._read(*[r for _, r in self.runs]).select("g", F.col("hashes").alias("past"))
+            met = new.select("g", "hashes").hint("merge").join(history, "g").select("g", "hashes", "past").mapInArrow(common, "g long, h long")
+            met = settled(met.distinct())
+            keys = keys.union(met.select(F.lit(0), "g"))
+        blooms = self.spark.sparkContext.broadcast(build_blooms(keys, bits_for(new.count() // 4), 1))
+        self.runs.append((0, run))
+        self._commit()
+
+        def hot_windows(words: wordhash.Words) -> tuple[np.ndarray, np.ndarray]:
             begin, place, g = fingerprints(words, window)
-            return begin[maybe_in(g, blooms.value[0])] if len(g) else begin
-
-        def hashed(past: bool):
-            def run(batches):
-                for docs, texts, words in _groups(batches):
-                    if past:
-                        named = np.flatnonzero(maybe_in(docs, blooms.value[1]))
-                        docs, words = docs[named], wordhash.split_words([texts[i] for i in named])
-                    hot = hot_windows(words)
-                    if not len(hot):
-                        continue
-                    whole, at = words.windows(window)
-                    h = whole[np.searchsorted(at, hot)].view(np.int64)
-                    other = wordhash._window_sums(wordhash.mix(words.hashes + np.uint64(5)), hot, hot + window, 0xC2B2AE3D27D4EB4F)
-                    check = (wordhash.mix(other) >> np.uint64(33)).astype(np.int32)
-                    owner = _owners(words)[hot]
-                    doc, start = docs[owner], (hot - words.first[owner]).astype(np.int32)
-                    # Of equal windows in one group all but the first are covered: only that one need be compared.
-                    order = np.lexsort((start, doc, check, h))
-                    h, check, doc, start = h[order], check[order], doc[order], start[order]
-                    same = np.zeros(len(h), bool)
-                    same[1:] = (h[1:] == h[:-1]) & (check[1:] == check[:-1])
-                    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
-                    sure = (doc != doc[lead]) | (start != start[lead])
-                    if past:
-                        keep = ~same
-                        h, check, doc, start, sure = h[keep], check[keep], doc[keep], start[keep], sure[keep]
-                    else:
-                        h = np.where(sure, wordhash.mix(doc.view(np.uint64) + start.astype(np.uint64)).view(np.int64), h)  # spread
-                    state = np.where(sure, 2, 0 if past else 1).astype(np.int32)
-                    yield pa.record_batch([pa.array(x) for x in (h, check, doc, start, state)], names=["h", "check", "doc", "start", "state"])
-
-            return run
+            hot = maybe_in(g, blooms.value[0]) if len(g) else np.zeros(0, bool)
+            return begin[hot], g[hot]
+
+        def hashed(batches):
+            for docs, _, words in _groups(batches):
+                hot, g = hot_windows(words)
+                if not len(hot):
+                    continue
+                whole, at = words.windows(window)
+                h = whole[np.searchsorted(at, hot)].view(np.int64)
+                check = _check(g)
+                owner = _owners(words)[hot]
+                doc, start = docs[owner], (hot - words.first[owner]).astype(np.int32)
+                # Of equal windows in one group all but the first are covered: only that one need be compared.
+                order = np.lexsort((start, doc, check, h))
+                h, check, doc, start = h[order], check[order], doc[order], start[order]
+                same = np.zeros(len(h), bool)
+                same[1:] = (h[1:] == h[:-1]) & (check[1:] == check[:-1])
+                lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
+                sure = (doc != doc[lead]) | (start != start[lead])
+                h = np.where(sure, wordhash.mix(doc.view(np.uint64) + start.astype(np.uint64)).view(np.int64), h)  # spread
+                state = np.where(sure, 2, 1).astype(np.int32)
+                yield pa.record_batch([pa.array(x) for x in (h, check, doc, start, state)], names=["h", "check", "doc", "start", "state"])
+
+        def earlier(batches):
+            for batch in batches:
+                n = batch.num_rows
+                columns = [batch.column(1), pa.array(_check(batch.column(0).to_numpy().view(np.uint64))), pa.array(np.full(n, PAST)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32))]
+                yield pa.record_batch(columns, names=["h", "check", "doc", "start", "state"])
 
         schema = "h long, check int, doc long, start int, state int"
-        rows = batch.mapInArrow(hashed(False), schema)
+        rows = batch.mapInArrow(hashed, schema)
         if old:
-            rows = rows.union(history.mapInArrow(hashed(True), schema))
+            rows = rows.union(met.mapInArrow(earlier, schema))
 
         def later(batches):
             """Rows in the order of h, check, doc, start: all but the first of each h and check, history left out."""
@@ -191,7 +293,22 @@ class FingerprintIndex:
                 yield pa.record_batch([pa.array(doc[sure]), pa.array(start[sure])], names=["doc", "start"])
 
         found = rows.repartition("h").sortWithinPartitions("h", "check", "doc", "start").mapInArrow(later, "doc long, start int")
-        return found, lambda words: hot_windows(words)
+        return found, lambda words: hot_windows(words)[0]
+
+    def append(self, docs: DataFrame, batch_docs: int = 1_000_000, min_batches: int = 1, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
+        """What `deduplicate` gives for these documents, windows of the documents added before being earlier than all of theirs."""
+        rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
+        n, low, high = rows.agg(F.count("*"), F.min("doc"), F.max("doc")).first()
+        n_batches = max(min_batches, -(-n // batch_docs))
+        cuts = sorted(set(rows.approxQuantile("doc", [i / n_batches for i in range(1, n_batches)], 0.01))) if n and n_batches > 1 else []
+        bounds = [None, *[int(c) for c in cuts if low < c <= high], None]
+        parts = []
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            batch = rows if lo is None else rows.where(F.col("doc") >= lo)
+            found, hot = self.covered(batch if hi is None else batch.where(F.col("doc") < hi))
+            parts.append(_sorted_out(batch if hi is None else batch.where(F.col("doc") < hi), found, hot, keep_text))
+            self.compact()
+        return _finished(parts, self.window, keep_text)
 
 
 def kept_words(text: bytes, starts: list[int] | np.ndarray, window: int) -> tuple[int, int, bytes]:
@@ -207,7 +324,7 @@ def kept_words(text: bytes, starts: list[int] | np.ndarray, window: int) -> tupl
 
 
 def deduplicate(
-    docs: DataFrame, window: int = 20, batch_docs: int = 1_000_000, min_batches: int = 2, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False
+    docs: DataFrame, window: int = 20, batch_docs: int = 1_000_000, min_batches: int = FAN_IN + 1, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): each text less the words of windows that also start earlier.
 
@@ -218,52 +335,48 @@ def deduplicate(
     word of one is removed at that word of all. A null doc_id comes after all others. Other columns are not read; an
     empty table gives none.
 
-    Batches are ranges of doc_id with about `batch_docs` rows; the index takes them in order.
+    Batches are ranges of doc_id with about `batch_docs` rows; the index takes them in order, at least FAN_IN + 1 of them, so that
+    it compacts. For documents that come later keep a FingerprintIndex and `append` to it.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
-    n, low, high = rows.agg(F.count("*"), F.min("doc"), F.max("doc")).first()
-    n_batches = max(min_batches, -(-n // batch_docs))
-    cuts = sorted(set(rows.approxQuantile("doc", [i / n_batches for i in range(1, n_batches)], 0.01))) if n and n_batches > 1 else []
-    bounds = [None, *[int(c) for c in cuts if low < c <= high], None]
-    index = FingerprintIndex(spark, window)
-    schema = "doc long, n_words long, kept_sha256 string, packed binary" + (", kept_text string" if keep_text else "")
-    out = None
-    for lo, hi in zip(bounds, bounds[1:], strict=False):
-        batch = rows
-        if lo is not None:
-            batch = batch.where(F.col("doc") >= lo)
-        if hi is not None:
-            batch = batch.where(F.col("doc") < hi)
-        found, hot = index.covered(batch, None if lo is None else rows.where(F.col("doc") < lo))
-        if len(index.runs) >= FAN_IN:
-            index.compact()
-
-        def sort_out(batches, hot=hot):
-            """Texts without a window in question are done; the others go on, packed."""
-            pack = zstandard.ZstdCompressor(level=3)
-            for keys, texts, words in _groups(batches):
-                asked = np.unique(_owners(words)[hot(words)])
-                open_text = np.zeros(len(texts), bool)
-                open_text[asked] = True
-                whole = [None if o else b" ".join(t.split()) for t, o in zip(texts, open_text, strict=True)]
-                columns = [
-                    pa.array(keys),
-                    pa.array(np.diff(words.first).astype(np.int64)),
-                    pa.array([None if w is None else hashlib.sha256(w).hexdigest() for w in whole], pa.string()),
-                    pa.array([pack.compress(t) if o else None for t, o in zip(texts, open_text, strict=True)], pa.binary()),
-                ]
-                names = ["doc", "n_words", "kept_sha256", "packed"]
-                if keep_text:
-                    columns.append(pa.array([None if w is None else w.decode("utf-8", "surrogatepass") for w in whole], pa.string()))
-                    names.append("kept_text")
-                yield pa.record_batch(columns, names=names)
-
-        starts = settled(found.groupBy("doc").agg(F.collect_list("start").alias("starts")))
-        sorted_out = settled(batch.mapInArrow(sort_out, schema))
-        part = sorted_out.join(starts, "doc", "left")
-        out = part if out is None else out.unionByName(part)
+    prepare_checkpoints(spark)
+    index = FingerprintIndex(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/runs-{uuid.uuid4().hex}", window)
+    out = index.append(docs, batch_docs, min_batches, doc_id, text, keep_text)
     index.drop()
+    return out
+
+
+def _sorted_out(batch: DataFrame, found: DataFrame, hot: Callable, keep_text: bool) -> DataFrame:
+    """Settled: digests of the texts without a window in question, the others packed, with the covered windows' starts."""
+
+    def sort_out(batches):
+        pack = zstandard.ZstdCompressor(level=3)
+        for keys, texts, words in _groups(batches):
+            asked = np.unique(_owners(words)[hot(words)])
+            open_text = np.zeros(len(texts), bool)
+            open_text[asked] = True
+            whole = [None if o else b" ".join(t.split()) for t, o in zip(texts, open_text, strict=True)]
+            columns = [
+                pa.array(keys),
+                pa.array(np.diff(words.first).astype(np.int64)),
+                pa.array([None if w is None else hashlib.sha256(w).hexdigest() for w in whole], pa.string()),
+                pa.array([pack.compress(t) if o else None for t, o in zip(texts, open_text, strict=True)], pa.binary()),
+            ]
+            names = ["doc", "n_words", "kept_sha256", "packed"]
+            if keep_text:
+                columns.append(pa.array([None if w is None else w.decode("utf-8", "surrogatepass") for w in whole], pa.string()))
+                names.append("kept_text")
+            yield pa.record_batch(columns, names=names)
+
+    schema = "doc long, n_words long, kept_sha256 string, packed binary" + (", kept_text string" if keep_text else "")
+    starts = settled(found.groupBy("doc").agg(F.collect_list("start").alias("starts")))
+    return settled(batch.mapInArrow(sort_out, schema)).join(starts, "doc", "left")
+
+
+def _finished(parts: list[DataFrame], window: int, keep_text: bool) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
 
     def finish(batches):
         unpack = zstandard.ZstdDecompressor()

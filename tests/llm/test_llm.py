@@ -763,6 +763,39 @@ def test_fingerprint_index(spark, documents, odd, none, batches):
         assert substrings.deduplicate(none).count() == 0
 
 
+def test_index_stays_and_takes_more(spark, documents, tmp_path):
+    """Documents in two calls, the index opened again between them; runs are compacted by tiers, leftovers deleted."""
+    texts = sorted((r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect())
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [(i, f"{t} {passage}" if i % 3 == 0 else t) for i, t in texts] + [(9000, texts[0][1])]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    folder, half = f"file://{tmp_path}/index", len(texts) // 2
+    first = substrings.FingerprintIndex(spark, folder)
+    got = first.append(frame(texts[:half]), min_batches=4).collect()
+    assert first.compacted == 1 and [t for t, _ in first.runs] == [1, 0]
+    (tmp_path / "index" / "run-99").mkdir()
+    later = substrings.FingerprintIndex(spark, folder)
+    assert later.runs == first.runs and not (tmp_path / "index" / "run-99").exists()
+    got += later.append(frame(texts[half:]), min_batches=2).collect()
+    assert later.compacted == 1 and [t for t, _ in later.runs] == [1, 1]
+    plain = plain_dedup(texts, 20)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == plain and len(got) == len(texts)
+    with pytest.raises(ValueError):
+        substrings.FingerprintIndex(spark, folder, window=30)
+    later.drop()
+    assert not (tmp_path / "index").exists()
+
+
+def test_index_keeps_a_passage_that_stands_everywhere_in_few_rows(spark, tmp_path):
+    passage = " ".join(f"p{k}" for k in range(40))
+    docs = spark.createDataFrame([(i, passage) for i in range(3000)], "doc_id long, text string").repartition(6)
+    index = substrings.FingerprintIndex(spark, f"file://{tmp_path}/index")
+    got = index.append(docs, min_batches=2)
+    assert got.where("n_removed = 40").count() == 2999
+    rows = index._read(*[r for _, r in index.runs])
+    assert rows.count() < 40 and rows.agg(F.max(F.length("hashes"))).first()[0] <= 8 * 21
+
+
 # The pipeline, stage by stage
 
 
