@@ -6,14 +6,17 @@ begins one. The index holds, in immutable runs sorted by fingerprint, each finge
 it was taken from. Documents come in batches; for each batch
 
 1. its fingerprints are written as a new sorted run;
-2. the run is merge-joined with the runs of history: where fingerprint and whole-window hash are the same, the window stood in
-   history, which verifies it without the earlier texts; no text is read twice;
+2. the run is merge-joined with the runs of history: first the fingerprints alone, then, of those that meet, the hashes of their
+   windows. Where both are the same, the window stood in history: this verifies it without the earlier texts, which
+   are never read again;
 3. fingerprints that repeat in the batch, or whose window stood in history, go into a Bloom filter of bounded size; the batch's
-   windows on those are hashed whole, with 96 bits, and sorted, and every one that isn't the first of its kind is covered;
-4. once FAN_IN runs of one tier are there, they are merged into one of the next, so a window's hash is rewritten once a tier.
+   windows on those are sorted by fingerprint (64 bits) and whole-window hash (48), and every one that isn't the first of
+   its kind is covered;
+4. once a shard has FAN_IN runs of one tier, they are merged into one of the next, so a hash is rewritten once a tier. Shards
+   are merged one after the other, so that only one is there twice.
 
 A Bloom filter too full only lets more windows through to step 3; results are exact at any size. Equal windows of a group
-of texts, and of neighbouring rows of a run, are written once, so a passage that stands everywhere is a few rows of a run.
+of texts, and of a run up to ROW_HASHES of them, are written once, so a passage that stands everywhere is a few rows of a run.
 
 The index stays in its folder. Its manifest names the runs and is replaced by a rename; a run that it doesn't name, left by a
 driver that was lost, is deleted at the next opening, and the batch comes again.
@@ -38,7 +41,11 @@ from barloom.llm.common import dropping_shuffles, prepare_checkpoints, settled
 
 GRAM = 10
 FAN_IN = 3
+SHARDS = 4
+#: A run's rows: a fingerprint, its places in the run's documents, and the low 48 bits of the hashes of its windows.
 RUN = "g long, n long, hashes binary"
+LOW = (1 << 48) - 1
+ROW_HASHES = 1 << 16
 #: Stands for a null doc_id: after all others; and for the documents of history, before them.
 LAST = (1 << 63) - 1
 PAST = -(1 << 63)
@@ -66,18 +73,15 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
             yield np.array([d for d, _ in group], np.int64), texts, wordhash.split_words(texts)
 
 
-def _check(g: np.ndarray) -> np.ndarray:
-    return (wordhash.mix(g + np.uint64(5)) >> np.uint64(33)).astype(np.int32)
-
-
 def _owners(words: wordhash.Words) -> np.ndarray:
     return np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
 
 
 def _listed(owner: np.ndarray, hashes: np.ndarray, n: int) -> pa.Array:
-    """A binary array of n rows from their hashes one after the other."""
-    offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32) * 8
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(hashes).view(np.uint8))])
+    """A binary array of n rows from their hashes one after the other, six bytes each."""
+    offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32) * 6
+    data = np.ascontiguousarray(np.ascontiguousarray(hashes).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6])
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +89,9 @@ def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
-    return np.repeat(np.arange(len(column)), np.diff(offsets) // 8), data.view(np.int64)
+    whole = np.zeros((len(data) // 6, 8), np.uint8)
+    whole[:, :6] = data.reshape(-1, 6)
+    return np.repeat(np.arange(len(column)), np.diff(offsets) // 6), whole.view("<i8").ravel()
 
 
 def _run_rows(g: np.ndarray, h: np.ndarray, counted: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -101,21 +107,40 @@ def _run_rows(g: np.ndarray, h: np.ndarray, counted: np.ndarray, n: np.ndarray)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of g with neighbours of one g made one, as far as they come together."""
+    """Rows (g, n, hashes) in the order of shard and g with those of one g made one, or a few with many hashes each."""
+    held = None
     for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
         g = batch.column(0).to_numpy()
-        same = np.zeros(len(g) + 1, bool)
-        same[1:-1] = g[1:] == g[:-1]
-        many = same[1:] | same[:-1]
-        if many.any():
-            some = batch.filter(pa.array(many))
-            row, h = _hashes(some.column(2))
-            own = some.column(0).to_numpy()
-            made = _run_rows(own[row], h, own, some.column(1).to_numpy())
-            whole = pa.Table.from_batches([batch.filter(pa.array(~many)), made.cast(batch.schema)])
-            yield from whole.sort_by("g").combine_chunks().to_batches()
-        else:
-            yield batch
+        last = len(g) - 1
+        while last and g[last - 1] == g[-1]:
+            last -= 1
+        if len(_hashes(batch.column(2).slice(last))[1]) > ROW_HASHES:
+            last = len(g)  # not held any longer, however many follow
+        held = batch.slice(last) if last < len(g) else None
+        yield _joined(batch.slice(0, last))
+    if held is not None:
+        yield _joined(held)
+
+
+def _joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+    g = batch.column(0).to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    if len(first) == len(g):
+        return batch
+    row, h = _hashes(batch.column(2))
+    owner = (np.cumsum(np.concatenate([[True], g[1:] != g[:-1]])) - 1)[row]
+    # Only rows that are joined may hold a hash twice.
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
+    n = np.add.reduceat(batch.column(1).to_numpy(), first)
+    columns = [pa.array(g[first]), pa.array(n), _listed(owner[new], h[new], len(first))]
+    return pa.record_batch([c.cast(f.type) for c, f in zip(columns, batch.schema, strict=True)], schema=batch.schema)
 
 
 class FingerprintIndex:
@@ -128,7 +153,7 @@ class FingerprintIndex:
         if window <= GRAM:
             raise ValueError(f"a window has more than {GRAM} words")
         self.spark, self.window, self.folder = spark, window, folder
-        self.runs: list[tuple[int, str]] = []  # (tier, name)
+        self.runs: list[tuple[int, int, str]] = []  # (shard, tier, name)
         self.written = 0
         self.compacted = 0
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
@@ -140,10 +165,10 @@ class FingerprintIndex:
                 stream.close()
             if known["window"] != window:
                 raise ValueError(f"this index has windows of {known['window']} words")
-            self.runs, self.written = [(t, r) for t, r in known["runs"]], known["written"]
+            self.runs, self.written = [tuple(r) for r in known["runs"]], known["written"]
             for status in self._fs.listStatus(self._path("")):
                 name = status.getPath().getName()
-                if name.startswith("run-") and name not in [r for _, r in self.runs]:
+                if name.startswith("run-") and name not in {r for *_, r in self.runs}:
                     self._fs.delete(status.getPath(), True)
 
     def _path(self, name: str):
@@ -164,12 +189,15 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         name = f"run-{self.written}"
         self.written += 1
+        shard = F.pmod("g", F.lit(SHARDS)).cast("int")
         with dropping_shuffles(self.spark):
-            rows.repartition("g").sortWithinPartitions("g").mapInArrow(_merged, RUN).write.mode("overwrite").parquet(f"{self.folder}/{name}")
+            merged = rows.repartition("g").sortWithinPartitions(shard, "g").mapInArrow(_merged, RUN)
+            merged.withColumn("shard", shard).write.mode("overwrite").partitionBy("shard").parquet(f"{self.folder}/{name}")
         return name
 
-    def _read(self, *names: str) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*[f"{self.folder}/{n}" for n in names])
+    def _read(self, runs: list[tuple[int, int, str]]) -> DataFrame:
+        paths = [f"{self.folder}/{name}/shard={shard}" for shard, _, name in runs]
+        return self.spark.read.schema(RUN).parquet(*[p for p in paths if self._fs.exists(self._path(p[len(self.folder) + 1 :]))])
 
     def drop(self) -> None:
         """Delete the index."""
@@ -177,18 +205,19 @@ class FingerprintIndex:
         self.runs = []
 
     def compact(self) -> None:
-        """Merge FAN_IN runs of one tier into one of the next, as long as there are that many."""
-        tiers = [t for t, _ in self.runs]
-        for tier in sorted(set(tiers)):
-            if tiers.count(tier) >= FAN_IN:
-                old = [r for t, r in self.runs if t == tier]
-                new = self._write(self._read(*old))
-                self.runs = [(t, r) for t, r in self.runs if t != tier] + [(tier + 1, new)]
-                self.compacted += 1
-                self._commit()
-                for name in old:
-                    self._fs.delete(self._path(name), True)
-                return self.compact()
+        """In each shard, merge FAN_IN or more runs of one tier into one of the next, as long as there are that many."""
+        for shard in range(SHARDS):
+            tier = 0
+            while any(s == shard and t >= tier for s, t, _ in self.runs):
+                old = [r for r in self.runs if r[:2] == (shard, tier)]
+                if len(old) >= FAN_IN:
+                    new = self._write(self._read(old))
+                    self.runs = [r for r in self.runs if r not in old] + [(shard, tier + 1, new)]
+                    self.compacted += 1
+                    self._commit()
+                    for *_, name in old:
+                        self._fs.delete(self._path(f"{name}/shard={shard}"), True)
+                tier += 1
 
     def covered(self, batch: DataFrame) -> tuple[DataFrame, Callable]:
         """(doc, start) of the batch's windows that occur earlier; and the test for texts that may hold any.
@@ -200,36 +229,44 @@ class FingerprintIndex:
         def prints(batches):
             for _, _, words in _groups(batches):
                 _, place, g = fingerprints(words, window)
-                h = words.windows(window)[0]
+                h = words.windows(window)[0].view(np.int64) & LOW
                 new = np.flatnonzero(np.diff(place, prepend=-1))  # places ascend: each once
-                yield _run_rows(g.view(np.int64), h.view(np.int64), g[new].view(np.int64), np.ones(len(new), np.int64))
+                yield _run_rows(g.view(np.int64), h, g[new].view(np.int64), np.ones(len(new), np.int64))
 
         def common(batches):
             """(g, h) that both sides of a joined row hold."""
             for batch in batches:
                 sides = [_hashes(batch.column(k)) for k in (1, 2)]
-                # Row and the hash's high bits in one number; the whole hashes are compared afterwards.
-                keys = [h & ~np.int64(0xFFFFF) | row for row, h in sides]
-                order = [np.argsort(k, kind="stable") for k in keys]
-                old = keys[1][order[1]]
+                # Row and 48 bits of hash don't fit in one number: the row takes the place of the lowest bits, compared afterwards.
+                keys = [h << 16 & ~np.int64(0xFFFFF) | row & 0xFFFFF for row, h in sides]
+                order = np.argsort(keys[1], kind="stable")
+                old = keys[1][order]
                 lo, hi = (np.searchsorted(old, keys[0], side) for side in ("left", "right"))
                 at = np.repeat(np.arange(len(lo)), hi - lo)
-                other = order[1][np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange(len(at))]
-                at = np.unique(at[sides[0][1][at] == sides[1][1][other]])
+                other = order[np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange(len(at))]
+                same = (sides[0][1][at] == sides[1][1][other]) & (sides[0][0][at] == sides[1][0][other])
+                at = np.unique(at[same])
                 yield pa.record_batch([pa.array(batch.column(0).to_numpy()[sides[0][0][at]]), pa.array(sides[0][1][at])], names=["g", "h"])
 
-        run = self._write(batch.mapInArrow(prints, RUN))
-        new = self._read(run)
-        counts = new.groupBy("g").agg(F.sum("n").alias("n"))
-        keys = counts.where("n > 1").select(F.lit(0).alias("which"), F.col("g").alias("key"))
-        old = bool(self.runs)
+        name = self._write(batch.mapInArrow(prints, RUN))
+        runs = [(shard, 0, name) for shard in range(SHARDS) if self._fs.exists(self._path(f"{name}/shard={shard}"))]
+        new = self._read(runs) if runs else self.spark.createDataFrame([], RUN)
+        keys = new.where("n > 1").select(F.lit(0).alias("which"), F.col("g").alias("key"))
+        old = bool(self.runs and runs)
         if old:
-            history = self._read(*[r for _, r in self.runs]).select("g", F.col("hashes").alias("past"))
-            met = new.select("g", "hashes").hint("merge").join(history, "g").select("g", "hashes", "past").mapInArrow(common, "g long, h long")
-            met = settled(met.distinct())
+            history = self._read(self.runs)
+            meet = settled(new.select("g").hint("merge").join(history.select("g"), "g").distinct())
+            meeting = self.spark.sparkContext.broadcast(build_blooms(meet.select(F.lit(0).alias("which"), F.col("g").alias("key")), bits_for(meet.count()))[0])
+
+            def those(batches):
+                for batch in batches:
+                    yield batch.filter(pa.array(maybe_in(batch.column(0).to_numpy(), meeting.value)))
+
+            some = [df.select("g", F.col("hashes").alias(c)).mapInArrow(those, f"g long, {c} binary") for df, c in ((new, "own"), (history, "past"))]
+            met = settled(some[0].hint("merge").join(some[1], "g").select("g", "own", "past").mapInArrow(common, "g long, h long").distinct())
             keys = keys.union(met.select(F.lit(0), "g"))
         blooms = self.spark.sparkContext.broadcast(build_blooms(keys, bits_for(new.count() // 4), 1))
-        self.runs.append((0, run))
+        self.runs += runs
         self._commit()
 
         def hot_windows(words: wordhash.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -243,8 +280,7 @@ class FingerprintIndex:
                 if not len(hot):
                     continue
                 whole, at = words.windows(window)
-                h = whole[np.searchsorted(at, hot)].view(np.int64)
-                check = _check(g)
+                h, check = whole[np.searchsorted(at, hot)].view(np.int64) & LOW, g.view(np.int64)
                 owner = _owners(words)[hot]
                 doc, start = docs[owner], (hot - words.first[owner]).astype(np.int32)
                 # Of equal windows in one group all but the first are covered: only that one need be compared.
@@ -261,10 +297,10 @@ class FingerprintIndex:
         def earlier(batches):
             for batch in batches:
                 n = batch.num_rows
-                columns = [batch.column(1), pa.array(_check(batch.column(0).to_numpy().view(np.uint64))), pa.array(np.full(n, PAST)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32))]
+                columns = [batch.column(1), batch.column(0), pa.array(np.full(n, PAST)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32))]
                 yield pa.record_batch(columns, names=["h", "check", "doc", "start", "state"])
 
-        schema = "h long, check int, doc long, start int, state int"
+        schema = "h long, check long, doc long, start int, state int"
         rows = batch.mapInArrow(hashed, schema)
         if old:
             rows = rows.union(met.mapInArrow(earlier, schema))
