@@ -1,14 +1,13 @@
 """Exact substring deduplication with a log-structured fingerprint index.
 
 A window is `window` consecutive words. Of the hashes of the GRAM-word sequences in it the leftmost least one is its
-fingerprint (winnowing: Schleimer et al., 2003), so equal windows have equal fingerprints, and about one word in six
+fingerprint (winnowing: Schleimer et al., 2003), so equal windows have equal fingerprints, and about one word in eight
 begins one. The index holds, in immutable runs sorted by fingerprint, each fingerprint with the hashes of the whole windows
 it was taken from. Documents come in batches; for each batch
 
 1. its fingerprints are written as a new sorted run;
-2. the run is merge-joined with the runs of history: first the fingerprints alone, then, of those that meet, the hashes of their
-   windows. Where both are the same, the window stood in history: this verifies it without the earlier texts, which
-   are never read again;
+2. shard by shard the run is merge-joined with the runs of history: where fingerprint and whole-window hash are the same, the
+   window stood in history, which verifies it without the earlier texts; they are never read again;
 3. fingerprints that repeat in the batch, or whose window stood in history, go into a Bloom filter of bounded size; the batch's
    windows on those are sorted by fingerprint (64 bits) and whole-window hash (48), and every one that isn't the first of
    its kind is covered;
@@ -39,8 +38,8 @@ from barloom.llm import wordhash
 from barloom.llm.bloom import bits_for, build_blooms, maybe_in
 from barloom.llm.common import dropping_shuffles, prepare_checkpoints, settled
 
-GRAM = 10
-FAN_IN = 3
+GRAM = 6
+FAN_IN = 2
 SHARDS = 4
 #: A run's rows: a fingerprint, its places in the run's documents, and the low 48 bits of the hashes of its windows.
 RUN = "g long, n long, hashes binary"
@@ -94,16 +93,16 @@ def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(column)), np.diff(offsets) // 6), whole.view("<i8").ravel()
 
 
-def _run_rows(g: np.ndarray, h: np.ndarray, counted: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Rows of a run, in its order, from windows (g, h) in any order and counts n of fingerprints `counted`."""
-    order = np.lexsort((h, g))
-    g, h = g[order], h[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1])
-    g, h = g[new], h[new]
-    key, owner = np.unique(g, return_inverse=True)
-    total = np.bincount(np.searchsorted(key, counted), n, len(key)).astype(np.int64)
-    return pa.record_batch([pa.array(key), pa.array(total), _listed(owner, h, len(key))], names=["g", "n", "hashes"])
+def _run_rows(place: np.ndarray, g: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    """Rows of a run, in the order of g, from the windows (place, g, h) of a group of texts, whose places ascend."""
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    size = np.diff(np.append(first, len(place)))
+    order = np.argsort(g[first], kind="stable")
+    key, size = g[first][order], size[order]
+    windows = np.repeat(first[order] - np.cumsum(size) + size, size) + np.arange(len(place))
+    owner = np.repeat(np.arange(len(key)), size)
+    rows = pa.record_batch([pa.array(key), pa.array(np.ones(len(key), np.int64)), _listed(owner, h[windows], len(key))], names=["g", "n", "hashes"])
+    return _joined(rows)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,19 +126,21 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Neighbouring rows of one g made one, without the hashes that stand twice."""
     g = batch.column(0).to_numpy()
-    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    new = np.concatenate([[True], g[1:] != g[:-1]])[: len(g)]
+    first = np.flatnonzero(new)
     if len(first) == len(g):
         return batch
     row, h = _hashes(batch.column(2))
-    owner = (np.cumsum(np.concatenate([[True], g[1:] != g[:-1]])) - 1)[row]
-    # Only rows that are joined may hold a hash twice.
-    order = np.lexsort((h, owner))
-    owner, h = owner[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
-    n = np.add.reduceat(batch.column(1).to_numpy(), first)
-    columns = [pa.array(g[first]), pa.array(n), _listed(owner[new], h[new], len(first))]
+    owner = (np.cumsum(new) - 1)[row]
+    # Only rows that are joined may hold a hash twice; they are put in order.
+    some = np.flatnonzero(np.diff(np.append(first, len(g)))[owner] > 1)
+    order = some[np.lexsort((h[some], owner[some]))]
+    h[some] = h[order]
+    keep = np.ones(len(h), bool)
+    keep[some[1:]] = (owner[some[1:]] != owner[some[:-1]]) | (h[some[1:]] != h[some[:-1]])
+    columns = [pa.array(g[first]), pa.array(np.add.reduceat(batch.column(1).to_numpy(), first)), _listed(owner[keep], h[keep], len(first))]
     return pa.record_batch([c.cast(f.type) for c, f in zip(columns, batch.schema, strict=True)], schema=batch.schema)
 
 
@@ -229,9 +230,7 @@ class FingerprintIndex:
         def prints(batches):
             for _, _, words in _groups(batches):
                 _, place, g = fingerprints(words, window)
-                h = words.windows(window)[0].view(np.int64) & LOW
-                new = np.flatnonzero(np.diff(place, prepend=-1))  # places ascend: each once
-                yield _run_rows(g.view(np.int64), h, g[new].view(np.int64), np.ones(len(new), np.int64))
+                yield _run_rows(place, g.view(np.int64), words.windows(window)[0].view(np.int64) & LOW)
 
         def common(batches):
             """(g, h) that both sides of a joined row hold."""
@@ -252,18 +251,15 @@ class FingerprintIndex:
         runs = [(shard, 0, name) for shard in range(SHARDS) if self._fs.exists(self._path(f"{name}/shard={shard}"))]
         new = self._read(runs) if runs else self.spark.createDataFrame([], RUN)
         keys = new.where("n > 1").select(F.lit(0).alias("which"), F.col("g").alias("key"))
-        old = bool(self.runs and runs)
-        if old:
-            history = self._read(self.runs)
-            meet = settled(new.select("g").hint("merge").join(history.select("g"), "g").distinct())
-            meeting = self.spark.sparkContext.broadcast(build_blooms(meet.select(F.lit(0).alias("which"), F.col("g").alias("key")), bits_for(meet.count()))[0])
-
-            def those(batches):
-                for batch in batches:
-                    yield batch.filter(pa.array(maybe_in(batch.column(0).to_numpy(), meeting.value)))
-
-            some = [df.select("g", F.col("hashes").alias(c)).mapInArrow(those, f"g long, {c} binary") for df, c in ((new, "own"), (history, "past"))]
-            met = settled(some[0].hint("merge").join(some[1], "g").select("g", "own", "past").mapInArrow(common, "g long, h long").distinct())
+        met = None
+        if self.runs:
+            for shard in range(SHARDS):  # one after the other, so that the shuffle of one is there at a time
+                sides = [[r for r in side if r[0] == shard] for side in (runs, self.runs)]
+                if all(sides):
+                    own, past = (self._read(side).select("g", F.col("hashes").alias(c)) for side, c in zip(sides, ("own", "past"), strict=True))
+                    found = settled(own.hint("merge").join(past, "g").select("g", "own", "past").mapInArrow(common, "g long, h long").distinct())
+                    met = found if met is None else met.union(found)
+        if met is not None:
             keys = keys.union(met.select(F.lit(0), "g"))
         blooms = self.spark.sparkContext.broadcast(build_blooms(keys, bits_for(new.count() // 4), 1))
         self.runs += runs
@@ -302,7 +298,7 @@ class FingerprintIndex:
 
         schema = "h long, check long, doc long, start int, state int"
         rows = batch.mapInArrow(hashed, schema)
-        if old:
+        if met is not None:
             rows = rows.union(met.mapInArrow(earlier, schema))
 
         def later(batches):

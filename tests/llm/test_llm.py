@@ -771,13 +771,13 @@ def test_index_stays_and_takes_more(spark, documents, tmp_path):
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
     folder, half = f"file://{tmp_path}/index", len(texts) // 2
     first = substrings.FingerprintIndex(spark, folder)
-    got = first.append(frame(texts[:half]), min_batches=4).collect()
+    got = first.append(frame(texts[:half]), min_batches=3).collect()
     assert first.compacted == substrings.SHARDS and sorted(t for _, t, _ in first.runs) == [0] * substrings.SHARDS + [1] * substrings.SHARDS
     (tmp_path / "index" / "run-99").mkdir()
     later = substrings.FingerprintIndex(spark, folder)
     assert later.runs == first.runs and not (tmp_path / "index" / "run-99").exists()
-    got += later.append(frame(texts[half:]), min_batches=2).collect()
-    assert later.compacted == substrings.SHARDS and [t for _, t, _ in later.runs] == [1] * 2 * substrings.SHARDS
+    got += later.append(frame(texts[half:])).collect()
+    assert later.compacted == 2 * substrings.SHARDS and [t for _, t, _ in later.runs] == [2] * substrings.SHARDS
     plain = plain_dedup(texts, 20)
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == plain and len(got) == len(texts)
     with pytest.raises(ValueError):
