@@ -55,6 +55,14 @@ class TimeBar:
             return (datetime(t.year, t.month, 1, tzinfo=UTC) - _EPOCH) // timedelta(milliseconds=1)
         return ms - (ms - self.origin_ms) % self.step_ms
 
+    def later(self, ms: int, bars: int) -> int:
+        """The boundary `bars` bars after ms's own bar began, without a step for each."""
+        if self.unit == "M":
+            t = _EPOCH + timedelta(milliseconds=self.floor(ms))
+            month = t.year * 12 + t.month - 1 + bars
+            return (datetime(month // 12, month % 12 + 1, 1, tzinfo=UTC) - _EPOCH) // timedelta(milliseconds=1)
+        return self.floor(ms) + bars * self.step_ms
+
     def next(self, ms: int) -> int:
         """The first boundary after ms."""
         if self.unit == "M":

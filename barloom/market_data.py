@@ -255,23 +255,20 @@ class BarDataset:
                 c.put_run(run, i, s, e, "running")
                 stored, lineage = c.segments(i), c.provider_of(i)
             manifest: list = []
-            observed: list[DataFrame] = []
             try:
                 if lineage not in (None, data.provider.name):
                     raise SyncError(f"{d} comes from {lineage}, not from {data.provider.name}")
                 facts = self._offered(d)
                 missing = [g for g in self._cut(stored, s, e)[1] if g[2] == "missing"]
                 windows = coverage.fetch_windows(self._segments(missing), d.timeframe, ONE).orderBy("start").collect()
-                fetched, segments, warnings, kept = self._observe(d, windows, missing, observed)
+                fetched, segments, warnings, kept = self._observe(d, windows, missing, facts.pop("native_id", None))
                 if kept is not None:
+                    store.clean(data.config.data_dir, d)
                     manifest = store.prepare(kept, data.config.data_dir, data.provider.name, facts)
             except BaseException as failure:
                 store.discard(manifest)
                 self._fail(d, run, s, e, failure)
                 raise
-            finally:
-                for bars in observed:
-                    bars.unpersist()
             published = False
             try:
                 with data.gate(), data.catalog(create=True) as c:
@@ -300,13 +297,12 @@ class BarDataset:
         covered, gaps = self._cut(whole, s, e)
         return SyncResult(d, run, bool(manifest or segments), fetched, len(manifest), tuple(covered), tuple(gaps), tuple(w for w, _ in warnings))
 
-    def _observe(self, d: Dataset, windows: list, missing: list[Interval], observed: list[DataFrame]):
+    def _observe(self, d: Dataset, windows: list, missing: list[Interval], native_id: str | None):
         """(rows fetched, segments proved, warnings with counts, bars of the gaps) of all windows, one after the other."""
         spark, p, fetched, segments, warnings, kept = self.data.spark, self.data.provider, 0, [], [], None
         for w in windows:
             request = BarRequest(d, *(datetime(1970, 1, 1, tzinfo=UTC) + timedelta(milliseconds=t) for t in (w["start"], w["end"])))
-            bars, final, told = providers.observe(spark, request, p.client, p.page, self.data.now)
-            observed.append(bars)
+            bars, final, told = providers.observe(spark, request, p.client, p.page, self.data.now, native_id=native_id)
             fetched += bars.count()
             warnings += [(DataWarning(r["code"], f"{r['row_count']} rows", w["start"], w["end"]), r["row_count"]) for r in told.orderBy("code").collect()]
             gaps = [g for g in missing if w["start"] <= g[0] < w["end"]]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,28 +94,27 @@ def missing_only(gaps: DataFrame) -> DataFrame:
 def fetch_windows(gaps: DataFrame, timeframe: str, keys: list[str], budget: int = 1000) -> DataFrame:
     """(keys, start, end, members): gaps joined greedily into windows of at most `budget` bars from a window's start.
 
-    Bridged bars count; a single gap over the budget stays whole. The fold runs over one dataset's sorted gaps.
+    Bridged bars count; a single gap over the budget stays whole. One task folds a dataset's sorted gaps, in one pass.
     """
     if budget <= 0:
         raise ValueError("the budget is positive")
     bar = TimeBar.parse(timeframe)
-    sorted_gaps = F.sort_array(F.collect_list(F.struct("start", "end")))
-    kind = "array<struct<start:bigint,end:bigint,members:int>>"
-    if bar.unit == "M":
-        from barloom.functions.timebar import month_index
-
-        last = lambda s: month_index(s) + budget
-        fits = lambda s, e: (month_index(e) < last(s)) | ((month_index(e) == last(s)) & (bar.floor_col(e) == e))
-    else:
-        fits = lambda s, e: e - s <= F.lit(budget * bar.step_ms)
-
-    def step(found, gap):
-        last = F.element_at(found, -1)
-        head = F.slice(found, 1, F.size(found) - 1)
-        grown = F.struct(last["start"].alias("start"), gap["end"].alias("end"), (last["members"] + 1).alias("members"))
-        fresh = F.struct(gap["start"].alias("start"), gap["end"].alias("end"), F.lit(1).alias("members"))
-        return F.when(F.size(found) == 0, F.array(fresh)).when(fits(last["start"], gap["end"]), F.concat(head, F.array(grown))).otherwise(F.concat(found, F.array(fresh)))
-
-    folded = gaps.groupBy(*keys).agg(sorted_gaps.alias("gaps"))
-    windows = F.aggregate("gaps", F.array().cast(kind), lambda a, g: F.when(F.size(a) == 0, F.array(F.struct(g["start"].alias("start"), g["end"].alias("end"), F.lit(1).alias("members")))).otherwise(step(a, g)))
-    return folded.select(*keys, F.explode(windows).alias("w")).select(*keys, "w.*")
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("start", "ascending"), ("end", "ascending")])
+        found: list[list[int]] = []
+        reach = 0
+        for at, (start, end) in enumerate(zip(table["start"].to_pylist(), table["end"].to_pylist(), strict=True)):
+            if found and end <= reach:
+                found[-1][2:] = [end, found[-1][3] + 1]
+            else:
+                found.append([at, start, end, 1])
+                reach = bar.later(start, budget) if bar.floor(start) == start else start + bar.later(0, budget)
+        rows = table.select(keys).take([f[0] for f in found])
+        for k, name in enumerate(("start", "end", "members"), 1):
+            rows = rows.append_column(name, pa.array([f[k] for f in found], pa.int32() if name == "members" else pa.int64()))
+        return rows
+
+    kinds = dict(gaps.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "start long", "end long", "members int"])
+    return gaps.select(*keys, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).groupBy(*keys).applyInArrow(fold, schema)

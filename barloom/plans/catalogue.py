@@ -5,7 +5,6 @@ Moments leave the queries as whole milliseconds, so no session's time zone shows
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -20,6 +19,7 @@ from barloom.model import BarRequest, Dataset
 from barloom.operators import coverage, quality, reading
 from barloom.plans import fixtures
 from barloom.plans.fixtures import bars_sql
+from barloom.session import shared_folder
 from barloom.sources import markets, provider
 from barloom.sources.catalog import events_of_runs, files_of_datasets
 from barloom.streaming import live
@@ -488,7 +488,7 @@ def src_provider_bars(spark, sf_dir):
 
 def _store(spark) -> MarketData:
     """A fresh store in the shared checkpoint folder."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='barloom-')}/store-{uuid.uuid4().hex}".removeprefix("file:")
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}".removeprefix("file:")
     venue = provider.Provider("flat", "1", "barloom.sources.provider:flat_client", page=48)
     return MarketData(spark, MarketDataConfig(f"{folder}/state", f"{folder}/data"), provider=venue)
 

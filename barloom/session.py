@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
+
+from barloom import model
 
 #: What a session must say for the calendar arithmetic and the stored files to be right.
 REQUIRED = {
@@ -24,10 +31,43 @@ def local_session(name: str = "barloom", cpus: int | str | None = None, shuffle_
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share; one of this machine's own only where the whole cluster is it."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise SessionError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="barloom-checkpoints-")
+        context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows as they are now, written to the shared folder: a lost executor can't have them computed anew and otherwise."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+@contextmanager
+def domain_errors() -> Iterator[None]:
+    """An error of the library that a task raised comes out of a Spark job as itself; any other as it is."""
+    try:
+        yield
+    except PySparkException as e:
+        kinds = {k: c for k, c in vars(model).items() if isinstance(c, type) and issubclass(c, model.BarloomError)}
+        if found := re.findall(r"barloom\.model\.(\w+): (.*)", str(e)):
+            kind, message = found[-1]
+            raise kinds.get(kind, model.BarloomError)(message) from e
+        raise
+
+
 class SessionError(RuntimeError):
     """The session would give wrong answers."""
 

@@ -37,16 +37,20 @@ LOCK_TIMEOUT_S, POLL_S = 30.0, 0.05
 
 
 class Catalog:
-    def __init__(self, path: str | Path, create: bool = True):
+    def __init__(self, path: str | Path, create: bool = True, read_only: bool = False):
         self.path = Path(path)
+        create = create and not read_only
         fresh = not self.path.exists()
         if fresh and not create:
             raise CatalogError(f"{path} is absent")
-        if fresh and (left := [t for t in ("-wal", "-shm", "-journal") if Path(f"{path}{t}").exists()]):
+        if fresh and not read_only and (left := [t for t in ("-wal", "-shm", "-journal") if Path(f"{path}{t}").exists()]):
             raise CatalogError(f"{path} is absent but left {left}")
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        self.db = sqlite3.connect(self.path, isolation_level=None)
+        if not read_only:
+            self.path.parent.mkdir(parents=True, exist_ok=True)
+        self.db = sqlite3.connect(f"{self.path.absolute().as_uri()}?mode={'ro' if read_only else 'rwc'}", isolation_level=None, uri=True)
         self.db.execute("pragma foreign_keys = on")
+        if read_only:
+            self.db.execute("pragma query_only = on")
         self.db.execute("pragma busy_timeout = 5000")
         try:
             if fresh:
@@ -135,6 +139,32 @@ class Catalog:
     def put_event(self, run_id: str, code: str, message: str, row_count: int) -> None:
         self.db.execute("insert into quality_events values (?, ?, ?, ?)", (run_id, code, message, row_count))
 
+    def remove_file(self, path: str) -> bool:
+        """Whether the file was listed; its dataset and coverage stay."""
+        return self.db.execute("delete from files where path = ?", (path,)).rowcount > 0
+
+    def datasets(self) -> list[tuple]:
+        """(id, exchange, symbol, market, settle, timeframe, provider), in the order of the identity."""
+        rows = self.db.execute("select id, exchange, symbol, market, nullif(settle, ''), timeframe, provider from datasets order by exchange, symbol, market, settle, timeframe")
+        return rows.fetchall()
+
+    def files(self, dataset_id: int | None = None) -> Iterator[tuple]:
+        """(path, dataset id, run, sha256, rows, first, last) one after the other, in the order of the path."""
+        yield from self.db.execute("select path, dataset_id, run_id, sha256, row_count, first, last from files where ? is null or dataset_id = ? order by path", (dataset_id, dataset_id))
+
+    def runs(self, dataset_id: int) -> list[tuple]:
+        """(id, start, end, status) in the order of the range, then of the id."""
+        return self.db.execute("select id, start, end, status from ingestion_runs where dataset_id = ? order by start, end, id", (dataset_id,)).fetchall()
+
+    def events(self, run_id: str) -> list[tuple]:
+        """(code, message, rows) of a run, by code."""
+        return self.db.execute("select code, message, row_count from quality_events where run_id = ? order by code, message", (run_id,)).fetchall()
+
+    def checkpoint(self) -> None:
+        """Bring the write-ahead log into the database; CatalogError if a reader keeps it from that."""
+        if self.db.execute("pragma wal_checkpoint(truncate)").fetchone()[0]:
+            raise CatalogError(f"{self.path} is being read")
+
     def remove_dataset(self, dataset_id: int) -> None:
         """Its coverage, files and runs go with it."""
         self.db.execute("delete from files where dataset_id = ?", (dataset_id,))

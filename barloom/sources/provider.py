@@ -8,10 +8,12 @@ evidence is taken on the driver before the job and handed in, since tasks may ru
 from __future__ import annotations
 
 import importlib
+import inspect
+import json
 import re
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 from importlib.metadata import entry_points
 
@@ -20,9 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from barloom.functions.timebar import TimeBar
-from barloom.model import BarRequest, InvalidRequestError, ProviderError, UnsupportedError, to_ms
+from barloom.model import BarloomError, BarRequest, InvalidRequestError, ProviderError, UnsupportedError, to_ms
 from barloom.operators import quality, reading
 from barloom.schema import PROVIDER_BARS, VALUES
+from barloom.session import domain_errors, settled
 
 #: Most bars of a venue's page.
 PAGE_BARS = {"coinbase": 300, "binance": 1000, "binanceusdm": 1000, "bybit": 1000, "okx": 100}
@@ -88,16 +91,60 @@ def page_windows(timeframe: str, start: int, end: int, page: int) -> list[Window
         raise ValueError("a page holds bars")
     bar, found = TimeBar.parse(timeframe), []
     while start < end:
-        stop = start
-        for _ in range(page):
-            if stop >= end:
-                break
-            stop = bar.next(stop)
+        stop = bar.later(start, page)
         found.append(Window(start, min(stop, end)))
         start = found[-1].end
     return found
 
 
+@dataclass(frozen=True)
+class Market:
+    """What a client is told of the market it is asked for: the venue's whole identity, and its native id if one is known."""
+
+    exchange: str
+    symbol: str
+    market: str
+    settle: str | None = None
+    native_id: str | None = None
+
+
+@dataclass(frozen=True)
+class Page:
+    """What a client may give instead of bare rows: the rows, and the market they are of."""
+
+    rows: list
+    market: Market
+
+
+def rows_of(answer: list | Page, asked: Market) -> list:
+    """The rows of an answer; ProviderError if they are of another market than the one that was asked for."""
+    if not isinstance(answer, Page):
+        return answer
+    for part in ("exchange", "symbol", "market", "settle"):
+        if getattr(answer.market, part) != getattr(asked, part) and (part != "settle" or asked.settle is not None):
+            raise ProviderError(f"asked for {asked}, got {answer.market}")
+    return answer.rows
+
+
+def asking(client: str, market: Market, timeframe: str) -> Callable[[int, int], list]:
+    """A function of (since, until) that asks the client, by symbol or, if it takes one, for the whole market.
+
+    What the client raises beyond transient failures comes as ProviderError with its cause; errors of the library pass.
+    """
+    fetch = load(client)
+    more = {"market": market} if "market" in inspect.signature(fetch).parameters else {}
+
+    def ask(since: int, until: int) -> list:
+        try:
+            return rows_of(fetch(market.symbol, timeframe, since, until, **more), market)
+        except (TransientError, BarloomError):
+            raise
+        except Exception as e:
+            raise ProviderError(f"{client} failed for {market}: {type(e).__name__}: {e}") from e
+
+    return ask
+
+
 def check_rows(rows: list, window: Window) -> list[tuple]:
     """(ms, open, high, low, close, volume) of raw rows; raises if one is short, not numeric, out of order or outside."""
     found, before = [], None
@@ -130,7 +177,7 @@ def with_retries(call: Callable[[], list], sleep: Callable[[float], None] = time
 
 
 class BarSource(DataSource):
-    """format("barloom"): options client (module:function), symbol, timeframe, start, end (ms), page."""
+    """format("barloom"): options client (module:function), market (JSON), timeframe, start, end (ms), page."""
 
     @classmethod
     def name(cls) -> str:
@@ -152,16 +199,18 @@ class BarReader(DataSourceReader):
         return page_windows(o["timeframe"], int(o["start"]), int(o["end"]), int(o["page"]))
 
     def read(self, partition: Window) -> Iterator[tuple]:
-        fetch = load(self.options["client"])
-        rows = with_retries(lambda: fetch(self.options["symbol"], self.options["timeframe"], partition.start, partition.end - 1))
+        ask = asking(self.options["client"], Market(**json.loads(self.options["market"])), self.options["timeframe"])
+        rows = with_retries(lambda: ask(partition.start, partition.end - 1))
         for at, *values in check_rows(rows, partition):
             yield (datetime.fromtimestamp(at / 1000, UTC), *values)
 
 
-def observe(spark: SparkSession, request: BarRequest, client: str, page: int | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC), unfinished: bool = False) -> tuple[DataFrame, int, DataFrame]:
+def observe(spark: SparkSession, request: BarRequest, client: str, page: int | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC), unfinished: bool = False, native_id: str | None = None) -> tuple[DataFrame, int, DataFrame]:
     """(canonical bars, end of what is final, warnings) of a request; raises ProviderError on fatal findings.
 
     Unfinished bars are left out and stay missing, but with `unfinished`. `seq` is the order of time within the observation.
+    The rows are settled before anything is proved of them. The moment of evidence lies before the venue is asked; a clock that
+    stands before it afterwards is an error.
     """
     d = request.dataset
     page = page or PAGE_BARS.get(d.exchange)
@@ -171,13 +220,17 @@ def observe(spark: SparkSession, request: BarRequest, client: str, page: int | N
     start, end = to_ms(request.start), to_ms(request.end)
     final = end if unfinished else min(end, TimeBar.parse(d.timeframe).floor(evidence - reading.GRACE_MS))
     spark.dataSource.register(BarSource)
-    options = {"client": client, "symbol": d.symbol, "timeframe": d.timeframe, "start": start, "end": end, "page": page}
+    market = Market(d.exchange, d.symbol, d.market, d.settle, native_id)
+    options = {"client": client, "market": json.dumps(asdict(market)), "timeframe": d.timeframe, "start": start, "end": end, "page": page}
     rows = spark.read.format("barloom").options(**{k: str(v) for k, v in options.items()}).load()
     bars = reading.finalized(rows, F.lit(final)).select(
         *[F.lit(v).cast("string").alias(k) for k, v in (("exchange", d.exchange), ("symbol", d.symbol), ("market", d.market), ("settle", d.settle), ("timeframe", d.timeframe))],
         "timestamp", *VALUES, F.unix_millis("timestamp").alias("seq"),
     )
-    bars = bars.persist()  # read() runs for each action: quality, rows and coverage must see one observation
+    with domain_errors():
+        bars = settled(bars)  # read() runs for each action: quality, rows and coverage must see one observation
+    if to_ms(now()) < evidence:
+        raise ProviderError("the clock went back while the venue was asked")
     warnings = quality.enforce(bars, d.timeframe, ["symbol"], ProviderError, start=start, end=end)
     return bars, final, warnings
 
@@ -205,6 +258,13 @@ def flat_client(symbol: str, timeframe: str, since: int, until: int) -> list[lis
     return rows
 
 
+def market_client(symbol: str, timeframe: str, since: int, until: int, market: Market) -> Page:
+    """A venue for tests whose prices depend on the market: a perpetual stands ten above the spot market, and more by its settlement."""
+    above = 0 if market.market == "spot" else 10 + len(market.settle or "")
+    rows = steady_client(symbol, timeframe, since, until)
+    return Page([[r[0], *(x + above for x in r[1:5]), r[5]] for r in rows], market)
+
+
 def steady_client(symbol: str, timeframe: str, since: int, until: int) -> list[list]:
     """A venue for tests without holes."""
     bar, rows, at = TimeBar.parse(timeframe), [], since

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from barloom.model import BarloomError, CatalogError, Dataset, StorageError
 from barloom.operators import coverage, reading
 from barloom.schema import BARS, KEY
+from barloom.session import settled
 from barloom.sources import store
 from barloom.sources.catalog import Catalog, files_of_datasets
 
@@ -46,7 +47,9 @@ def deep_inventory(spark: SparkSession, root: str) -> DataFrame:
 
 def validate(spark: SparkSession, root: str, catalog: str | Path) -> DataFrame:
     """(path, issue) of every difference between catalog and files; creates and changes nothing."""
-    found = deep_inventory(spark, root).persist()
+    if not Path(catalog).exists() and store.classify(root) == "empty":
+        return spark.createDataFrame([], "path string, issue string")
+    found = settled(deep_inventory(spark, root))
     opened = Catalog(catalog, create=False)
     try:
         indexed = files_of_datasets(opened.snapshot(spark)).withColumn("settle", F.expr("nullif(settle, '')"))
@@ -54,7 +57,8 @@ def validate(spark: SparkSession, root: str, catalog: str | Path) -> DataFrame:
         opened.close()
     faults = found.where("fault IS NOT NULL").select("path", F.concat(F.lit("unreadable: "), "fault").alias("issue"))
     compared = reading.compare_files(indexed, found, tuple(KEY), ("provider",)).join(faults.select("path"), "path", "left_anti")
-    return compared.unionByName(faults)
+    left = spark.createDataFrame([(p, "leftover of a writer") for p in store.leftovers(root)], "path string, issue string")
+    return compared.unionByName(faults).unionByName(left)
 
 
 def rebuild(spark: SparkSession, root: str, catalog: str | Path) -> int:
@@ -62,7 +66,9 @@ def rebuild(spark: SparkSession, root: str, catalog: str | Path) -> int:
 
     StorageError for a file that contradicts itself or doesn't belong, or a dataset of several providers: then nothing changes.
     """
-    found = deep_inventory(spark, root).persist()
+    if left := store.leftovers(root):
+        raise StorageError(f"leftovers of writers: {left[:5]}")
+    found = settled(deep_inventory(spark, root))
     if bad := found.where("fault IS NOT NULL").select("path", "fault").limit(5).collect():
         raise StorageError("; ".join(f"{r['path']}: {r['fault']}" for r in bad))
     if reading.lineage_conflicts(found, KEY).limit(1).collect():
@@ -73,7 +79,6 @@ def rebuild(spark: SparkSession, root: str, catalog: str | Path) -> int:
         bars = spark.read.schema(BARS).parquet(*[r["path"] for r in files if r["timeframe"] == timeframe])
         for s in coverage.available_islands(bars, timeframe, KEY).orderBy(*KEY, "start").collect():
             segments.setdefault(tuple(s[k] for k in KEY), []).append((s["start"], s["end"], s["status"]))
-    found.unpersist()
 
     def fill(into: Catalog) -> None:
         with into.transaction():

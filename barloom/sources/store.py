@@ -10,16 +10,19 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
+from datetime import UTC, datetime
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.timebar import month_of, year_of
-from barloom.model import Dataset, StorageError, percent_slug
-from barloom.schema import BARS, KEY
+from barloom.functions.timebar import TimeBar, month_of, year_of
+from barloom.model import Dataset, StorageError, percent_slug, to_ms
+from barloom.schema import BARS, KEY, VALUES
+from barloom.session import domain_errors
 
 LAYOUT_VERSION = "5"
 MANIFEST = "symbol string, year long, month long, temp string, path string, row_count long, first long, last long, sha256 string"
@@ -70,6 +73,25 @@ def footer(d: Dataset, year: int, month: int, rows: int, first: int, last: int,
     return found | ({"settle": d.settle} if d.settle else {}) | (derivative or {})
 
 
+def row_fault(table: pa.Table, at: np.ndarray, d: Dataset, year: int, month: int) -> str | None:
+    """What is wrong with a month's stored rows: order, month, alignment, values that aren't finite, or no proper bar."""
+    if table.num_rows and any(table[f.name].null_count for f in BARS if not f.nullable):
+        return "a value is null"
+    if (np.diff(at) <= 0).any():
+        return "rows are not in order"
+    bar, first = TimeBar.parse(d.timeframe), to_ms(datetime(year, month, 1, tzinfo=UTC))
+    if len(at) and not (first <= at[0] and at[-1] < TimeBar(1, "M").next(first)):
+        return "rows lie outside the month"
+    if ((at != first) if bar.unit == "M" else ((at - bar.origin_ms) % bar.step_ms != 0)).any():
+        return "rows are not on a boundary"
+    o, h, low, c, v = (table[name].to_numpy() for name in VALUES)
+    if not all(np.isfinite(x).all() for x in (o, h, low, c, v)):
+        return "values are not finite"
+    if (h < np.maximum(np.maximum(o, c), low)).any() or (low > np.minimum(o, c)).any() or (v < 0).any():
+        return "high, low or volume contradict the bar"
+    return None
+
+
 def read_month(path: str | Path, root: str) -> tuple[Dataset, dict[str, str], pa.Table]:
     """A committed file, with footer, identity, path and rows held against each other; StorageError if they differ."""
     table = pq.read_table(path, partitioning=None)
@@ -79,15 +101,14 @@ def read_month(path: str | Path, root: str) -> tuple[Dataset, dict[str, str], pa
     if not table.schema.remove_metadata().equals(ARROW):
         raise StorageError(f"{path}: schema")
     d = Dataset(*(notes.get(k) for k in KEY))
-    at = table["timestamp"].cast(pa.int64())
-    values = at.to_pylist()
-    told = footer(d, int(notes["year"]), int(notes["month"]), len(values), values[0] if values else 0, values[-1] if values else 0, notes.get("provider", ""), {k: notes[k] for k in DERIVATIVE if k in notes and d.market == "perpetual"})
+    values = table["timestamp"].cast(pa.int64()).to_numpy()
+    told = footer(d, int(notes["year"]), int(notes["month"]), len(values), int(values[0]) if len(values) else 0, int(values[-1]) if len(values) else 0, notes.get("provider", ""), {k: notes[k] for k in DERIVATIVE if k in notes and d.market == "perpetual"})
     if told != notes:
         raise StorageError(f"{path}: the footer differs from the rows")
     if Path(path) != month_path(root, d, int(notes["year"]), int(notes["month"])):
         raise StorageError(f"{path}: not where its identity belongs")
-    if any(b <= a for a, b in zip(values, values[1:], strict=False)):
-        raise StorageError(f"{path}: rows are not in order")
+    if fault := row_fault(table, values, d, int(notes["year"]), int(notes["month"])):
+        raise StorageError(f"{path}: {fault}")
     for name, want in zip(KEY, (d.exchange, d.symbol, d.market, d.settle, d.timeframe), strict=True):
         if set(table[name].unique().to_pylist()) - {want}:
             raise StorageError(f"{path}: {name} differs")
@@ -105,42 +126,52 @@ def prepare(bars: DataFrame, root: str, provider: str, derivative: dict[str, str
         d, year, month = Dataset(*one.values()), table["year"][0].as_py(), table["month"][0].as_py()
         path = managed(month_path(root, d, year, month), root)
         facts = derivative or {}
-        new = table.sort_by([("timestamp", "ascending"), ("seq", "ascending")]).select(ARROW.names).cast(ARROW)
-        rows = {t: r for t, r in zip(new["timestamp"].cast(pa.int64()).to_pylist(), new.to_pylist(), strict=True)}
+        rows = table.sort_by([("timestamp", "ascending"), ("seq", "ascending")]).select(ARROW.names).cast(ARROW)
         if path.exists():
             old_d, notes, old = read_month(path, root)
             if old_d != d or notes["provider"] != provider:
                 raise StorageError(f"{path}: another dataset or provider")
             facts = merged_facts({k: notes[k] for k in DERIVATIVE if k in notes}, facts)
-            rows = dict(zip(old["timestamp"].cast(pa.int64()).to_pylist(), old.to_pylist(), strict=True)) | rows
-        order = sorted(rows)
-        merged = pa.Table.from_pylist([rows[t] for t in order], ARROW)
-        merged = merged.replace_schema_metadata(footer(d, year, month, len(order), order[0], order[-1], provider, facts))
-        path.parent.mkdir(parents=True, exist_ok=True)  # what a writer that died left here goes once the month is published
+            rows = pa.concat_tables([old.replace_schema_metadata(None), rows])
+        at = rows["timestamp"].cast(pa.int64()).to_numpy()
+        order = np.argsort(at, kind="stable")  # of equal times the last one stays: new ones lie behind stored ones
+        at = at[order]
+        last = np.append(at[1:] != at[:-1], True)
+        merged, at = rows.take(order[last]), at[last]
+        merged = merged.replace_schema_metadata(footer(d, year, month, len(at), int(at[0]), int(at[-1]), provider, facts))
+        path.parent.mkdir(parents=True, exist_ok=True)
         temp = path.parent / f".data-{uuid.uuid4().hex}.tmp"
         try:
             with open(temp, "wb") as f:
                 pq.write_table(merged, f)
                 f.flush()
                 os.fsync(f.fileno())
-            if pq.read_metadata(temp).num_rows != len(order):
-                raise StorageError(f"{temp}: rows were lost")
+            if not pq.read_table(temp, partitioning=None).equals(merged, check_metadata=True):
+                raise StorageError(f"{temp}: what was written reads otherwise")
+            if fault := row_fault(merged, at, d, year, month):
+                raise StorageError(f"{path}: {fault}")
             digest = sha256_of(temp)
         except BaseException:
             temp.unlink(missing_ok=True)
             raise
-        values = [d.symbol, year, month, str(temp), str(path), len(order), order[0], order[-1], digest]
+        values = [d.symbol, year, month, str(temp), str(path), len(at), int(at[0]), int(at[-1]), digest]
         return pa.table({n.split()[0]: [v] for n, v in zip(MANIFEST.split(", "), values, strict=True)})
 
     ms = F.unix_millis("timestamp")
     dated = bars.select(*[f.name for f in BARS], "seq", year_of(ms).cast("long").alias("year"), month_of(ms).cast("long").alias("month"))
-    return dated.groupBy(*KEY, "year", "month").applyInArrow(write, MANIFEST).collect()
+    with domain_errors():
+        return dated.groupBy(*KEY, "year", "month").applyInArrow(write, MANIFEST).collect()
 
 
 def publish(manifest: list) -> None:
-    """Phase two: each temporary file takes its place; what tasks that ran twice left behind goes."""
+    """Phase two: each temporary file takes its place, and the folder is synced; what tasks that ran twice left behind goes."""
     for row in manifest:
         os.replace(row["temp"], row["path"])
+        folder = os.open(Path(row["path"]).parent, os.O_RDONLY)
+        try:
+            os.fsync(folder)
+        finally:
+            os.close(folder)
     for row in manifest:
         for left in Path(row["path"]).parent.glob(".data-*.tmp"):
             left.unlink()
@@ -151,11 +182,31 @@ def discard(manifest: list) -> None:
         Path(row["temp"]).unlink(missing_ok=True)
 
 
+def classify(root: str) -> str:
+    """What lies below the root: "empty", "canonical" (month files), or "ambiguous" (writers' leftovers, or other files, too)."""
+    try:
+        return "ambiguous" if leftovers(root) else "canonical" if os.path.isdir(root) and month_files(root) else "empty"
+    except StorageError:
+        return "ambiguous"
+
+
+def clean(root: str, d: Dataset) -> None:
+    """Delete what dead writers left of a dataset; for the holder of its lock, before it writes."""
+    folder = managed(month_path(root, d, 1970, 1).parents[2], root)
+    for left in leftovers(str(folder)):
+        Path(left).unlink(missing_ok=True)
+
+
+def leftovers(root: str) -> list[str]:
+    """Temporary files of writers that died."""
+    return sorted(str(p) for p in Path(root).rglob(".data-*.tmp")) if os.path.isdir(root) else []
+
+
 def month_files(root: str) -> list[str]:
-    """Committed files in order; StorageError for leftovers and files of another shape."""
+    """Committed files in order, without writers' leftovers; StorageError for files of another shape."""
     found = []
     for path in sorted(Path(root).rglob("*")):
-        if path.is_file():
+        if path.is_file() and not (path.name.startswith(".data-") and path.suffix == ".tmp"):
             if path.name != "data.parquet" or len(path.relative_to(root).parts) != 7:
                 raise StorageError(f"{path} does not belong here")
             found.append(str(path))

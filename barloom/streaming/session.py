@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from barloom.functions.timebar import TimeBar
 from barloom.model import BarRequest, Dataset, InvalidRequestError, ProviderError, UnsupportedError, to_ms
 from barloom.schema import KEY, VALUES
+from barloom.session import shared_folder
 from barloom.sources import provider as providers
 from barloom.streaming import live
 from barloom.streaming.source import CAPACITY, LiveSource
@@ -37,6 +38,7 @@ class LiveMarketData:
         self._subscribed: dict[Dataset, bool] = {}
         self._ready: queue.Queue[Row] = queue.Queue(CAPACITY)
         self._query = None
+        self._overflow: ProviderError | None = None
 
     # Life
 
@@ -49,11 +51,19 @@ class LiveMarketData:
         return self
 
     def __exit__(self, kind, failure, trace) -> None:
-        if self.state != "failed":
+        """Stop the stream. A failure that no read has told yet is raised here; that the venue's stream ended is none."""
+        told = self.state == "failed"
+        if not told:
             self.state = "closed"
         try:
             if self._query is not None:
+                unread = None if told or failure is not None else self._query.exception()
                 self._query.stop()
+                if unread is not None and "the live stream ended" not in str(unread):
+                    self.state = "failed"
+                    raise self._overflow or ProviderError(f"the live session failed: {unread}")
+        except ProviderError:
+            raise
         except Exception as cleanup:
             if failure is not None:
                 raise BaseExceptionGroup("the session and its end both failed", [failure, cleanup]) from None
@@ -100,10 +110,8 @@ class LiveMarketData:
             options["clock"] = self.clock
         raw = spark.readStream.format("barloom_live").options(**options).load()
         writer = live.ordered(live.checked(raw), KEY).writeStream.foreachBatch(self._take)
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder:
-            writer = writer.option("checkpointLocation", f"{folder}/live-{id(self)}-{to_ms(datetime.now(UTC))}")
-        self._query = writer.start()
+        folder = f"{shared_folder(spark)}/live-{id(self)}-{to_ms(datetime.now(UTC))}"
+        self._query = writer.option("checkpointLocation", folder).start()
         self.state = "running"
 
     def _told(self, updates: DataFrame) -> DataFrame:
@@ -128,7 +136,13 @@ class LiveMarketData:
             try:
                 self._ready.put_nowait(row)
             except queue.Full:
-                raise ProviderError(f"the consumer fell {CAPACITY} updates behind") from None
+                self._overflow = ProviderError(f"the consumer fell {CAPACITY} updates behind")
+                while not self._ready.empty():  # stale ones are not handed out any more
+                    try:
+                        self._ready.get_nowait()
+                    except queue.Empty:
+                        break
+                raise self._overflow from None
 
     @staticmethod
     def _is(row: Row, d: Dataset) -> bool:
@@ -147,7 +161,6 @@ class LiveMarketData:
         own = batch.where(reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(getattr(d, k))) for k in KEY]))
         columns = [*KEY, "timestamp", *VALUES, "seq", "received"]
         merged = self._told(live.bootstrap(snapshot.select(*columns), own.select(*columns), KEY)).collect()
-        bars.unpersist()
         return merged
 
     def __iter__(self) -> LiveMarketData:
@@ -164,6 +177,9 @@ class LiveMarketData:
                 raise InvalidRequestError(f"the session is {self.state}")
             if self.state == "closed":
                 raise StopIteration
+            if self._overflow is not None:
+                self.state = "failed"
+                raise self._overflow
             if self.state == "failed" or (not self._query.isActive and self._ready.empty()):
                 self.state = "failed"
                 raise ProviderError(f"the live session failed: {self._query.exception()}")
