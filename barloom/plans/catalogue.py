@@ -5,6 +5,7 @@ Moments leave the queries as whole milliseconds, so no session's time zone shows
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -20,9 +21,11 @@ from barloom.operators import coverage, quality, reading
 from barloom.plans import fixtures
 from barloom.plans.fixtures import bars_sql
 from barloom.session import shared_folder
-from barloom.sources import markets, provider
-from barloom.sources.catalog import events_of_runs, files_of_datasets
-from barloom.streaming import live
+from barloom.schema import BARS as BAR_SCHEMA
+from barloom.sources import markets, provider, recovery, store
+from barloom.sources.catalog import Catalog, events_of_runs, files_of_datasets
+from barloom.streaming import live, venue
+from barloom.streaming.adapter import LiveAdapter
 
 HOUR, DAY, WEEK = 3_600_000, 86_400_000, 604_800_000
 MS = F.unix_millis
@@ -478,19 +481,22 @@ _VENUE = f"""SELECT h * {HOUR} AS ts, 100.0::DOUBLE + h % 10 AS open, 101.0::DOU
 _DATASET = Dataset("okx", "BTC/USDT", "spot", None, "1h")
 
 
-@query(f"SELECT 'BTC/USDT' AS symbol, * FROM ({_VENUE})")
+@query(f"""WITH ev AS (SELECT event_id, epoch_ms(ts) AS ms, 1 + abs(value) AS v FROM events WHERE event_type = 'click')
+SELECT 'click/USD' AS symbol, ms - ms % {HOUR} AS ts, arg_min(v, (ms, event_id)) AS open, max(v) AS high, min(v) AS low, arg_max(v, (ms, event_id)) AS "close", count(*)::DOUBLE AS volume
+FROM ev WHERE ms >= {FROM} AND ms < {TO} GROUP BY ALL""")
 def src_provider_bars(spark, sf_dir):
-    """A week of a provider's bars, a partition a page; holes stay holes."""
-    request = BarRequest(_DATASET, datetime.fromtimestamp(FROM / 1000, UTC), datetime.fromtimestamp(TO / 1000, UTC))
-    bars, _, _ = provider.observe(spark, request, "barloom.sources.provider:flat_client", page=48)
+    """A week of a provider's bars, a partition a page; holes stay holes. The client reads what the market's native id names."""
+    d = Dataset("sim", "click/USD", "spot", None, "1h")
+    request = BarRequest(d, datetime.fromtimestamp(FROM / 1000, UTC), datetime.fromtimestamp(TO / 1000, UTC))
+    bars, _, _ = provider.observe(spark, request, "barloom.plans.fixtures:replayed", page=48, native_id=f"{sf_dir}/events.parquet")
     return told(bars)
 
 
 def _store(spark) -> MarketData:
     """A fresh store in the shared checkpoint folder."""
-    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}".removeprefix("file:")
-    venue = provider.Provider("flat", "1", "barloom.sources.provider:flat_client", page=48)
-    return MarketData(spark, MarketDataConfig(f"{folder}/state", f"{folder}/data"), provider=venue)
+    folder = _folder(spark)
+    flat = provider.Provider("flat", "1", "barloom.sources.provider:flat_client", page=48)
+    return MarketData(spark, MarketDataConfig(f"{folder}/state", f"{folder}/data"), provider=flat)
 
 
 @query(f"""SELECT ts, open, high, low, "close", volume FROM ({_VENUE}) WHERE ts >= {FROM + DAY}""")
@@ -522,6 +528,93 @@ def definitions_translated(spark, sf_dir):
     return found.select("symbol", F.col("tick_size").cast("int").cast("string").alias("tick_size"), F.array_join("timeframes", ",").alias("timeframes"))
 
 
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}".removeprefix("file:")
+
+
+def _stored(spark, sf_dir: str) -> str:
+    """All hourly bars in month files, in two batches: the second replaces the later half, each price raised by one."""
+    root, bars = _folder(spark), hours(spark, sf_dir)
+    later = bars.where(MS("timestamp") >= FROM)
+    for batch in (bars, later.select(*[(F.col(c) + 1).alias(c) if c in ("open", "high", "low", "close") else c for c in bars.columns])):
+        store.publish(store.prepare(batch, root, "sim"))
+    return root
+
+
+STORED = f"""{BARS}, stored AS (SELECT symbol, ts, open + x AS open, high + x AS high, low + x AS low, "close" + x AS "close", volume FROM (SELECT *, CASE WHEN ts >= {FROM} THEN 1 ELSE 0 END AS x FROM bars))"""
+MONTHS = f"""{STORED}, months AS (SELECT symbol, year(make_timestamp(ts * 1000)) AS year, month(make_timestamp(ts * 1000)) AS month, count(*) AS row_count, min(ts) AS first, max(ts) AS last FROM stored GROUP BY ALL)"""
+
+
+@query(f"WITH {STORED} SELECT * FROM stored")
+def store_merge(spark, sf_dir):
+    """Two batches merged month by month into files, read back: of equal times the later batch stays."""
+    root = _stored(spark, sf_dir)
+    return told(spark.read.schema(BAR_SCHEMA).parquet(*store.month_files(root)))
+
+
+@query(f"WITH {MONTHS} SELECT symbol, row_count, first, last, 'sim' AS provider FROM months")
+def store_deep_read(spark, sf_dir):
+    """Every stored file read deeply: footer, identity, place and rows held against each other."""
+    return recovery.deep_inventory(spark, _stored(spark, sf_dir)).where("fault IS NULL").select("symbol", "row_count", "first", "last", "provider")
+
+
+@query(f"WITH {MONTHS} SELECT symbol, 'missing file' AS issue FROM (SELECT * FROM months ORDER BY symbol, first LIMIT 1) UNION ALL SELECT 'any', 'leftover of a writer'")
+def validate_store(spark, sf_dir):
+    """The catalog rebuilt from the files; then a file goes, and a dead writer leaves something."""
+    root, state = _stored(spark, sf_dir), f"{_folder(spark)}/catalog.db"
+    recovery.rebuild(spark, root, state)
+    first = store.month_files(root)[0]
+    _, notes, _ = store.read_month(first, root)
+    os.unlink(first)
+    open(os.path.join(os.path.dirname(first), ".data-dead.tmp"), "w").close()
+    found = recovery.validate(spark, root, state)
+    return found.select(F.when(F.col("path") == first, notes["symbol"]).otherwise("any").alias("symbol"), "issue")
+
+
+@query(f"""WITH {ISLANDS} SELECT symbol, s AS start, e AS "end", 'available' AS status FROM islands""")
+def catalog_rebuilt(spark, sf_dir):
+    """The coverage that a catalog rebuilt from the files knows."""
+    root, state = _stored(spark, sf_dir), f"{_folder(spark)}/catalog.db"
+    recovery.rebuild(spark, root, state)
+    opened = Catalog(state, read_only=True)
+    tables = opened.snapshot(spark)
+    opened.close()
+    return tables["coverage"].join(tables["datasets"].withColumnRenamed("id", "dataset_id"), "dataset_id").select("symbol", "start", "end", "status")
+
+
+@query(f"WITH {MONTHS} SELECT row_number() OVER (ORDER BY symbol) AS place, symbol, count(*) AS n_files, sum(row_count)::BIGINT AS row_count FROM months GROUP BY symbol")
+def catalog_listing(spark, sf_dir):
+    """Datasets and their files, listed in order by the catalog."""
+    root, state = _stored(spark, sf_dir), f"{_folder(spark)}/catalog.db"
+    recovery.rebuild(spark, root, state)
+    opened = Catalog(state, read_only=True)
+    rows = [(k, d[2], files) for k, d in enumerate(opened.datasets(), 1) for files in [list(opened.files(d[0]))]]
+    opened.close()
+    return spark.createDataFrame([(k, s, len(f), sum(r[4] for r in f)) for k, s, f in rows], "place long, symbol string, n_files long, row_count long")
+
+
+@query("""SELECT s || '/USDT:' || m || '::1m' AS dataset, b.ms + k * 60000 AS ts, 101.0::DOUBLE + k + CASE WHEN m = 'perpetual' THEN 11 ELSE 7 END AS "close"
+FROM (VALUES ('BTC'), ('ETH')) a(s), (VALUES ('spot'), ('perpetual')) c(m), range(0, 3) r(k), (SELECT epoch_ms(TIMESTAMP '2026-08-07 00:01:00') AS ms) b""")
+def live_adapter_updates(spark, sf_dir):
+    """What the adapter merges of two markets of two client families, three bars each."""
+    adapter, found = LiveAdapter("binance", venue.Watching), []
+    for symbol in ("BTC/USDT", "ETH/USDT"):
+        for market in ("spot", "perpetual"):
+            adapter.subscribe(f"{symbol}:{market}::1m", ("binance", symbol, market, None, "1m"))
+    while len(found) < 12:
+        found += adapter.pull()
+    adapter.close()
+    return spark.createDataFrame([(u["dataset"], u["row"][0], float(u["row"][4])) for u in found], "dataset string, ts long, close double")
+
+
+@query("""SELECT e AS exchange, m AS market, CASE WHEN m = 'spot' THEN e WHEN e = 'binance' THEN 'binanceusdm' WHEN e IN ('kraken', 'kucoin') THEN e || 'futures' ELSE e END AS client
+FROM (VALUES ('binance'), ('kraken'), ('kucoin'), ('okx'), ('bybit')) a(e), (VALUES ('spot'), ('perpetual')) b(m)""")
+def client_families(spark, sf_dir):
+    """Which client speaks to a venue's markets."""
+    pairs = [(e, m) for e in ("binance", "kraken", "kucoin", "okx", "bybit") for m in ("spot", "perpetual")]
+    return spark.createDataFrame([(e, m, markets.client_of(e, m)) for e, m in pairs], "exchange string, market string, client string")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived bars, checked, restricted to what coverage proves of a week."""
     return scan_restricted(spark, sf_dir)

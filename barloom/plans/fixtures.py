@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.timebar import TimeBar
+from barloom.sources.provider import Market, Page
 
 
 def event_ms() -> F.Column:
@@ -41,3 +44,19 @@ def bars_sql(step_ms: int = 3_600_000) -> str:
     return f"""ev AS (SELECT event_id, user_id, event_type, value, epoch_ms(ts) AS ms FROM events),
 bars AS (SELECT event_type || '/USD' AS symbol, ms - ms % {step_ms} AS ts, arg_min(value, (ms, event_id)) AS open, max(value) AS high,
   min(value) AS low, arg_max(value, (ms, event_id)) AS "close", count(*)::DOUBLE AS volume FROM ev GROUP BY ALL)"""
+
+
+def replayed(symbol: str, timeframe: str, since: int, until: int, market: Market) -> Page:
+    """A provider's client over the events whose table the market's native id names: one page's events, as bars of 1 + |value|."""
+    at, bar = ds.field("ts"), TimeBar.parse(timeframe)
+    wanted = (ds.field("event_type") == symbol.partition("/")[0]) & (at >= np.datetime64(since, "ms")) & (at <= np.datetime64(until, "ms"))
+    table = ds.dataset(market.native_id.removeprefix("file://"), format="parquet").to_table(columns=["ts", "event_id", "value"], filter=wanted)
+    table = table.sort_by([("ts", "ascending"), ("event_id", "ascending")])
+    rows: list[list] = []
+    for t, value in zip(table["ts"].to_numpy().astype("datetime64[ms]").astype(np.int64).tolist(), table["value"].to_pylist(), strict=True):
+        start, price = bar.floor(t), 1 + abs(value)
+        if not rows or rows[-1][0] != start:
+            rows.append([start, price, price, price, price, 0.0])
+        own = rows[-1]
+        own[2:] = [max(own[2], price), min(own[3], price), price, own[5] + 1]
+    return Page(rows, market)
