@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.session import shared_folder
+
 #: Words are runs of anything but these: blank, and tab to carriage return.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
@@ -15,10 +16,7 @@ WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
 
 def prepare_checkpoints(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; set one only where none is named (as in tests)."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-checkpoints-"))
+    shared_folder(spark)
 
 
 #: Shuffle files go once the query that wrote them has ended; settled rows never need them again.

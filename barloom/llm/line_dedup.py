@@ -7,7 +7,8 @@ exactly. A boilerplate line stays where it stands first and goes everywhere else
 The HOT most frequent lines, a list of that length and no more, are known in every task and dealt over SALTS partitions each;
 any other line has at most one HOT-th of all rows. So no join gathers one line's rows in a task.
 
-DataFrame expressions only; the text is read twice, once for the lines and once to apply the decisions.
+DataFrame expressions only; the text is split twice for the lines, to count them and to sketch them, and a third time to apply the
+decisions: a line's hashes are not settled, since they outweigh the text.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def _dealt(keys: DataFrame) -> DataFrame:
 
 
 def drop_boilerplate(
-    docs: DataFrame, min_sites: int = 5, min_chars: int = 20, doc_id: str = "doc_id", text: str = "text", site: str = "source", counts: bool = False
+    docs: DataFrame, min_sites: int = 5, min_chars: int = 1, doc_id: str = "doc_id", text: str = "text", site: str = "source", counts: bool = False
 ) -> DataFrame:
     """`docs` with the text less the boilerplate lines; with `counts`, n_lines and n_removed (long) behind.
 

@@ -83,7 +83,7 @@ lines AS (
   SELECT row, doc, source, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM docs WHERE text IS NOT NULL
 ), trimmed AS (SELECT *, trim(translate(line, chr(13) || chr(9), '  '), ' ') AS t FROM lines),
 spread AS (
-  SELECT t, min((doc, pos)) AS first FROM trimmed WHERE length(t) >= 20 GROUP BY t HAVING count(DISTINCT source) >= 5
+  SELECT t, min((doc, pos)) AS first FROM trimmed WHERE length(t) >= 1 GROUP BY t HAVING count(DISTINCT source) >= 5
 ), judged AS (
   SELECT row, pos, line, (s.t IS NOT NULL AND (doc, pos) <> s.first) AS gone FROM trimmed LEFT JOIN spread s USING (t)
 ), kept AS (

@@ -17,7 +17,10 @@ from barloom.llm.queries import MIX_LEVELS, MIX_WEIGHTS, table, tokenizer_path,
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't reject; it learns from the labelled rows of the tables."""
+    """Documents that the toxicity model doesn't reject; it learns from the labelled rows of the tables.
+
+    Rows are judged one by one: null and empty texts stay, repeated rows and those without an id share their text's fate.
+    """
     net = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     scored = toxicity.score(docs, net, carry=tuple(docs.columns)).toDF("id", "held_out", "score", "predicted", *names)
@@ -25,7 +28,10 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines, however short, that many sites share, but where they stand first; n_chars follows the text."""
+    """Documents without the lines, however short, that many sites share, but where they stand first; n_chars follows the text.
+
+    No row goes: a null text stays null, one whose lines all went is empty. A null source is no site; rows with one doc_id are one document.
+    """
     kept = line_dedup.drop_boilerplate(docs, min_chars=1)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -46,14 +52,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def draw(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn for a budget of nine tenths of the tokens, each at most once."""
+    """The documents drawn for a budget of nine tenths of the tokens, each at most once.
+
+    Rows with one doc_id, null too, are drawn together. Texts without a word have no token and are never drawn. No documents, none drawn.
+    """
     drawn = mixing.mix(with_domain(docs), MIX_LEVELS, MIX_WEIGHTS, (9, 10), max_epochs=1, seed=7)
     ids = drawn.select(F.col("doc_id").alias("drawn")).distinct()
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["drawn"]), "left_semi")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece's place in sequences of 1024 tokens."""
+    """Every piece's place in sequences of 1024 tokens; null and empty texts are a piece of the end id alone, repeated rows have theirs each."""
     return packing.pack(docs, tokenizer_path(), capacity=1024, end_id=2)
 
 

@@ -687,6 +687,30 @@ def test_hyperminhash(spark, documents, odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_hyperminhash_splits_large_buckets(spark, monkeypatch):
+    """Texts of one template fill a band's bucket: it is split by rare shingles, nothing is lost, and what moves grows with the texts."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "_estimated", lambda pairs, classes, threshold: pairs.where("a % 5 = 3"))  # hubs settle none of the copies
+    moved = []
+    split = minhash._split
+    monkeypatch.setattr(minhash, "_split", lambda *a: moved.append(minhash.settled(split(*a))) or moved[-1])
+    rng = np.random.default_rng(21)
+    template = " ".join(f"t{k}" for k in range(60))
+    texts = [(i, f"{template} " + " ".join(f"o{i}x{k}" for k in range(34))) for i in range(150)]
+    near = []
+    for i in range(0, 150, 10):
+        words = texts[i][1].split()
+        for at in rng.integers(60, len(words), 2):
+            words[int(at)] = "changed"
+        near.append((1000 + i, " ".join(words)))
+    texts += near
+    got = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), words=4).collect()
+    _, plain = plain_near(texts, 4, 80)
+    assert {r["doc_id"]: r["component_id"] for r in got} == plain and len(set(plain.values())) == 150
+    assert moved and moved[0].agg(F.max("m")).first()[0] <= 16
+    assert moved[0].select("rep").distinct().count() <= 60
+
+
 def test_estimate_is_close_and_never_drops_a_pair():
     rng = np.random.default_rng(9)
     for n, share in ((300, 0.9), (2000, 0.6)):
