@@ -35,6 +35,8 @@ BAND = 5
 MISS = 1e-12
 #: Classes of a bucket compared side by side.
 BLOCK = 512
+#: A bucket with more blocks than this is split first; up to it, a class is compared in at most so many groups.
+LARGE = 8
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -225,7 +227,7 @@ def _across(docs: DataFrame, shared: DataFrame, labels: DataFrame, words: int, p
     """(a, b): pairs in one bucket but not yet in one component that reach the threshold, by sets of 32-bit hashes.
 
     Buckets of one component, or of two classes (their pair was compared), are done. Of the others those with more than
-    BLOCK classes are first split by rare shingles (`_split`), so that texts that share little beyond the bucket do not meet.
+    LARGE blocks are first split by rare shingles (`_split`), so that texts that share little beyond the bucket do not meet.
     What is left is cut into blocks of about BLOCK classes, and every two blocks of a bucket meet in a group of their own,
     which counts all intersections as a product of matrices and gives only the pairs that reach the threshold.
     """
@@ -235,9 +237,9 @@ def _across(docs: DataFrame, shared: DataFrame, labels: DataFrame, words: int, p
     ).select("key", "m")
     rows = settled(named.join(open_keys, "key"))
     sets = _sets(docs, rows.select("rep"), words, doc_id, text, np.uint32)
-    large = rows.where(F.col("m") > BLOCK)
+    large = rows.where(F.col("m") > LARGE * BLOCK)
     if not large.isEmpty():
-        rows = rows.where(F.col("m") <= BLOCK).select("key", "rep", "comp", "m").union(_split(large, sets, percent))
+        rows = rows.where(F.col("m") <= LARGE * BLOCK).select("key", "rep", "comp", "m").union(_split(large, sets, percent))
     rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     dealt = (
         rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -268,31 +270,31 @@ def _across(docs: DataFrame, shared: DataFrame, labels: DataFrame, words: int, p
 
 
 def _split(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, rep, comp, m): the buckets cut into smaller ones, which may overlap; no pair that reaches the threshold is parted.
+    """(key, rep, comp, m): smaller buckets for the classes of large ones, which may overlap; no pair that reaches the threshold is parted.
 
     Such a pair has at least the threshold's share of either set in common. So if both sets are put in one order, they share
-    a shingle among the first n - share * n + 1 of each: that shingle is a bucket. The order is by the number of the bucket's
-    classes that hold the shingle, so shingles of a template, which all have, come last. Rows grow with the sets' sizes, not
-    with pairs.
+    a shingle among the first n - share * n + 1 of each: that shingle is a bucket. The order is by the number of these
+    classes that hold the shingle, so shingles of a template, which all have, come last. A class gives its set once, however
+    many large buckets it is in: rows grow with the sets' sizes, not with pairs.
     """
 
     def spread(batches):
         for batch in batches:
-            own = [np.frombuffer(s, np.uint32) for s in batch.column(3).to_pylist()]
+            own = [np.frombuffer(s, np.uint32) for s in batch.column(2).to_pylist()]
             n = np.array([len(s) for s in own], np.int64)
             at = pa.array(np.repeat(np.arange(len(own)), n))
             hashes = np.concatenate(own) if own else np.zeros(0, np.uint32)
-            columns = [batch.column(k).take(at) for k in range(3)]
-            yield pa.record_batch([*columns, pa.array(np.repeat(n, n)), pa.array(hashes.astype(np.int64))], names=["key", "rep", "comp", "n", "s"])
+            columns = [batch.column(k).take(at) for k in range(2)]
+            yield pa.record_batch([*columns, pa.array(np.repeat(n, n)), pa.array(hashes.astype(np.int64))], names=["rep", "comp", "n", "s"])
 
-    held = settled(large.select("key", "rep", "comp").join(sets, "rep").select("key", "rep", "comp", "set").mapInArrow(spread, "key long, rep long, comp long, n long, s long"))
-    often = held.groupBy("key", "s").agg(F.count("*").alias("often")).where("often > 1")
-    own = Window.partitionBy("key", "rep")
+    held = large.select("rep", "comp").distinct().join(sets, "rep").select("rep", "comp", "set").mapInArrow(spread, "rep long, comp long, n long, s long")
+    often = held.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
+    own = Window.partitionBy("rep")
     # Two hashes may have met in 32 bits within a set: the slack keeps the prefix on the safe side.
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 3
-    ranked = held.join(often, ["key", "s"]).withColumn("alone", F.col("n") - F.count("*").over(own))
+    ranked = held.join(often, "s").withColumn("alone", F.col("n") - F.count("*").over(own))
     ranked = ranked.withColumn("place", F.row_number().over(own.orderBy("often", "s")) + F.col("alone")).where(F.col("place") <= length)
-    cut = ranked.select(F.xxhash64("key", "s").alias("key"), "rep", "comp")
+    cut = settled(ranked.select(F.xxhash64("s").alias("key"), "rep", "comp"))
     sizes = cut.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     return cut.join(sizes.select("key", "m"), "key").select("key", "rep", "comp", "m")
 

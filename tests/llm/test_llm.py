@@ -690,6 +690,7 @@ def test_hyperminhash(spark, documents, odd, none):
 def test_hyperminhash_splits_large_buckets(spark, monkeypatch):
     """Texts of one template fill a band's bucket: it is split by rare shingles, nothing is lost, and what moves grows with the texts."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "LARGE", 1)
     monkeypatch.setattr(minhash, "_estimated", lambda pairs, classes, threshold: pairs.where("a % 5 = 3"))  # hubs settle none of the copies
     moved = []
     split = minhash._split
