@@ -9,8 +9,8 @@ it was taken from. Documents come in batches; for each batch
 2. shard by shard the run is merge-joined with the runs of history: where fingerprint and whole-window hash are the same, the
    window stood in history, which verifies it without the earlier texts; they are never read again;
 3. fingerprints that repeat in the batch, or whose window stood in history, go into a Bloom filter of bounded size; the batch's
-   windows on those are sorted by fingerprint (64 bits) and whole-window hash (48), and every one that isn't the first of
-   its kind is covered;
+   windows on those are packed by slots of the whole-window hash, compared slot by slot in numpy by fingerprint (64 bits) and
+   whole-window hash (48), and every one that isn't the first of its kind is covered;
 4. once a shard has FAN_IN runs of one tier, they are merged into one of the next, so a hash is rewritten once a tier. Shards
    are merged one after the other, so that only one is there twice.
 
@@ -27,6 +27,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,14 @@ SHARDS = 4
 RUN = "g long, n long, hashes binary"
 LOW = (1 << 48) - 1
 ROW_HASHES = 1 << 16
+#: A window to be compared: low 48 bits of its hash, fingerprint, place; 0: of history, 1: to be compared, 2: covered.
+WINDOW = np.dtype([("h", "<i8"), ("check", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("state", "i1")])
+#: A window that is covered.
+START = np.dtype([("doc", "<i8"), ("start", "<i4")])
+#: So many windows are packed, and about half as many compared, at a time; in at least so many slots of their hashes.
+HELD = 1 << 19
+SLOTS = 1 << 10
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 #: Stands for a null doc_id: after all others; and for the documents of history, before them.
 LAST = (1 << 63) - 1
 PAST = -(1 << 63)
@@ -144,6 +153,105 @@ def _joined(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([c.cast(f.type) for c, f in zip(columns, batch.schema, strict=True)], schema=batch.schema)
 
 
+@contextmanager
+def _unsorted_writes(spark: SparkSession):
+    """A task in this block keeps a file open for each shard: its rows come in the order of shards, which Spark can't tell."""
+    before = spark.conf.get(WRITERS)
+    spark.conf.set(WRITERS, str(SHARDS))
+    try:
+        yield
+    finally:
+        spark.conf.set(WRITERS, before)
+
+
+def _leads(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in the order of h and check; and which of them are not the first, by doc and start, of their h and check."""
+    order = np.argsort(rows["h"])
+    h, check = rows["h"][order], rows["check"][order]
+    if ((h[1:] == h[:-1]) & (check[1:] != check[:-1])).any():
+        order = np.lexsort((rows["check"], rows["h"]))
+        h, check = rows["h"][order], rows["check"][order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    doc, start = rows["doc"][order], rows["start"][order]
+    late = doc != np.minimum.reduceat(doc, first)[group]
+    late |= start != np.minimum.reduceat(np.where(late, np.iinfo(np.int32).max, start), first)[group]
+    return order, late
+
+
+def _dealt(rows: np.ndarray, slots: int) -> pa.RecordBatch:
+    """Windows packed by slots of h. Of equal ones all but the first are covered: those go anywhere, the first is compared."""
+    order, late = _leads(rows)
+    sure = order[late]
+    rows["state"][sure] = 2
+    rows["h"][sure] = (wordhash.mix(rows["doc"][sure].view(np.uint64) + rows["start"][sure].astype(np.uint64)) & np.uint64(LOW)).view(np.int64)
+    return _packed(rows, rows["h"] >> 48 - (slots.bit_length() - 1))
+
+
+def _packed(rows: np.ndarray, slot: np.ndarray) -> pa.RecordBatch:
+    """A row for each slot, with its rows byte by byte: ids that differ little pack well."""
+    order = np.argsort(slot.astype(np.uint16) if len(slot) and slot.max() < 1 << 16 else slot, kind="stable")
+    slot = slot[order]
+    first = np.flatnonzero(np.diff(slot, prepend=-1))
+    data = np.take(rows.view(np.uint8).reshape(len(rows), -1), order, axis=0)
+    packed = [data[lo:hi].T.tobytes() for lo, hi in zip(first, [*first[1:], len(rows)], strict=True)]
+    return pa.record_batch([pa.array(slot[first].astype(np.int32)), pa.array(packed, pa.binary())], names=["slot", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
+    """The rows of whole slots, about HELD / 2 or one slot at a time, from packed rows in the order of slots."""
+    held, size, last = [], 0, None
+    for batch in batches:
+        for slot, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if slot != last and size >= HELD // 2:
+                yield np.concatenate(held)
+                held, size = [], 0
+            last = slot
+            data = np.frombuffer(packed.as_buffer(), np.uint8).reshape(kind.itemsize, -1)
+            held.append(np.ascontiguousarray(data.T).view(kind).ravel())
+            size += data.shape[1]
+    if held:
+        yield np.concatenate(held)
+
+
+def _later(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
+    """The windows that are not the first of their h and check, history left out, packed by slots of doc."""
+    out, size = [], 0
+
+    def dealt() -> pa.RecordBatch:
+        found = np.concatenate(out)
+        return _packed(found, (wordhash.mix(found["doc"].view(np.uint64)) & np.uint64(slots - 1)).view(np.int64))
+
+    for rows in _unpacked(batches, WINDOW):
+        plain = rows[rows["state"] < 2]
+        hits = [rows[rows["state"] == 2]]
+        if len(plain):
+            order, late = _leads(plain)
+            late = plain[order[late]]
+            hits.append(late[late["state"] == 1])
+        for hit in hits:
+            start = np.empty(len(hit), START)
+            start["doc"], start["start"] = hit["doc"], hit["start"]
+            out.append(start)
+            size += len(hit)
+        if size >= HELD:
+            yield dealt()
+            out, size = [], 0
+    if size:
+        yield dealt()
+
+
+def _by_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each doc, with its starts, four bytes each, from packed rows in the order of slots."""
+    for found in _unpacked(batches, START):
+        order = np.argsort(found["doc"])
+        doc, start = found["doc"][order], found["start"][order]
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        starts = [start[lo:hi].tobytes() for lo, hi in zip(first, [*first[1:], len(doc)], strict=True)]
+        yield pa.record_batch([pa.array(doc[first]), pa.array(starts, pa.binary())], names=["doc", "starts"])
+
+
 class FingerprintIndex:
     """A corpus's runs, in a folder that all executors share; opened again where that folder holds an index already.
 
@@ -191,7 +299,7 @@ class FingerprintIndex:
         name = f"run-{self.written}"
         self.written += 1
         shard = F.pmod("g", F.lit(SHARDS)).cast("int")
-        with dropping_shuffles(self.spark):
+        with dropping_shuffles(self.spark), _unsorted_writes(self.spark):
             merged = rows.repartition("g").sortWithinPartitions(shard, "g").mapInArrow(_merged, RUN)
             merged.withColumn("shard", shard).write.mode("overwrite").partitionBy("shard").parquet(f"{self.folder}/{name}")
         return name
@@ -221,7 +329,7 @@ class FingerprintIndex:
                 tier += 1
 
     def covered(self, batch: DataFrame) -> tuple[DataFrame, Callable]:
-        """(doc, start) of the batch's windows that occur earlier; and the test for texts that may hold any.
+        """(doc, starts) of the batch's windows that occur earlier, one row a document; and the test for texts that may hold any.
 
         `batch` has (doc, text), doc being an order key without nulls. The batch's run joins the index.
         """
@@ -262,6 +370,9 @@ class FingerprintIndex:
         if met is not None:
             keys = keys.union(met.select(F.lit(0), "g"))
         blooms = self.spark.sparkContext.broadcast(build_blooms(keys, bits_for(new.count() // 4), 1))
+        # A place is the fingerprint of at most window - GRAM + 1 windows.
+        places = new.agg(F.sum("n")).first()[0] or 0
+        slots = max(SLOTS, 1 << (places * (window - GRAM + 1) // HELD).bit_length())
         self.runs += runs
         self._commit()
 
@@ -271,60 +382,38 @@ class FingerprintIndex:
             return begin[hot], g[hot]
 
         def hashed(batches):
+            held, size = [], 0
             for docs, _, words in _groups(batches):
                 hot, g = hot_windows(words)
                 if not len(hot):
                     continue
                 whole, at = words.windows(window)
-                h, check = whole[np.searchsorted(at, hot)].view(np.int64) & LOW, g.view(np.int64)
                 owner = _owners(words)[hot]
-                doc, start = docs[owner], (hot - words.first[owner]).astype(np.int32)
-                # Of equal windows in one group all but the first are covered: only that one need be compared.
-                order = np.lexsort((start, doc, check, h))
-                h, check, doc, start = h[order], check[order], doc[order], start[order]
-                same = np.zeros(len(h), bool)
-                same[1:] = (h[1:] == h[:-1]) & (check[1:] == check[:-1])
-                lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
-                sure = (doc != doc[lead]) | (start != start[lead])
-                h = np.where(sure, wordhash.mix(doc.view(np.uint64) + start.astype(np.uint64)).view(np.int64), h)  # spread
-                state = np.where(sure, 2, 1).astype(np.int32)
-                yield pa.record_batch([pa.array(x) for x in (h, check, doc, start, state)], names=["h", "check", "doc", "start", "state"])
+                rows = np.empty(len(hot), WINDOW)
+                rows["h"], rows["check"] = whole[np.searchsorted(at, hot)].view(np.int64) & LOW, g.view(np.int64)
+                rows["doc"], rows["start"], rows["state"] = docs[owner], hot - words.first[owner], 1
+                held.append(rows)
+                size += len(rows)
+                if size >= HELD:
+                    yield _dealt(np.concatenate(held), slots)
+                    held, size = [], 0
+            if held:
+                yield _dealt(np.concatenate(held), slots)
 
         def earlier(batches):
             for batch in batches:
-                n = batch.num_rows
-                columns = [batch.column(1), batch.column(0), pa.array(np.full(n, PAST)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32))]
-                yield pa.record_batch(columns, names=["h", "check", "doc", "start", "state"])
+                rows = np.empty(batch.num_rows, WINDOW)
+                rows["h"], rows["check"] = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+                rows["doc"], rows["start"], rows["state"] = PAST, -1, 0
+                if len(rows):
+                    yield _dealt(rows, slots)
 
-        schema = "h long, check long, doc long, start int, state int"
+        schema = "slot int, packed binary"
         rows = batch.mapInArrow(hashed, schema)
         if met is not None:
             rows = rows.union(met.mapInArrow(earlier, schema))
-
-        def later(batches):
-            """Rows in the order of h, check, doc, start: all but the first of each h and check, history left out."""
-            last = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                h, check, doc, start, state = (c.to_numpy() for c in batch.columns)
-                plain = np.flatnonzero(state < 2)
-                sure = np.flatnonzero(state == 2)
-                hp, cp, dp, sp = h[plain], check[plain], doc[plain], start[plain]
-                new = np.ones(len(plain), bool)
-                new[1:] = (hp[1:] != hp[:-1]) | (cp[1:] != cp[:-1])
-                if len(plain):
-                    carry = last if last is not None and last[:2] == (hp[0], cp[0]) else (hp[0], cp[0], dp[0], sp[0])
-                    lead = np.maximum.accumulate(np.where(new, np.arange(len(plain)), 0))
-                    lead_d, lead_s = dp[lead].copy(), sp[lead].copy()
-                    head = lead == 0
-                    lead_d[head], lead_s[head] = carry[2], carry[3]
-                    hit = ((dp != lead_d) | (sp != lead_s)) & (state[plain] == 1)
-                    last = (hp[-1], cp[-1], lead_d[-1], lead_s[-1])
-                    sure = np.concatenate([sure, plain[hit]])
-                yield pa.record_batch([pa.array(doc[sure]), pa.array(start[sure])], names=["doc", "start"])
-
-        found = rows.repartition("h").sortWithinPartitions("h", "check", "doc", "start").mapInArrow(later, "doc long, start int")
+        found = rows.repartition("slot").sortWithinPartitions("slot").mapInArrow(lambda batches: _later(batches, slots), schema)
+        found = found.repartition("slot").sortWithinPartitions("slot").mapInArrow(_by_doc, "doc long, starts binary")
         return found, lambda words: hot_windows(words)[0]
 
     def append(self, docs: DataFrame, batch_docs: int = 1_000_000, min_batches: int = 1, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -401,7 +490,7 @@ def _sorted_out(batch: DataFrame, found: DataFrame, hot: Callable, keep_text: bo
             yield pa.record_batch(columns, names=names)
 
     schema = "doc long, n_words long, kept_sha256 string, packed binary" + (", kept_text string" if keep_text else "")
-    starts = settled(found.groupBy("doc").agg(F.collect_list("start").alias("starts")))
+    starts = settled(found)
     return settled(batch.mapInArrow(sort_out, schema)).join(starts, "doc", "left")
 
 
@@ -420,8 +509,8 @@ def _finished(parts: list[DataFrame], window: int, keep_text: bool) -> DataFrame
                 if packed is None:
                     made.append((doc, n_words, 0, whole, column["kept_text"][i].as_py() if keep_text else None))
                 else:
-                    starts = column["starts"][i].values
-                    n_words, removed, kept = kept_words(unpack.decompress(packed), [] if starts is None else starts.to_numpy(), window)
+                    starts = np.frombuffer(column["starts"][i].as_py() or b"", "<i4")
+                    n_words, removed, kept = kept_words(unpack.decompress(packed), starts, window)
                     made.append((doc, n_words, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if keep_text else None))
             columns = list(zip(*made, strict=True)) if made else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]

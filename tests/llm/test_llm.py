@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -821,6 +822,41 @@ def test_index_keeps_a_passage_that_stands_everywhere_in_few_rows(spark, tmp_pat
     assert rows.count() < 40 and rows.agg(F.max(F.length("hashes"))).first()[0] <= 6 * 21
 
 
+def test_windows_are_packed_by_slots(monkeypatch):
+    """Few rows for many windows; the same ones covered as one by one, where hashes meet in 48 bits, in history and by halves."""
+    rng = np.random.default_rng(4)
+    n = 40_000
+    kept = np.zeros(n, substrings.WINDOW)
+    kept["h"] = rng.integers(0, 6_000, n) * ((1 << 48) // 6_000)
+    kept["check"], kept["doc"], kept["start"], kept["state"] = rng.integers(-2, 2, n), rng.integers(-50, 50, n), rng.integers(0, 500, n), 1
+    kept["doc"][:5] = substrings.PAST
+    past = kept[:300].copy()
+    past["doc"], past["start"], past["state"] = substrings.PAST, -1, 0
+    first = {}
+    for h, check, doc, start, _ in np.concatenate([past, kept]).tolist():
+        first[h, check] = min(first.get((h, check), (doc, start)), (doc, start))
+    want = sorted((doc, start) for h, check, doc, start, _ in kept.tolist() if (doc, start) != first[h, check])
+    sorted_by_slot = lambda batches: iter(pa.Table.from_batches(batches).sort_by("slot").to_batches(max_chunksize=50))
+    for held in (substrings.HELD, 900):
+        monkeypatch.setattr(substrings, "HELD", held)
+        dealt = [substrings._dealt(part.copy(), 64) for part in (past, *np.array_split(kept, 7))]
+        assert sum(b.num_rows for b in dealt) <= 8 * 64
+        later = list(substrings._later(sorted_by_slot(dealt), 16))
+        rows = [r for b in substrings._by_doc(sorted_by_slot(later)) for r in b.to_pylist()]
+        assert len(rows) == len({r["doc"] for r in rows})
+        got = [(r["doc"], s) for r in rows for s in np.frombuffer(r["starts"], "<i4").tolist()]
+        assert sorted(got) == want
+
+
+def test_index_finds_covered_windows_in_few_rows(spark, tmp_path):
+    text = " ".join(f"p{k}" for k in range(2000))
+    docs = spark.createDataFrame([(i, f"{text} {i}") for i in range(8)], "doc long, text string")
+    found, _ = substrings.FingerprintIndex(spark, f"file://{tmp_path}/index").covered(docs)
+    rows = found.collect()
+    starts = {(r["doc"], s) for r in rows for s in np.frombuffer(r["starts"], "<i4").tolist()}
+    assert starts == {(i, s) for i in range(1, 8) for s in range(1981)} and len(rows) == 7
+
+
 # The pipeline, stage by stage
 
 
