@@ -94,7 +94,8 @@ def _floor_sql(expression: str) -> str:
 def _floor(timeframe: str, what: str):
     def f(spark, sf_dir):
         bar = TimeBar.parse(timeframe)
-        return fixtures.events(spark, sf_dir).select("event_id", getattr(bar, what)(F.col("ms")).alias("start"))
+        ms = fixtures.begun_ms() if bar.is_calendar else fixtures.event_ms()
+        return fixtures.events(spark, sf_dir, ms).select("event_id", getattr(bar, what)(F.col("ms")).alias("start"))
 
     return f
 
