@@ -37,7 +37,7 @@ def test_milliseconds_are_the_nearest_or_the_one_begun(spark):
 
 @pytest.mark.parametrize("name", [
     "tb_floor_week", "tb_floor_month", "tb_next_boundary_week", "tb_next_boundary_month",
-    "bars_canonical", "bars_hourly", "live_backwards",
+    "bars_canonical", "bars_hourly", "live_backwards", "merge_upsert",
 ])
 def test_boundaries_fall_as_in_the_sql(spark, edges, name):
     duckdb = pytest.importorskip("duckdb")
